@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "secrets", "fingerprints")
+MODULES = ("packing", "sharding", "language", "neardup", "secrets", "fingerprints")
 
 
 def queries() -> dict:
