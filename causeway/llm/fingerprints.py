@@ -121,13 +121,14 @@ def with_successor(docs: DataFrame) -> DataFrame:
     null doc_id comes first. The whole texts are shuffled once, by document; of the next one only the needed beginning.
     """
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select(F.struct(F.isnotnull("doc_id").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")).alias("key"), "doc_id", "text")
+    base = base.select(F.struct(F.isnotnull("doc_id").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")).alias("key"), "text")
     keys = base.groupBy("key").agg(F.max(F.length("text")).alias("need")).withColumn("need", F.floor(F.col("need") / 4).cast("int"))
     chain = next_in_order(keys, ["key"], ["need"])
+    # Both uses of ``rows`` below need the same columns, so that Spark shuffles the texts once and reuses the exchange.
     rows = base.withColumn("sig", signature(F.col("text")))
     heads = rows.join(chain.select("key", "prev_key", "prev_need"), "key")
     heads = heads.select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, prev_need)").alias("tail"), F.col("sig").alias("next_sig"))
-    return rows.join(heads.dropDuplicates(["key"]), "key", "left")
+    return rows.join(heads.dropDuplicates(["key"]), "key", "left").withColumn("doc_id", F.when(F.col("key.known"), F.col("key.id")))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
