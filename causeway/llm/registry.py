@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "sharding", "language", "substrings", "neardup", "secrets", "fingerprints")
+MODULES = ("packing", "sharding", "language", "substrings", "neardup", "secrets", "neighbours", "fingerprints")
 
 
 def queries() -> dict:
