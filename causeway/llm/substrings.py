@@ -28,7 +28,7 @@ from causeway.llm.common import as_bytes, hashed_words, mix, rolled
 from causeway.llm.neardup import chunks
 
 LENGTH = 13
-SEED = 6
+SEED = 4
 #: Bytes kept of a window's hash.
 TELL = 6
 
@@ -64,9 +64,10 @@ def anchors(words: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tu
 
 
 def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], length: int, seed: int):
-    """(anchor, doc_id, th, start, mask, tell) for one chunk, whose documents are in order of doc_id.
+    """(anchor, doc_id, place, mask, tell) for one chunk, whose documents are in order of doc_id.
 
-    ``mask`` has a bit for each window from ``start`` on. Rows without ``tell`` hold windows that are marked already.
+    ``place`` is 32 bits of the text's hash above the first window's start; ``mask`` has a bit for each window from there
+    on. Rows without ``tell`` hold windows that are marked already; they only travel, dealt evenly.
     """
     words, starts = hashed_words(texts, lower=False)
     at, doc, place, seeds = anchors(words, starts, length, seed)
@@ -98,7 +99,9 @@ def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], len
         bit = (at[chosen] - at[chosen[first]][run]).astype(np.uint64)
         mask = np.bitwise_or.reduceat(np.uint64(1) << bit, first)
         head = chosen[first]
-        columns = [seeds[place[head]].view(np.int64), doc_ids[doc[head]], ths[doc[head]], (at[head] - starts[doc[head]]).astype(np.int32), mask.view(np.int64)]
+        where = (ths[doc[head]] << 32) | (at[head] - starts[doc[head]])
+        anchor = seeds[place[head]] if told else mix(doc_ids[doc[head]].view(np.uint64) ^ where.view(np.uint64))
+        columns = [anchor.view(np.int64), doc_ids[doc[head]], where, mask.view(np.int64)]
         out = [pa.array(c) for c in columns]
         if told:
             data = np.ascontiguousarray(tell[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TELL])
@@ -106,7 +109,7 @@ def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], len
             out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
         else:
             out.append(pa.nulls(len(first), pa.binary()))
-        yield pa.RecordBatch.from_arrays(out, names=["anchor", "doc_id", "th", "start", "mask", "tell"])
+        yield pa.RecordBatch.from_arrays(out, names=["anchor", "doc_id", "place", "mask", "tell"])
 
 
 def bits_of(mask: np.ndarray) -> np.ndarray:
@@ -125,7 +128,7 @@ def tells_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def marks_of(batches):
     """Goes once through rows in order of anchor and doc_id; yields the marked windows."""
-    names = ["doc_id", "th", "start", "mask"]
+    names = ["doc_id", "place", "mask"]
     open_anchor, open_first = None, {}  # of the anchor at the end of the last batch: its windows' first documents
     for batch in batches:
         done = pc.is_null(batch.column("tell"))
@@ -162,12 +165,12 @@ def marks_of(batches):
             r, b = np.nonzero(flags)
             flags[r, b] = removed
             kept = np.packbits(flags[hit], axis=1, bitorder="little").view("<i8").ravel()
-            out = [batch.column("doc_id").take(pa.array(hit)), batch.column("th").take(pa.array(hit)), batch.column("start").take(pa.array(hit)), pa.array(kept)]
+            out = [batch.column("doc_id").take(pa.array(hit)), batch.column("place").take(pa.array(hit)), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("th", F.xxhash64("text"))
+    return docs.withColumn("th", F.expr("cast(xxhash64(text) >> 32 as int)"))
 
 
 def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -177,18 +180,19 @@ def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            ids, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
+            ids, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), as_bytes(batch.column(2))
             order = np.argsort(ids, kind="stable")
             texts = [texts[i] for i in order]
             for lo, hi in chunks(texts):
                 yield from rows_of(ids[order[lo:hi]], ths[order[lo:hi]], texts[lo:hi], length, seed)
 
     slim = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).filter("doc_id is not null and text is not null")
-    rows = slim.select("doc_id", "th", "text").mapInArrow(emit, "anchor long, doc_id long, th long, start int, mask long, tell binary")
+    rows = slim.select("doc_id", "th", "text").mapInArrow(emit, "anchor long, doc_id long, place long, mask long, tell binary")
     # Hash-partitioned by anchor alone; rows of one anchor arrive in order of document.
     met = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id")
-    marked = met.mapInArrow(marks_of, "doc_id long, th long, start int, mask long")
-    return marked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marked = met.mapInArrow(marks_of, "doc_id long, place long, mask long")
+    th, start = F.expr("cast(place >> 32 as int)").alias("th"), F.expr("cast(place & 4294967295L as int)").alias("start")
+    return marked.groupBy("doc_id", th).agg(F.collect_list(F.struct(start, "mask")).alias("marks"))
 
 
 def covered(n: int, marks: list[dict] | None, length: int) -> np.ndarray:
@@ -201,17 +205,18 @@ def covered(n: int, marks: list[dict] | None, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with its maximal repeats removed.
 
     Every word is removed that a window of ``length`` words covers which also starts in a document with a smaller doc_id;
     windows are judged on the input. Result: doc_id, n_words, n_removed, spans (removed runs of words: start, end), and
     the kept text: with ``digest`` only its ``kept_sha256`` (kept words joined by one space), else ``kept_text`` (the
-    text as it was outside the removed runs). Null texts have no words; rows with one doc_id are not before one another;
+    text as it was outside the removed runs), and the columns named in ``carry``. Null texts have no words; rows with one doc_id are not before one another;
     a null doc_id is neither before nor after any; equal rows give equal rows; an empty table gives none.
     """
-    slim = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = slim.join(repeats(docs, length, seed), ["doc_id", "th"], "left").select("doc_id", "text", "marks")
+    extra = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]
+    slim = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra))
+    joined = slim.join(repeats(docs, length, seed), ["doc_id", "th"], "left").drop("th").select("doc_id", "text", "marks", *[f"_{i}" for i in range(len(carry))])
 
     def cut(batches):
         for batch in batches:
@@ -234,10 +239,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, di
                     kept.append(t if not gone else without(t, words, gone))
             span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
             text = pa.array(kept, pa.string()) if digest else pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), text], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), text, *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "spans", "kept", *batch.schema.names[3:]])
 
-    out = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept string")
-    return out.withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept string" + kinds)
+    return out.withColumnsRenamed({"kept": "kept_sha256" if digest else "kept_text"} | {f"_{i}": c for i, c in enumerate(carry)})
 
 
 def without(text: bytes, words: list[bytes], gone: list[tuple[int, int]]) -> bytes:
