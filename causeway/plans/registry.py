@@ -1,15 +1,19 @@
-"""Queries over the reference's own operators, and their SQL."""
+"""Queries over the behavioural operators, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return queries()["rolling_counts"](spark, sf_dir)
+from causeway.plans.queries import ORACLE, QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["rolling_counts"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
