@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Entries that a worker's word cache may hold; a full cache computes new words each time instead.
 CACHE_WORDS = 300_000
+#: Bytes of text that a task works on at a time.
+CHUNK_BYTES = 4_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -104,5 +106,17 @@ def rolled(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES):
+    """Ranges of texts of about ``limit`` bytes together."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()

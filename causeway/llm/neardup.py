@@ -8,8 +8,8 @@
    share ``needed`` of them, which it misses by chance about once in ten million. By the prefix principle only the
    values beyond a class's ``needed - 1`` most frequent ones are listed, so very common values are in no list.
 3. Candidates: in each list, members meet a few pivots, and those that turn out to be connected to each other need no
-   more comparisons; the others meet further pivots, four times as many each round, until all members of a list are connected
-   or have met each other. No list is cut short, and a large group of near copies costs a few comparisons a member.
+   more comparisons; the others meet further pivots, ``MORE`` times as many each round, until all members of a list
+   are connected or have met each other. No list is cut short, and a large group of near copies costs a few comparisons a member.
 4. The sketch of the union estimates the similarity and drops hopeless candidates; the others are confirmed on the full
    shingle sets of the texts. Components come from alternating large-star and small-star steps.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from causeway.llm.common import as_bytes, hashed_words, materialize, mix, rolled
+from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled
 
 SKETCH = 48
 #: Share of a union that must be common, in percent.
@@ -33,20 +33,8 @@ PERCENT = 80
 SLACK = 0.32
 #: Rows up to which ids are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Words hashed at a time.
-CHUNK_BYTES = 4_000_000
-
-
-def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES):
-    """Ranges of texts of about ``limit`` bytes together."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+#: How many times more pivots the members of a list meet in the next round.
+MORE = 64
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -186,7 +174,7 @@ def links(classes: DataFrame, docs: DataFrame, k: int, sketch: int) -> DataFrame
                 merged = old.unionByName(merged.join(roots.select("node"), "node", "left_anti"))
             roots = materialize(merged, "roots")
         lists = now.select("value", "cls").join(chosen.select("value", F.col("pivot").alias("cls")), ["value", "cls"], "left_anti")
-        pivots *= 4
+        pivots *= MORE
     return roots
 
 
