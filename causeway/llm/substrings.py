@@ -9,8 +9,8 @@
    windows that overlap make up maximal repeats. A window that a document with a smaller id also has is marked.
 4. Cut. Marks go back to the texts by document; covered words are removed.
 
-Copies within one chunk of documents are marked before the shuffle, and of a window only the first in the chunk is sent,
-so a passage that a third of all documents share crosses the network once a chunk. A window is told by its anchor's 64
+Copies within one chunk of documents are marked before the shuffle, and only a window's first document in the chunk sends
+it, so a passage that a third of all documents share crosses the network once a chunk. A window is told by its anchor's 64
 bits and 48 of its own.
 """
 
@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import as_bytes, hashed_words, mix, rolled
-from causeway.llm.neardup import chunks
+from causeway.llm.common import as_bytes, chunks, hashed_words, mix, rolled
 
 LENGTH = 13
 SEED = 4
@@ -74,22 +73,21 @@ def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], len
     if not len(at):
         return
     tell = window_hash(words, length)[at]
-    # Windows that occur twice in the chunk: only the first, by document, is sent; those of later documents are marked.
+    # Windows that occur twice in the chunk: those of later documents are marked at once and not sent.
     order = np.sort(tell)
     twice = np.unique(order[1:][order[1:] == order[:-1]])
     maybe = np.zeros(1 << 16, bool)
     maybe[twice & np.uint64(0xFFFF)] = True
     some = np.flatnonzero(maybe[tell & np.uint64(0xFFFF)])
     some = some[np.isin(tell[some], twice)]
-    marked, sent = np.zeros(len(at), bool), np.ones(len(at), bool)
+    marked = np.zeros(len(at), bool)
     if len(some):
         some = some[np.argsort(tell[some], kind="stable")]
         new = np.append(True, tell[some][1:] != tell[some][:-1])
         head = some[new][np.cumsum(new) - 1]
         later = doc_ids[doc[some]] > doc_ids[doc[head]]
         marked[some[later]] = True
-        sent[some[~new]] = False
-    for chosen, told in ((np.flatnonzero(sent), True), (np.flatnonzero(marked), False)):
+    for chosen, told in ((np.flatnonzero(~marked), True), (np.flatnonzero(marked), False)):
         if not len(chosen):
             continue
         # A run: windows of one document with one anchor.
