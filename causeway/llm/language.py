@@ -22,13 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import CACHE_WORDS, as_bytes, id_crc
+from causeway.llm.common import CACHE_WORDS, as_bytes, chunks, id_crc
 
 ORDER = 4
 #: Labelled documents of each language that the trees are fitted on, about.
 SAMPLE = 2500
 #: Bytes of a word that are coded in one go; a longer word is coded in pieces of this length.
 WORD_BYTES = 48
+#: Bytes of text that are coded at a time.
+CHUNK_BYTES = 3_000_000
 #: A stage rejects texts without letters and those that no language codes in this many bits a byte.
 REJECT_BITS = 7.0
 #: Fixed values of the hash of a context: an odd multiplier.
@@ -97,7 +99,11 @@ class Trees:
         # Bytes after contexts (key: context and byte) and contexts; costs are NaN where a language has not seen one.
         self.cost, self.escape = cost, escape
         self.symbols, self.contexts = Table(keys), Table(contexts)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.fresh()
+
+    def fresh(self) -> None:
+        """An empty cache of word costs."""
+        self.known, self.held = Known(), np.zeros((CACHE_WORDS, len(self.languages)), np.float32)
 
     @classmethod
     def fit(cls, counts: list[tuple[int, int, int]], languages: list[str], order: int) -> Trees:
@@ -146,37 +152,48 @@ class Trees:
         return out
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text in each language, and its bytes without white space."""
-        ids: dict[bytes, int] = {}
-        flat, ends, size = [], [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = t.split() if t else []
-            size[i] = sum(map(len, words)) + len(words)
-            if words and max(map(len, words)) > WORD_BYTES:
-                words = [w[j : j + WORD_BYTES] for w in words for j in range(0, len(w), WORD_BYTES)]
-            flat.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
-            ends.append(len(words))
-        cost = np.zeros((len(ids) + 1, len(self.languages)))
-        known = self.cache
-        new = []
-        for w, i in ids.items():
-            c = known.get(w)
-            if c is None:
-                new.append((w, i))
-            else:
-                cost[i] = c
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            made = self.cost_of([w for w, _ in part])
-            cost[[i for _, i in part]] = made
-            if len(known) < CACHE_WORDS:
-                known.update((w, made[j].copy()) for j, (w, _) in enumerate(part))
-        all_ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        owner = np.repeat(np.arange(len(texts)), ends)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, cost[all_ids, k], len(texts))
-        return out, size
+        """Bits of each text in each language, and its bytes with one white space after each word."""
+        bits, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for lo, hi in chunks(texts, CHUNK_BYTES):
+            flat, ends = [], []
+            for i in range(lo, hi):
+                words = texts[i].split() if texts[i] else []
+                size[i] = sum(map(len, words)) + len(words)
+                if words and max(map(len, words)) > WORD_BYTES:
+                    words = [w[j : j + WORD_BYTES] for w in words for j in range(0, len(w), WORD_BYTES)]
+                flat.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+                ends.append(len(words))
+            rows = np.concatenate(flat)
+            cost = np.empty((len(rows), len(self.languages)), np.float32)
+            old = rows < CACHE_WORDS
+            cost[old] = self.held[rows[old]]
+            cost[~old] = self.settle()[rows[~old] - CACHE_WORDS]
+            owner = np.repeat(np.arange(hi - lo), ends)
+            for k in range(len(self.languages)):
+                bits[lo:hi, k] = np.bincount(owner, cost[:, k], hi - lo)
+        return bits, size
+
+    def settle(self) -> np.ndarray:
+        """Costs of the words that ``known`` met for the first time; as many as fit join the cache."""
+        new = list(self.known.new)
+        self.known.new = {}
+        cost = np.concatenate([np.zeros((0, len(self.languages))), *[self.cost_of(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]]).astype(np.float32)
+        at = len(self.known)
+        for j, w in enumerate(new[: CACHE_WORDS - at]):
+            self.known[w] = at + j
+        self.held[at : at + len(new)] = cost[: CACHE_WORDS - at]
+        return cost
+
+
+class Known(dict):
+    """Rows of cached words; other words get numbers from ``CACHE_WORDS`` on until they are settled."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        return self.new.setdefault(word, CACHE_WORDS + len(self.new))
 
 
 _TREES: dict[str, Trees] = {}
@@ -237,7 +254,7 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
             _TREES.clear()
             t = Trees.__new__(Trees)
             t.languages, t.order, t.symbols, t.cost, t.contexts, t.escape = shared.value
-            t.cache = {}
+            t.fresh()
             _TREES[mark] = t
         return _TREES[mark]
 
