@@ -7,9 +7,10 @@
    70 % of these values (sets no larger than a sketch share one at least, by the pigeonhole principle); a pair must
    share ``needed`` of them, which it misses by chance about once in ten million. By the prefix principle only the
    values beyond a class's ``needed - 1`` most frequent ones are listed, so very common values are in no list.
-3. Candidates: in each list, members meet a few pivots, and those that turn out to be connected to each other need no
-   more comparisons; the others meet further pivots, ``MORE`` times as many each round, until all members of a list
-   are connected or have met each other. No list is cut short, and a large group of near copies costs a few comparisons a member.
+3. Candidates: in each list, members meet a pivot. Those that turn out to be connected need no more comparisons. Those
+   that are close to one pivot are compared by their differences from it (see ``by_differences``), which rules out nearly
+   all pairs of a large group of near copies at once. The others meet further pivots, ``MORE`` times as many each round, until
+   all members of a list are connected or have met each other. No list is cut short.
 4. The sketch of the union estimates the similarity and drops hopeless candidates; the others are confirmed on the full
    shingle sets of the texts. Components come from alternating large-star and small-star steps.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled
+from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled, word_hash
 
 SKETCH = 48
 #: Share of a union that must be common, in percent.
@@ -34,7 +35,7 @@ SLACK = 0.32
 #: Rows up to which ids are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: How many times more pivots the members of a list meet in the next round.
-MORE = 64
+MORE = 8
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -108,23 +109,69 @@ def shingle_set(text: bytes, k: int) -> set:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have the similarity."""
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (u, v) on their full shingle sets: whether they have the similarity (``ok``), the size ``n`` of v's set,
+    and hashes of the shingles that only one of them has (``diff``)."""
 
     def run(batches):
         known = functools.lru_cache(256)(lambda t: shingle_set(t, k))
         for batch in batches:
-            keep = []
+            ok, n, diff = [], [], []
             for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
                 p, q = known(x), known(y)
                 common = len(p & q)
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                ok.append(100 * common >= PERCENT * (len(p) + len(q) - common))
+                n.append(len(q))
+                diff.append([word_hash(b" ".join(x)) for x in p ^ q])
+            made = [pa.array(ok, pa.bool_()), pa.array(n, pa.int64()), pa.array(diff, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["u", "v", "ok", "n", "diff"])
 
     one = texts.select(F.col("cls").alias("u"), F.col("text").alias("x"))
     two = texts.select(F.col("cls").alias("v"), F.col("text").alias("y"))
     kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
+    both = pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "x", "y")
+    return both.mapInArrow(run, f"u {kind}, v {kind}, ok boolean, n long, diff array<long>")
+
+
+def by_differences(close: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the members (cls, n, root, diff) of each pivot that can be similar and have other roots.
+
+    With a and b the sizes of two members' differences from their pivot and s the sum of their own sizes, similarity
+    0.8 means that the differences share (a + b - s / 9) / 2 shingles or more: members that differ from the pivot by edits
+    of their own cannot, however many there are. Prefixes of the rarest shingles find the others: a/4 of the set's size
+    for the larger difference, 1/8 for the smaller one. Pairs that need no common shingle are both similar to the pivot.
+    """
+    el = close.select("pivot", "cls", "n", "root", F.size("diff").alias("a"), F.explode("diff").alias("e"))
+    often = el.groupBy("pivot", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    w = Window.partitionBy("pivot", "cls")
+    shared = el.join(often, ["pivot", "e"]).withColumn("c", F.count("*").over(w))
+    ranked = shared.withColumn("r", F.row_number().over(w.orderBy("df", "e")) + F.col("a") - F.col("c"))
+    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "root", "a", "c")])
+    u, v, c = side("u", 4), side("v", 8), F.col
+    fits = (c("u_root") != c("v_root")) & ((c("u_a") > c("v_a")) | ((c("u_a") == c("v_a")) & (c("u_cls") > c("v_cls"))))
+    fits &= 18 * F.least("u_c", "v_c") >= 9 * (c("u_a") + c("v_a")) - (c("u_n") + c("v_n"))
+    fits &= 100 * F.least("u_n", "v_n") >= PERCENT * F.greatest("u_n", "v_n")
+    return u.join(v, ["pivot", "e"]).filter(fits).select(F.least("u_cls", "v_cls").alias("u"), F.greatest("u_cls", "v_cls").alias("v")).distinct()
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` (cls, ...) with ``root``; a class without links is its own."""
+    if roots is None:
+        return rows.withColumn("root", F.col("cls"))
+    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """``roots`` after the links ``new`` (u, v): only the graph of known roots is solved."""
+    if new.isEmpty():
+        return roots
+    if roots is None:
+        return materialize(components(new), "roots")
+    for end in ("u", "v"):
+        new = new.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    top = components(new)
+    old = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(old.unionByName(top.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
 def hopeful(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
@@ -137,45 +184,56 @@ def hopeful(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
     return both.filter(F.col("common") >= F.col("of") * (PERCENT / 100 - SLACK)).select("u", "v")
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, sketch: int) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, k: int, sketch: int) -> DataFrame | None:
     """Roots (node, root) of the classes that have confirmed links; see the rounds above."""
-    lists = materialize(inverted_lists(classes), "lists")
+    kind = classes.schema["cls"].dataType.simpleString()
+    lists = materialize(inverted_lists(classes).withColumn("near", F.array().cast(f"array<{kind}>")), "lists")
     members = lists.select("cls").distinct()
     members = materialize(classes.select("cls", "n", "low").join(small(members), "cls", "left_semi"), "members")
     ids = small(members.select(F.col("cls.doc_id").alias("doc_id"), F.col("cls.th").alias("th"), "cls"))
     raw = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     texts = materialize(raw.join(ids, ["doc_id", "th"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
-    found = roots = tested = None
+    roots = tested = None
     pivots = 1
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.withColumns({"x": F.least("u", "v"), "y": F.greatest("u", "v")}).join(tested, ["x", "y"], "left_anti").select("u", "v")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        ends = small(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct())
+        return compared(pairs, texts.join(ends, "cls", "left_semi"), k)
+
     while True:
-        now = lists.withColumn("root", F.col("cls")) if roots is None else lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        now = rooted(lists, roots)
         live = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("value")
         now = materialize(now.join(live, "value", "left_semi"), "live")
         if now.isEmpty():
-            break
+            return roots
         salt = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-        chosen = materialize(now.groupBy("value", salt.alias("salt")).agg(F.min(F.struct("cls", "root")).alias("c")).select("value", F.col("c.cls").alias("pivot"), F.col("c.root").alias("pivot_root")), "pivots")
-        pairs = now.join(chosen, "value").filter("cls <> pivot and root <> pivot_root").select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        kept = materialize(hopeful(pairs, members, sketch), "hopeful")
-        ends = small(kept.select(F.explode(F.array("u", "v")).alias("cls")).distinct())
-        new = materialize(confirmed(kept, texts.join(ends, "cls", "left_semi"), k), "links")
-        if not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
-            # Contract what is known: only the roots' graph is new.
-            over = new
-            if roots is not None:
-                for end in ("u", "v"):
-                    over = over.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-            merged = components(over)
-            if roots is not None:
-                old = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-                merged = old.unionByName(merged.join(roots.select("node"), "node", "left_anti"))
-            roots = materialize(merged, "roots")
-        lists = now.select("value", "cls").join(chosen.select("value", F.col("pivot").alias("cls")), ["value", "cls"], "left_anti")
+        chosen = now.groupBy("value", salt.alias("salt")).agg(F.min(F.struct("cls", "root", "near")).alias("c"))
+        chosen = materialize(chosen.select("value", F.col("c.cls").alias("pivot"), F.col("c.root").alias("pivot_root"), F.col("c.near").alias("pivot_near")), "pivots")
+        # Members that were close to one pivot have been compared by their differences from it.
+        met = now.join(chosen, "value").filter("cls <> pivot and root <> pivot_root and not arrays_overlap(near, pivot_near)")
+        pairs = materialize(untested(met.select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()), "pairs")
+        close = materialize(with_texts(materialize(hopeful(pairs, members, sketch), "hopeful")), "close")
+        roots = merged(roots, close.filter("ok").select("u", "v"))
+        done = pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+        tested = done if tested is None else tested.unionByName(done)
+        own = rooted(close.select(F.col("u").alias("pivot"), F.col("v").alias("cls"), "n", "diff"), roots)
+        several = own.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot")
+        more = materialize(untested(by_differences(own.join(several, "pivot", "left_semi"))), "pairs")
+        if not more.isEmpty():
+            tested = tested.unionByName(more.select(F.col("u").alias("x"), F.col("v").alias("y")))
+            roots = merged(roots, materialize(with_texts(hopeful(more, members, sketch)).filter("ok").select("u", "v"), "links"))
+        # Pivots have met all others of their lists; lists whose members are all close to one pivot are done.
+        near = met.join(close.select(F.col("u").alias("pivot"), F.col("v").alias("cls")), ["pivot", "cls"]).groupBy("value", "cls").agg(F.collect_set("pivot").alias("add"))
+        left = now.join(near, ["value", "cls"], "left").select("value", "cls", F.concat("near", F.coalesce("add", F.array().cast(f"array<{kind}>"))).alias("near"))
+        left = left.join(chosen.select("value", F.col("pivot").alias("cls")), ["value", "cls"], "left_anti")
+        left = materialize(left, "lists")
+        sizes = left.groupBy("value").agg(F.count("*").alias("size"))
+        full = left.select("value", F.explode("near").alias("p")).groupBy("value", "p").agg(F.count("*").alias("m")).join(sizes, "value").filter("m = size").select("value").distinct()
+        lists = left.join(full, "value", "left_anti")
         pivots *= MORE
-    return roots
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, sketch: int = SKETCH) -> DataFrame:
