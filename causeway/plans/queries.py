@@ -550,3 +550,31 @@ def _(spark, sf):
        "select cast(epoch(ts) as bigint) // 1800 * 1800 as bucket_ts, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from (select date_trunc('second', ts) as ts, event_type, value from events) group by 1, 2")
 def _(spark, sf):
     return stream.drained(stream.bucket_counts(stream.stream(spark, f"{sf}/events.parquet")), "buckets")
+
+
+def _cfg():
+    from causeway.plans.config import Config
+
+    return Config(unlabeled_modulo=MODULO, n_folds=FOLDS, min_train_weeks=TRAIN_WEEKS, pretrain_profile=False)
+
+
+@query("sequence_first_run", "fold:l slice:s rows:l positives:l average_precision:f", None)
+def _(spark, sf):
+    from causeway.plans import pipelines
+
+    return pipelines.run(spark, canon(spark, sf), _cfg(), trees=3, depth=3).by_fold
+
+
+@query("baseline_run", "fold:l slice:s rows:l positives:l average_precision:f", None)
+def _(spark, sf):
+    from causeway.plans import pipelines
+
+    return pipelines.run(spark, canon(spark, sf), _cfg(), track="baseline", trees=3, depth=3).by_fold
+
+
+@query("sequence_export", "customer_id:l w:l size:l masked:s labels:s next_events:s", None)
+def _(spark, sf):
+    from causeway.plans import pipelines
+
+    out = pipelines.export_sequences(canon(spark, sf), _cfg().override(sequence_length=32, sequence_stride=16))
+    return out.withColumns({"masked": joined("masked_event"), "labels": joined("mlm_label"), "next_events": joined("next_event")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,13 @@ def build_or_load(spark: SparkSession, path: str, build, refresh: bool = False)
     return spark.read.parquet(path)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, so that later jobs do not compute it anew."""
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_run(spark: SparkSession, index: str, row: dict) -> DataFrame:
     """The registry with one run more, united by name; missing values are null."""
     new = spark.createDataFrame([{k: str(v) for k, v in jsonable(row).items()}])
