@@ -271,4 +271,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=2)
 
 
+#: The same rows in DuckDB: sets of word pairs, their intersections by a join, and reachability.
+ORACLE_SQL = {
+    "op6_near_duplicates": r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+el as (select doc_id, len(s) as n, unnest(s) as e from sets),
+common as (select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as c from el a join el b on a.e = b.e and a.doc_id <> b.doc_id group by all),
+link as (select u, v from common where 100 * c >= 80 * (nu + nv - c)),
+reach(u, v) as (select doc_id, doc_id from sets union select reach.u, link.v from reach join link on reach.v = link.u)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, m) as component_id, doc_id = least(doc_id, m) as kept from sets join (select u, min(v) as m from reach group by u) on u = doc_id"""
+}
 QUERIES = {"op6_near_duplicates": op6_near_duplicates}

@@ -265,4 +265,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The same rows in DuckDB: each window's first document, and a frame over the windows that cover a word.
+ORACLE_SQL = {
+    "op5_substring_dedup": r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - 11)) as i, w from d where len(w) >= 13),
+keyed as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as k from win),
+marked as (select doc_id, i, min(doc_id) over (partition by k) < doc_id as m from keyed),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+gone as (select words.doc_id, words.i, x, coalesce(bool_or(m) over (partition by words.doc_id order by words.i rows between 12 preceding and current row), false) as r from words left join marked on marked.doc_id = words.doc_id and marked.i = words.i)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join (select doc_id, count(*) filter (r) as n, string_agg(x, ' ' order by i) filter (not r) as k from gone group by doc_id) g on g.doc_id = d.doc_id"""
+}
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
