@@ -177,7 +177,11 @@ def nearest(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector:
     """
     spark = rows.sparkSession
     good = usable(rows, key, vector)
-    sample = good.orderBy(F.xxhash64("id", F.lit(11)), "id", "v").limit(SAMPLE).toArrow()  # bounded
+    # The rows of least hash; all but some three times as many are left out before the tasks send their own least ones.
+    share, place_ = min(1.0, 3 * SAMPLE / max(1, good.count())), F.pmod(F.xxhash64("id", "v", F.lit(11)), F.lit(1 << 30))
+    sample = good.filter(place_ < share * (1 << 30)).orderBy(place_, "id", "v").limit(SAMPLE).toArrow()
+    if not sample.num_rows:  # no rows, or copies of few whose hashes are all too large
+        sample = good.limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router, visits = fit_router(matrix(sample.column("v")), parts, cover)
