@@ -146,10 +146,13 @@ def by_differences(close: DataFrame) -> DataFrame:
     w = Window.partitionBy("pivot", "cls")
     shared = el.join(often, ["pivot", "e"]).withColumn("c", F.count("*").over(w))
     ranked = shared.withColumn("r", F.row_number().over(w.orderBy("df", "e")) + F.col("a") - F.col("c"))
-    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "root", "a", "c")])
+    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "root", "a", "c", "r")])
     u, v, c = side("u", 4), side("v", 8), F.col
     fits = (c("u_root") != c("v_root")) & ((c("u_a") > c("v_a")) | ((c("u_a") == c("v_a")) & (c("u_cls") > c("v_cls"))))
-    fits &= 18 * F.least("u_c", "v_c") >= 9 * (c("u_a") + c("v_a")) - (c("u_n") + c("v_n"))
+    twice = 9 * (c("u_a") + c("v_a")) - (c("u_n") + c("v_n"))  # 18 times the shingles that must be shared
+    fits &= 18 * F.least("u_c", "v_c") >= twice
+    # The rarest shared shingle leaves room for all others behind it.
+    fits &= 18 * (1 + F.least(c("u_a") - c("u_r"), c("v_a") - c("v_r"))) >= twice
     fits &= 100 * F.least("u_n", "v_n") >= PERCENT * F.greatest("u_n", "v_n")
     return u.join(v, ["pivot", "e"]).filter(fits).select(F.least("u_cls", "v_cls").alias("u"), F.greatest("u_cls", "v_cls").alias("v")).distinct()
 

@@ -82,3 +82,21 @@ def test_components(spark):
         top[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in N.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_differences_find_every_similar_pair(spark):
+    """Members far from the pivot that share edits: all similar pairs are found, most others are not."""
+    rng = random.Random(8)
+    pivot = set(range(150))
+    sets = []
+    for g in range(8):
+        shared = set(pivot) - set(rng.sample(range(150), 10 + 3 * g)) | {1000 * (g + 1) + i for i in range(10 + 3 * g)}
+        for m in range(6):
+            own = set(rng.sample(sorted(shared), len(shared) - rng.randrange(12))) | {10**6 + 1000 * (6 * g + m) + i for i in range(rng.randrange(10))}
+            sets.append(own)
+    rows = [(0, i + 1, len(s), i + 1, sorted(s ^ pivot)) for i, s in enumerate(sets)]
+    close = spark.createDataFrame(rows, "pivot long, cls long, n long, root long, diff array<long>")
+    got = {(r.u, r.v) for r in N.by_differences(close).collect()}
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {(i + 1, j + 1) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and similar(a, b) and not (similar(a, pivot) and similar(b, pivot))}
+    assert len(want) > 20 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
