@@ -10,8 +10,8 @@
 4. Cut. Marks go back to the texts by document; covered words are removed.
 
 Copies within one chunk of documents are marked before the shuffle, and only a window's first document in the chunk sends
-it, so a passage that a third of all documents share crosses the network once a chunk. A window is told by its anchor's 64
-bits and 48 of its own.
+it, so a passage that a third of all documents share crosses the network once a chunk. A window is told by 48 bits of its
+anchor's hash and 48 of its own.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def anchors(words: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tu
 def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], length: int, seed: int):
     """(anchor, doc_id, place, mask, tell) for one chunk, whose documents are in order of doc_id.
 
-    ``place`` is 32 bits of the text's hash above the first window's start; ``mask`` has a bit for each window from there
+    ``place`` is 24 bits of the text's hash above the first window's start; ``mask`` has a bit for each window from there
     on. Rows without ``tell`` hold windows that are marked already; they only travel, dealt evenly.
     """
     words, starts = hashed_words(texts, lower=False)
@@ -99,7 +99,7 @@ def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], len
         head = chosen[first]
         where = (ths[doc[head]] << 32) | (at[head] - starts[doc[head]])
         anchor = seeds[place[head]] if told else mix(doc_ids[doc[head]].view(np.uint64) ^ where.view(np.uint64))
-        columns = [anchor.view(np.int64), doc_ids[doc[head]], where, mask.view(np.int64)]
+        columns = [(anchor >> np.uint64(16)).view(np.int64), doc_ids[doc[head]], where, mask.view(np.int64)]
         out = [pa.array(c) for c in columns]
         if told:
             data = np.ascontiguousarray(tell[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TELL])
@@ -168,7 +168,7 @@ def marks_of(batches):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("th", F.expr("cast(xxhash64(text) >> 32 as int)"))
+    return docs.withColumn("th", F.expr("cast(xxhash64(text) >> 40 as int)"))
 
 
 def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
