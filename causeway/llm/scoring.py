@@ -3,24 +3,32 @@
 P(word | history) = P(class | history) * P(word | class). Words fall into classes by their ending (the ``CLASSES`` - 2 most
 frequent endings, one class for all others, one for the end of a text), so that rare and unknown words have classes
 too. The class is predicted by a softmax over hashed features of the history: the last word, the word before it (a
-skip), the classes of the last two words together (an n-gram) and of the two before those (a skip n-gram). Inside
-a class the maximum-entropy solution for word features is known in closed form, the smoothed relative frequency
-(c + 1) / (N_class + V_class + 1), whose last share is for unknown words; so all probabilities of a history sum to one.
-
-Counting and training read all training documents. Each task trains on its own rows from the same start (class frequencies)
-with mini-batch gradient steps; the tasks' weights are averaged, by blocks, in a shuffle. Counts of the ``HEAD`` most
-frequent words are broadcast (a bound on their size); tokens of all other words meet their counts in a join.
+skip), the classes of the last two words together (an n-gram) and of the two before those (a skip n-gram).
+
+Inside a class a word is reached by binary decisions down a Huffman tree, whose leaves are the class's frequent words and
+buckets of its other words. A decision's odds are those of the counts below it (the closed form of a model of word
+features alone) times the weights of its own hashed features of the history: the last word, the word before it, and the
+two pairs of classes, each with the decision. Words of a bucket share it by smoothed frequency, (c + 1) /
+(N_bucket + V_bucket + 1), whose last share is for unknown words; so all probabilities of a history sum to one. Leaves,
+buckets and rows of weights rise with the vocabulary, up to bounds on a worker's memory.
+
+Counting and training read all training documents. Training goes in ``ROUNDS`` Spark jobs, each over its own share of the
+rows (by a hash of the text): tasks take mini-batch gradient steps from the last round's weights, and their weights are
+averaged, by blocks, in a shuffle. Counts of the ``HEAD`` most frequent words are broadcast (a bound on their size);
+tokens of all other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import Words, as_bytes, chunks, id_crc, materialize
+from causeway.llm.common import Words, as_bytes, chunks, id_crc, materialize, mix
 
 CLASSES = 32
 #: Bytes of a word's ending.
@@ -30,7 +38,11 @@ HEAD = 100_000
 #: Rows of the tables of word features and of class features.
 WORD_ROWS, CLASS_ROWS = 4096, 1024
 FEATURES = (WORD_ROWS, WORD_ROWS, CLASS_ROWS, CLASS_ROWS)
+#: Rows of word features, buckets of rare words in a class, and bits of the table of decisions' weights, at most.
+MOST_ROWS, MOST_BUCKETS, MOST_BITS = 16384, 256, 20
 BATCH, RATE, DAMPING, RARE, BOUND = 8192, 0.3, 1e-2, 16.0, 12.0
+#: Rounds of training, and tokens, rate and bound of the steps of the decisions' weights.
+ROUNDS, SMALL, WORD_RATE, WORD_BOUND = 3, 2048, 0.05, 4.0
 #: Rows of weights that are averaged together.
 BLOCK = 512
 CHUNK = 1_500_000
@@ -41,19 +53,32 @@ def ending(word: bytes) -> bytes:
     return (word.rstrip(b".,;:!?)\"'") or word)[-ENDING:]
 
 
+def power(x: float, least: int, most: int) -> int:
+    """The least power of two from ``x`` on, between bounds that are powers of two."""
+    return min(max(1 << max(int(np.ceil(np.log2(max(x, 1)))), 0), least), most)
+
+
 class Coder:
-    """A word's class, its row in the table of word features, and its place among the head (-1: none), as one number."""
+    """A word's class, its row in the table of word features, and its leaf, as one number.
+
+    Leaves are the places of head words, then ``buckets`` of other words for each class but the first.
+    """
 
-    def __init__(self, endings: list[bytes], head: list[bytes]):
+    def __init__(self, endings: list[bytes], head: list[bytes], rows: int = WORD_ROWS, buckets: int = 1):
         self.endings = {e: i + 2 for i, e in enumerate(endings)}
         self.head = {w: i for i, w in enumerate(head)}
+        self.rows, self.buckets = rows, buckets
         self.words = Words(self.code)
 
     def code(self, word: bytes) -> int:
-        return (self.endings.get(ending(word), 1) << 48) | ((xxhash.xxh32_intdigest(word) % WORD_ROWS) << 32) | (self.head.get(word, -1) + 1)
+        cls, h = self.endings.get(ending(word), 1), xxhash.xxh32_intdigest(word)
+        leaf = self.head.get(word, -1)
+        if leaf < 0:
+            leaf = len(self.head) + (cls - 1) * self.buckets + (h >> 20) % self.buckets
+        return (cls << 48) | ((h % self.rows) << 32) | (leaf + 1)
 
     def __call__(self, texts: list[bytes | None]):
-        """For all tokens, ends included: class, word row, head place; and where each text begins. Words also as a list."""
+        """For all tokens, ends included: class, word row, leaf (-1: end); and where each text begins. Words also as a list."""
         flat, starts, said = [], np.zeros(len(texts) + 1, np.int64), []
         for i, t in enumerate(texts):
             words = t.lower().split() if t else []
@@ -65,9 +90,9 @@ class Coder:
         return code >> 48, (code >> 32) & 0xFFFF, (code & 0xFFFFFFFF) - 1, starts, said
 
 
-def features(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Each token's rows in the four tables. Before a text there are only end tokens."""
-    n = len(cls)
+def backs(starts: np.ndarray):
+    """A function that shifts a column of tokens by ``d`` places, with zeros before each text."""
+    n = int(starts[-1])
     depth = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
 
     def back(x: np.ndarray, d: int) -> np.ndarray:
@@ -76,6 +101,12 @@ def features(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> list[np.nd
         out[depth < d] = 0
         return out
 
+    return back
+
+
+def features(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Each token's rows in the four tables. Before a text there are only end tokens."""
+    back = backs(starts)
     c = [back(cls, d) for d in (1, 2, 3, 4)]
     return [back(row, 1), back(row, 2), (c[0] * CLASSES + c[1]) % CLASS_ROWS, (c[2] * CLASSES + c[3]) % CLASS_ROWS]
 
@@ -85,8 +116,8 @@ class Model:
         self.bias, self.tables = bias, tables
 
     @classmethod
-    def start(cls, bias: np.ndarray) -> Model:
-        return cls(bias.astype(np.float32), [np.zeros((n, CLASSES), np.float32) for n in FEATURES])
+    def start(cls, bias: np.ndarray, rows: int = WORD_ROWS) -> Model:
+        return cls(bias.astype(np.float32), [np.zeros((n, CLASSES), np.float32) for n in (rows, rows, *FEATURES[2:])])
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         y = self.tables[0].take(rows[0], axis=0)
@@ -118,6 +149,84 @@ class Model:
             np.clip(t, -BOUND, BOUND, out=t)
 
 
+class Tree:
+    """Huffman trees of all classes: for each leaf the decisions on its way and the sides taken, for each decision its odds."""
+
+    def __init__(self, cls: np.ndarray, mass: np.ndarray):
+        n = len(cls)
+        parent, side, weight = [-1] * n, [0] * n, mass.tolist()
+        for k in range(1, CLASSES):
+            agenda = [(weight[i], i) for i in np.flatnonzero(cls == k).tolist()]
+            heapq.heapify(agenda)
+            while len(agenda) > 1:
+                a, b = heapq.heappop(agenda), heapq.heappop(agenda)
+                parent[a[1]] = parent[b[1]] = len(parent)
+                side[b[1]] = 1
+                heapq.heappush(agenda, (a[0] + b[0], len(parent)))
+                parent.append(-1)
+                side.append(0)
+                weight.append(a[0] + b[0])
+        up, side, weight = np.array(parent, np.int64), np.array(side, np.int8), np.array(weight, np.float64)
+        odds = np.zeros(len(up) - n)
+        child = np.flatnonzero(up >= 0)
+        np.add.at(odds, up[child] - n, np.where(side[child] == 1, 1, -1) * np.log(weight[child]))
+        self.odds = odds.astype(np.float32)
+        at, who, ways = np.arange(n), np.arange(n), []
+        while len(at):
+            on = up[at] >= 0
+            at, who = at[on], who[on]
+            ways.append((who, up[at] - n, side[at]))
+            at = up[at]
+        who, node, taken = (np.concatenate([w[i] for w in ways]) if ways else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(who, kind="stable")
+        self.node, self.side = node[order].astype(np.int32), taken[order].astype(np.int8)
+        self.start = np.append(0, np.cumsum(np.bincount(who, minlength=n))).astype(np.int64)
+
+
+class Choice:
+    """The factor of a word inside its class: a logistic model of each decision over hashed features of the history."""
+
+    def __init__(self, tree: Tree, weights: np.ndarray):
+        self.tree, self.weights = tree, weights
+        self.shift = np.uint32(32 - (len(weights).bit_length() - 1))
+        self.names = mix(np.arange(1, len(tree.odds) + 1, dtype=np.uint64)).astype(np.uint32)
+
+    @staticmethod
+    def history(cls: np.ndarray, leaf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Each token's four features as 32-bit hashes."""
+        back = backs(starts)
+        c = [back(cls, d) for d in (1, 2, 3, 4)]
+        own = [back(leaf + 1, 1), back(leaf + 1, 2), c[0] * CLASSES + c[1], c[2] * CLASSES + c[3]]
+        return [mix(x.astype(np.uint64) * np.uint64(4) + np.uint64(f)).astype(np.uint32) for f, x in enumerate(own)]
+
+    def decisions(self, history: list[np.ndarray], leaf: np.ndarray):
+        """Of all tokens one after the other: the token, the side taken (1, -1), the weights' places, the log odds of side 1."""
+        lo = np.where(leaf >= 0, self.tree.start[leaf], 0)
+        size = np.where(leaf >= 0, self.tree.start[leaf + 1], 0) - lo
+        token = np.repeat(np.arange(len(leaf)), size)
+        at = np.arange(len(token)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        node = self.tree.node[at]
+        name, z = self.names[node], self.tree.odds[node]
+        places = [(((h[token] ^ name) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp) for h in history]
+        for p in places:
+            z += self.weights[p]
+        return token, self.tree.side[at].astype(np.float32) * 2 - 1, places, z
+
+    def log_p(self, history: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+        token, side, _, z = self.decisions(history, leaf)
+        return np.bincount(token, -np.log1p(np.exp(np.minimum(-side * z, 80))), len(leaf))
+
+    def step(self, history: list[np.ndarray], leaf: np.ndarray, speed: np.ndarray) -> None:
+        """One gradient step on a batch, with Adagrad's rates."""
+        _, side, places, z = self.decisions(history, leaf)
+        g = (-side / (1 + np.exp(np.minimum(side * z, 80)))).astype(np.float32)
+        square = g * g
+        for p in places:
+            np.add.at(speed, p, square)
+        for p in places:
+            np.subtract.at(self.weights, p, np.float32(WORD_RATE) * g / np.sqrt(speed[p] + 1))
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts; the end token is the empty word."""
 
@@ -136,26 +245,37 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def averaged(docs: DataFrame, coder_parts: tuple, bias: np.ndarray) -> list[np.ndarray]:
-    """Trains in every task over its rows and averages the tasks' weights, block by block."""
+def averaged(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """One round: trains in every task over its rows, from ``tables``, and averages the tasks' weights, block by block.
+
+    ``parts`` broadcasts what makes a coder, and the tree. The last table holds the decisions' weights.
+    """
+    spark = docs.sparkSession
+    before = spark.sparkContext.broadcast(tables)
 
     def train(batches):
-        code = Coder(*coder_parts)
-        model, speed, seen = Model.start(bias), [np.zeros(n, np.float32) for n in FEATURES], 0
+        coder_parts, tree = parts.value
+        code, own = Coder(*coder_parts), [t.copy() for t in before.value]
+        model, choice = Model(bias.astype(np.float32), own[:-1]), Choice(tree, own[-1].reshape(-1))
+        speed, seen = [np.zeros(len(t), np.float32) for t in own[:-1]], 0
+        fast, batch_size = np.zeros(own[-1].size, np.float32), max(BATCH, 2 * code.rows)
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for lo, hi in chunks(texts, CHUNK):
-                cls, row, _, starts, _ = code(texts[lo:hi])
-                rows = features(cls, row, starts)
-                for a in range(0, len(cls), BATCH):
-                    model.step([r[a : a + BATCH] for r in rows], cls[a : a + BATCH], speed)
+                cls, row, leaf, starts, _ = code(texts[lo:hi])
+                rows, history = features(cls, row, starts), choice.history(cls, leaf, starts)
+                for a in range(0, len(cls), batch_size):
+                    model.step([r[a : a + batch_size] for r in rows], cls[a : a + batch_size], speed)
+                for a in range(0, len(cls), SMALL):
+                    choice.step([h[a : a + SMALL] for h in history], leaf[a : a + SMALL], fast)
+                np.clip(own[-1], -WORD_BOUND, WORD_BOUND, out=own[-1])
                 seen += len(cls)
         if not seen:
             return
-        for t, table in enumerate(model.tables):
+        for t, table in enumerate(own):
             for b in range(0, len(table), BLOCK):
-                own = np.ascontiguousarray(table[b : b + BLOCK])
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([float(seen)]), pa.array([own.tobytes()], pa.binary())], names=["t", "b", "weight", "data"])
+                block = np.ascontiguousarray(table[b : b + BLOCK])
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([float(seen)]), pa.array([block.tobytes()], pa.binary())], names=["t", "b", "weight", "data"])
 
     def mean(batches):
         total: dict[tuple, list] = {}
@@ -171,7 +291,7 @@ def averaged(docs: DataFrame, coder_parts: tuple, bias: np.ndarray) -> list[np.n
     local = docs.select(F.col("text").cast("string")).mapInArrow(train, schema)
     # Each task of ``mean`` holds the running sums of its blocks, not their rows; the model is of a fixed size.
     blocks = local.repartition(F.col("t"), F.col("b")).mapInArrow(mean, schema).toArrow()
-    tables = [np.zeros((n, CLASSES), np.float32) for n in FEATURES]
+    tables = [t.copy() for t in tables]
     for t, b, data in zip(*(blocks.column(c).to_pylist() for c in ("t", "b", "data")), strict=True):
         own = np.frombuffer(data, np.float32).reshape(-1, CLASSES)
         tables[t][b : b + len(own)] = own
@@ -213,32 +333,55 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     head_rows = sorted(((bytes(r["word"]), r["n"]) for r in c.filter((F.length("word") > 0) & (F.col("n") > cut)).collect()), key=lambda x: (-x[1], x[0]))
     head, head_n = [w for w, _ in head_rows], np.array([n for _, n in head_rows], np.int64)
     bias = np.log((size_n + 1) / (size_n + 1).sum())
-    parts = spark.sparkContext.broadcast((top, head))
-    model = Model(bias.astype(np.float32), averaged(learn, (top, []), bias))
-    weights = spark.sparkContext.broadcast(model.tables)
+    coder_parts = (top, head, power(v_all / 256, WORD_ROWS, MOST_ROWS), power(v_all / (256 * CLASSES), 1, MOST_BUCKETS))
+    n_rows, n_buckets = coder_parts[2:]
+
+    def by_bucket(batches):
+        code = Coder(top, [], n_rows, n_buckets)
+        for b in batches:
+            leaf = [(code.code(w) & 0xFFFFFFFF) - 1 for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(1)], names=["leaf", "n"])
+
+    rare = np.ones((CLASSES - 1) * n_buckets)
+    tail = c.filter((F.length("word") > 0) & (F.col("n") <= cut)).mapInArrow(by_bucket, "leaf int, n long")
+    for r in tail.groupBy("leaf").agg((F.sum("n") + F.count("*")).alias("mass")).collect():  # a row for each bucket at most
+        rare[r["leaf"]] += r["mass"]
+    head_cls = np.array([which.get(ending(w), 1) for w in head], np.int64)
+    tree = Tree(np.concatenate([head_cls, np.repeat(np.arange(1, CLASSES), n_buckets)]), np.concatenate([head_n + 1.0, rare]))
+    parts = spark.sparkContext.broadcast((coder_parts, tree))
+    decisions = np.zeros((power(8 * v_all, 1 << 14, 1 << MOST_BITS) // CLASSES, CLASSES), np.float32)
+    tables = [*Model.start(bias, n_rows).tables, decisions]
+    for i in range(ROUNDS):
+        tables = averaged(learn.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i), parts, bias, tables)
+    weights = spark.sparkContext.broadcast(tables)
 
     base_norm = np.log10(float(n_all + v_all + 1))
-    class_norm = np.log10(size_n + size_v + 1)
+    log_rare = np.log10(rare)
     end_n = size_n[0]
 
     def base_parts(batches):
         """A row for each text with what is known at once, and its words outside the head, with counts and classes."""
-        top_, head_ = parts.value
-        code, m = Coder(top_, head_), Model(bias.astype(np.float32), weights.value)
+        coder_parts_, tree_ = parts.value
+        code, m = Coder(*coder_parts_), Model(bias.astype(np.float32), weights.value[:-1])
+        choice = Choice(tree_, weights.value[-1].reshape(-1))
         log_head = np.append(np.log10(head_n + 1.0), np.log10(end_n + 1.0))
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
             for lo, hi in chunks(texts, CHUNK):
-                cls, row, place, starts, said = code(texts[lo:hi])
-                rows = features(cls, row, starts)
+                cls, row, leaf, starts, said = code(texts[lo:hi])
+                rows, history = features(cls, row, starts), choice.history(cls, leaf, starts)
                 lp = np.empty(len(cls))
                 for a in range(0, len(cls), BATCH):
                     lp[a : a + BATCH] = m.log_p([r[a : a + BATCH] for r in rows], cls[a : a + BATCH])
+                for a in range(0, len(cls), SMALL):
+                    lp[a : a + SMALL] += choice.log_p([h[a : a + SMALL] for h in history], leaf[a : a + SMALL])
+                place = np.where(leaf < len(head_n), leaf, -1)
+                shared = np.where(leaf < len(head_n), 0.0, log_rare[np.maximum(leaf - len(head_n), 0)])
                 last = starts[1:] - 1
                 place[last] = len(head_n)
                 known = place >= 0
                 word = np.where(known, log_head[place], 0.0)
-                sums = [np.add.reduceat(x, starts[:-1]) for x in (lp / np.log(10), word, class_norm[cls], known.astype(np.int64))]
+                sums = [np.add.reduceat(x, starts[:-1]) for x in (lp / np.log(10), word, shared, known.astype(np.int64))]
                 n = np.diff(starts)
                 known_n = sums[3] - (end_n == 0)
                 other = []
@@ -249,7 +392,7 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
                 for j, i in zip((away - starts[owner]).tolist(), owner.tolist(), strict=True):
                     other[i].append(said[i][j])
                 yield pa.RecordBatch.from_arrays(
-                    [ids[lo:hi], pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(sums[1] - n * base_norm), pa.array(sums[0] + sums[1] - sums[2]), pa.array(other, pa.list_(pa.binary()))],
+                    [ids[lo:hi], pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(sums[1] - n * base_norm), pa.array(sums[0] - sums[2]), pa.array(other, pa.list_(pa.binary()))],
                     names=["doc_id", "n_tokens", "n_known", "base", "own", "other"],
                 )
 

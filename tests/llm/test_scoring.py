@@ -58,3 +58,25 @@ def test_empty(none, few):
     assert M.score_documents(none, F.lit(True)).count() == 0
     out = M.score_documents(few.limit(5), F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in out)
+
+
+def test_words_of_a_class_sum_to_one_and_depend_on_history():
+    rng = np.random.default_rng(4)
+    leaves = np.arange(40)
+    c = M.Choice(M.Tree(np.full(40, 3), rng.integers(1, 900, 40).astype(float)), rng.standard_normal(1 << 14).astype(np.float32))
+    for word in (5, 6):
+        history = M.Choice.history(np.array([3, 3]), np.array([word, 0]), np.array([0, 2]))
+        p = np.exp(c.log_p([np.repeat(h[1:], 40) for h in history], leaves))
+        assert np.isclose(p.sum(), 1, atol=1e-4)
+        assert word == 5 or not np.allclose(p, other, rtol=0.1)
+        other = p
+
+
+def test_history_chooses_the_word_inside_its_class(spark):
+    # bxx follows k1, cxx follows k2, with one ending: the class says nothing of which of the two comes.
+    texts = [(i, " ".join(["k1 bxx" if (i * 7 + j * j) % 3 else "k2 cxx" for j in range(40)])) for i in range(400)]
+    texts += [(1000, "k1 bxx k2 cxx " * 10), (1001, "k1 cxx k2 bxx " * 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    out = {r.doc_id: r for r in M.score_documents(docs, F.col("doc_id") < 1000).collect()}
+    assert abs(out[1000].base_score - out[1001].base_score) < 1e-6
+    assert out[1000].score > out[1001].score + 10
