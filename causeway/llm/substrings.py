@@ -3,7 +3,10 @@
 1. Seed. Of each ``length`` consecutive words (a window) the least hash of ``seed`` consecutive words is its anchor, so that
    equal windows have equal anchors in equal places (winnowing). Neighbouring windows mostly share an anchor: one row
    carries an anchor and all windows around it.
-2. Join. Rows meet by anchor. A task sorts them by anchor and document and goes through them once: it never makes
+2. Join. Rows meet by anchor. Windows around a hot anchor (of a frequent phrase, say) have rows of their own, which meet by
+   anchor and window, so that no task holds all windows of such an anchor; a sample of the documents tells which
+   anchors are hot, and the result does not depend on it.
+   A task sorts them by anchor and document and goes through them once: it never makes
    pairs, and keeps of an anchor only the distinct windows.
 3. Extend. Around equal anchors the windows tell how far two documents agree to both sides, up to a window's length;
    windows that overlap make up maximal repeats. A window that a document with a smaller id also has is marked.
@@ -24,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import as_bytes, chunks, hashed_words, mix, rolled
+from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled
 
 LENGTH = 13
 SEED = 4
 #: Bytes kept of a window's hash.
 TELL = 6
+#: An anchor is hot if of every ``ONE_IN`` -th document ``HOT`` rows or more have it, or one of ``MOST`` of all of these rows.
+ONE_IN, HOT, MOST = 64, 16, 100_000
 
 
 def window_hash(words: np.ndarray, length: int) -> np.ndarray:
@@ -62,11 +67,12 @@ def anchors(words: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tu
     return at, doc, place, seeds
 
 
-def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], length: int, seed: int):
+def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], length: int, seed: int, hot: np.ndarray | None = None):
     """(anchor, doc_id, place, mask, tell) for one chunk, whose documents are in order of doc_id.
 
     ``place`` is 24 bits of the text's hash above the first window's start; ``mask`` has a bit for each window from there
-    on. Rows without ``tell`` hold windows that are marked already; they only travel, dealt evenly.
+    on. A window whose anchor is one of ``hot`` (sorted) has a row and an anchor of its own, made of both hashes. Rows
+    without ``tell`` hold windows that are marked already; they only travel, dealt evenly.
     """
     words, starts = hashed_words(texts, lower=False)
     at, doc, place, seeds = anchors(words, starts, length, seed)
@@ -92,13 +98,17 @@ def rows_of(doc_ids: np.ndarray, ths: np.ndarray, texts: list[bytes | None], len
             continue
         # A run: windows of one document with one anchor.
         p, d = place[chosen], doc[chosen]
-        first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])))
+        alone = np.zeros(len(chosen), bool)
+        if told and hot is not None and len(hot):
+            own = (seeds[p] >> np.uint64(16)).view(np.int64)
+            alone = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+        first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]) | alone[1:]))
         run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chosen))))
         bit = (at[chosen] - at[chosen[first]][run]).astype(np.uint64)
         mask = np.bitwise_or.reduceat(np.uint64(1) << bit, first)
         head = chosen[first]
         where = (ths[doc[head]] << 32) | (at[head] - starts[doc[head]])
-        anchor = seeds[place[head]] if told else mix(doc_ids[doc[head]].view(np.uint64) ^ where.view(np.uint64))
+        anchor = np.where(alone[first], mix(seeds[place[head]] ^ mix(tell[head])), seeds[place[head]]) if told else mix(doc_ids[doc[head]].view(np.uint64) ^ where.view(np.uint64))
         columns = [(anchor >> np.uint64(16)).view(np.int64), doc_ids[doc[head]], where, mask.view(np.int64)]
         out = [pa.array(c) for c in columns]
         if told:
@@ -171,10 +181,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.expr("cast(xxhash64(text) >> 40 as int)"))
 
 
-def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, th, marks): for each document with marked windows an array of (start, mask)."""
-    if not 1 <= length - seed <= 63:
-        raise ValueError("length - seed must be 1 to 63")
+def sent(slim: DataFrame, length: int, seed: int, hot: np.ndarray | None = None) -> DataFrame:
+    """The rows that meet, of (doc_id, th, text)."""
 
     def emit(batches):
         for batch in batches:
@@ -182,11 +190,27 @@ def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             texts = [texts[i] for i in order]
             for lo, hi in chunks(texts):
-                yield from rows_of(ids[order[lo:hi]], ths[order[lo:hi]], texts[lo:hi], length, seed)
+                yield from rows_of(ids[order[lo:hi]], ths[order[lo:hi]], texts[lo:hi], length, seed, hot)
+
+    return slim.select("doc_id", "th", "text").mapInArrow(emit, "anchor long, doc_id long, place long, mask long, tell binary")
+
 
+def hot_anchors(slim: DataFrame, length: int, seed: int) -> np.ndarray:
+    """Anchors that very many documents have, sorted; at most ``MOST``. They are counted in every ``ONE_IN`` -th document."""
+    some = sent(slim.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ONE_IN)) == 0), length, seed).filter("tell is not null")
+    n = materialize(some.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = n.filter(F.col("n") >= max(HOT, total / MOST)).select("anchor").toArrow().column("anchor")
+    return np.sort(found.to_numpy())
+
+
+def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """(doc_id, th, marks): for each document with marked windows an array of (start, mask)."""
+    if not 1 <= length - seed <= 63:
+        raise ValueError("length - seed must be 1 to 63")
     slim = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).filter("doc_id is not null and text is not null")
-    rows = slim.select("doc_id", "th", "text").mapInArrow(emit, "anchor long, doc_id long, place long, mask long, tell binary")
-    # Hash-partitioned by anchor alone; rows of one anchor arrive in order of document.
+    rows = sent(slim, length, seed, hot_anchors(slim, length, seed))
+    # Hash-partitioned by anchor, of a hot one with the window; rows of one anchor arrive in order of document.
     met = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id")
     marked = met.mapInArrow(marks_of, "doc_id long, place long, mask long")
     th, start = F.expr("cast(place >> 32 as int)").alias("th"), F.expr("cast(place & 4294967295L as int)").alias("start")

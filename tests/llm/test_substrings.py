@@ -57,3 +57,16 @@ def test_equal_windows_have_equal_anchors():
     assert (place[at == 305] - 305 == place[at == 105] - 105).all()
     h = B.window_hash(words, 13)
     assert (h[300:328] == h[100:128]).all() and len(np.unique(h)) < len(h)
+
+
+def test_hot_anchor_is_spread_by_window(spark, monkeypatch):
+    monkeypatch.setattr(B, "ONE_IN", 4)
+    line = "all rights reserved by the owners of this page since two thousand"
+    rows = [(i, f"{' '.join(f'a{i}x{j}' for j in range(12))} {line} {' '.join(f'b{i // 2}y{j}' for j in range(12))}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    slim = B.keyed(docs)
+    hot = B.hot_anchors(slim, 13, 4)
+    most = lambda df: df.filter("tell is not null").groupBy("anchor").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert len(hot) and most(B.sent(slim, 13, 4)) > 250 and most(B.sent(slim, 13, 4, hot)) < 120
+    got = sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in B.dedup_substrings(docs, digest=True).collect())
+    assert got == brute(rows, 13)
