@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding (operator 9): seeded merge-dropout.
 
 A BPE model merges neighbouring symbols by an agenda: the best-scored merge first, the leftmost of equals. Here each
-candidate merge (the places in its word where it begins, joins and ends) is skipped for good if a keyed hash of seed,
-variant, word and places falls under ``dropout``. The same seed gives the same segmentation again; another seed, or
-another variant, gives another one. A document's variant (one of ``variants``) comes from a keyed hash of its id.
+candidate merge (the places in its word where it begins, joins and ends) of each occurrence of a word is skipped for good
+if a keyed hash of seed, variant, document, place of the word in the document, word and places falls under ``dropout``.
+The same seed gives the same segmentation again; another seed, or another variant, gives another one.
 With ``dropout`` 0 the ids are those of the sentencepiece library.
 
 No piece holds a space after another character, so a text falls into words (spaces and what follows them) that are
-encoded on their own and cached. New words of a batch are encoded together in numpy, one merge of each word at a time;
+encoded on their own. What is cached of a word is not a result of dropout but its agenda: the merges that are done
+if a given set of candidates is skipped, the empty set first. An occurrence draws the merges of its agenda; if it skips
+some, it goes on with the agenda of the set with these added, until it skips none. New agendas of a batch are made together
+in numpy, one merge of each word at a time;
 words over ``LONG`` characters go through a heap, in n log n. Characters without a piece become byte pieces, and so
 does the character that stands for a space in pieces; decoding gives back every text exactly.
 """
@@ -117,6 +120,12 @@ def with_bytes(v: Vocabulary, word: str, symbols: list[int]) -> bytes:
 
 def together(v: Vocabulary, words: list[str], key: int, dropout: float) -> list[bytes]:
     """Ids of many short words at once, as little-endian 32-bit bytes."""
+    hashed = np.fromiter((keyed(w, key) for w in words), np.uint64, len(words))
+    return agendas(v, words, lambda k, a, b, c: skipped(hashed[k], a, b, c, dropout) if dropout else np.zeros(len(k), bool))[0]
+
+
+def agendas(v: Vocabulary, words: list[str], skip) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Ids of many short words, and the merges done: the word of each and its places. ``skip`` tells which merges may not be done."""
     code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     size = np.fromiter(map(len, words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), size)
@@ -124,8 +133,7 @@ def together(v: Vocabulary, words: list[str], key: int, dropout: float) -> list[
     a = np.arange(len(code)) - first[owner]
     sym, b = v.char[code], a + 1
     sym = np.where(sym < 0, -1 - a, sym)
-    hashed = np.fromiter((keyed(w, key) for w in words), np.uint64, len(words))
-    done = []
+    done, ways = [], [(np.zeros(0, np.int64),) * 2]
 
     def candidates(i: np.ndarray) -> np.ndarray:
         """The piece that symbols i and i + 1 make, or -1."""
@@ -133,10 +141,9 @@ def together(v: Vocabulary, words: list[str], key: int, dropout: float) -> list[
         use = np.flatnonzero(i + 1 < len(sym))
         use = use[owner[i[use]] == owner[i[use] + 1]]
         made[use] = v.merge(sym[i[use]], sym[i[use] + 1])
-        if dropout:
-            use = np.flatnonzero(made >= 0)
-            k = i[use]
-            made[use[skipped(hashed[owner[k]], a[k], b[k], b[k + 1], dropout)]] = -1
+        use = np.flatnonzero(made >= 0)
+        k = i[use]
+        made[use[skip(owner[k], a[k], b[k], b[k + 1])]] = -1
         return made
 
     made = candidates(np.arange(len(sym)))
@@ -150,6 +157,7 @@ def together(v: Vocabulary, words: list[str], key: int, dropout: float) -> list[
         if not stay.all():
             done.append((owner[~stay], sym[~stay]))
         at = best[live] & 0xFFFFFFFF
+        ways.append((owner[at], a[at] << 12 | b[at] << 6 | b[at + 1]))
         sym[at], b[at] = made[at], b[at + 1]
         stay[at + 1] = False
         place = np.cumsum(stay) - 1
@@ -168,39 +176,85 @@ def together(v: Vocabulary, words: list[str], key: int, dropout: float) -> list[
     for i, hi in enumerate(ends.tolist()):
         out.append(with_bytes(v, words[i], sym[lo:hi].tolist()) if i in odd else data[4 * lo : 4 * hi])
         lo = hi
-    return out
+    who, way = (np.concatenate(x) for x in zip(*ways, strict=True))
+    order = np.argsort(who, kind="stable")
+    return out, who[order], way[order]
 
 
-class Encoder:
-    def __init__(self, model: str, dropout: float, seed: int, variants: int):
-        self.v, self.dropout, self.seed, self.variants = Vocabulary(model), dropout, seed, variants
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
+class Agendas:
+    """Agendas by number: the word, the skipped candidates, the ids and the merges done. They only depend on word and skipped set."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.number, self.word, self.skips, self.ids = v, {}, [], [], []
+        self.ways, self.start = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def variant(self, doc_id: int | None) -> int:
-        return xxhash.xxh64_intdigest(str(doc_id).encode(), seed=self.seed) % self.variants
+    def add(self, wanted: list[tuple[str, frozenset]]) -> None:
+        new = [x for x in dict.fromkeys(wanted) if x not in self.number]
+        if not new:
+            return
+        gone = np.sort(np.array([i << 18 | m for i, (_, s) in enumerate(new) for m in s] or [-1], np.int64))
+
+        def skip(k, a, b, c):
+            at = k << 18 | a << 12 | b << 6 | c
+            return gone[np.minimum(np.searchsorted(gone, at), len(gone) - 1)] == at
+
+        ids, who, way = agendas(self.v, [w for w, _ in new], skip)
+        for x in new:
+            self.number[x] = len(self.number)
+            self.word.append(x[0])
+            self.skips.append(x[1])
+        self.ids.extend(ids)
+        self.ways = np.concatenate([self.ways, way])
+        self.start = np.append(self.start, self.start[-1] + np.cumsum(np.bincount(who, minlength=len(new))))
+
+
+class Encoder:
+    def __init__(self, model: str, dropout: float, seed: int, variant: int = 0):
+        self.v, self.dropout, self.seed, self.variant = Vocabulary(model), dropout, seed, variant
+        self.agendas = Agendas(self.v)
+
+    def short(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of occurrences of words, each drawn by its own key."""
+        if len(self.agendas.number) > CACHE:
+            self.agendas = Agendas(self.v)
+        g = self.agendas
+        plain = {w: (w, frozenset()) for w in set(words)}
+        g.add(list(plain.values()))
+        number = {w: g.number[x] for w, x in plain.items()}
+        now = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        left = np.arange(len(words) if self.dropout else 0)
+        while len(left):
+            own = now[left]
+            size = g.start[own + 1] - g.start[own]
+            who = np.repeat(np.arange(len(left)), size)
+            way = g.ways[np.arange(len(who)) + np.repeat(g.start[own] - (np.cumsum(size) - size), size)]
+            out = np.flatnonzero(skipped(keys[left[who]], way >> 12, way >> 6 & 63, way & 63, self.dropout))
+            who, way = who[out], way[out]
+            heads = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else who
+            merges, nxt = way.tolist(), []
+            for lo, hi, n in zip(heads.tolist(), [*heads[1:].tolist(), len(who)], own[who[heads]].tolist(), strict=False):
+                nxt.append((g.word[n], g.skips[n].union(merges[lo:hi])))
+            g.add(nxt)
+            left = left[who[heads]]
+            now[left] = np.fromiter(map(g.number.__getitem__, nxt), np.int64, len(nxt))
+        return list(map(g.ids.__getitem__, now.tolist()))
 
     def __call__(self, doc_ids: list, texts: list[str | None]) -> list[bytes]:
         words = [WORD.findall(" " + t) if t else [] for t in texts]
-        own = [self.variant(d) for d in doc_ids]
-        out: list[bytes] = [b""] * len(texts)
-        for variant, cache in enumerate(self.caches):
-            mine = [i for i, x in enumerate(own) if x == variant]
-            new = {w for i in mine for w in words[i]} - cache.keys()
-            key = self.seed * 1_000_003 + variant
-            short = [w for w in new if len(w) <= LONG]
-            made = dict(zip(short, together(self.v, short, key, self.dropout), strict=True)) if short else {}
-            for w in new:
-                if len(w) > LONG:
-                    made[w] = with_bytes(self.v, w, by_heap(self.v, w, key, self.dropout))
-            if len(cache) < CACHE:
-                cache.update(made)
-                made = cache if len(made) <= len(cache) and made.keys() <= cache.keys() else made
-                get = cache.__getitem__
-            else:
-                get = lambda w, made=made, cache=cache: made[w] if w in made else cache[w]
-            for i in mine:
-                out[i] = b"".join(map(get, words[i]))
-        return out
+        flat = [w for x in words for w in x]
+        ends = np.cumsum([len(x) for x in words], dtype=np.int64)
+        doc = np.array([xxhash.xxh64_intdigest(str(d).encode(), seed=(self.seed * 1_000_003 + self.variant) & ((1 << 64) - 1)) for d in doc_ids], np.uint64)
+        size = np.diff(np.append(0, ends))
+        place = np.arange(len(flat)) - np.repeat(ends - size, size)
+        keys = mix(np.repeat(doc, size) + mix(place.astype(np.uint64) + np.uint64(1)))
+        long = [i for i, w in enumerate(flat) if len(w) > LONG]
+        for_short = [i for i, w in enumerate(flat) if len(w) <= LONG] if long else range(len(flat))
+        made: list[bytes] = [b""] * len(flat)
+        for i, x in zip(for_short, self.short([flat[i] for i in for_short], keys[list(for_short)] if long else keys), strict=True):
+            made[i] = x
+        for i in long:
+            made[i] = with_bytes(self.v, flat[i], by_heap(self.v, flat[i], int(keys[i]), self.dropout))
+        return [b"".join(made[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.data.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
@@ -232,9 +286,9 @@ def ranges(texts: list[str | None]):
         yield lo, len(texts)
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 7, variants: int = 4, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 7, variant: int = 0, model: str | None = None) -> DataFrame:
     """doc_id, ids for each row of ``docs`` (doc_id, text); null and empty texts have no ids. Equal rows give equal ids."""
-    how = (model or model_file(), dropout, seed, variants)
+    how = (model or model_file(), dropout, seed, variant)
 
     def run(batches):
         e = encoder(*how)
@@ -249,7 +303,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 7, variants: int =
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, text for each row of ``encoded`` (doc_id, ids); null ids give a null text."""
-    how = (model or model_file(), 0.0, 0, 1)
+    how = (model or model_file(), 0.0, 0, 0)
 
     def run(batches):
         e = encoder(*how)
@@ -263,7 +317,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 def op9_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded with dropout and decoded: a digest of the ids, and of the decoded text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    how = (model_file(), 0.1, 7, 4)
+    how = (model_file(), 0.1, 7, 0)
 
     def run(batches):
         e = encoder(*how)

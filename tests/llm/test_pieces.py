@@ -35,3 +35,21 @@ def test_varied_and_reproducible(few, rows, none):
     back = sorted(str((r.doc_id, r.text)) for r in Q.decode(Q.encode(few, dropout=0.5)).collect())
     assert back == sorted(str((r[0], r[1] or "")) for r in rows)
     assert Q.encode(none).count() == 0
+
+
+def test_each_occurrence_is_drawn_anew():
+    e = Q.Encoder(Q.model_file(), 0.1, 7)
+    n = 3000
+    one = e([1], [" ".join(["international"] * n)])[0]
+    same = e([1] * 3, ["international"] * 3)
+    assert same[0] == same[1] == same[2] and e.decode(one).decode() == " ".join(["international"] * n)
+    ways = [e([d], ["international"])[0] for d in range(n)]
+    assert len(set(ways)) > 4
+    # Results are those of drawing each candidate in turn.
+    plain = e.agendas.number[" international", frozenset()]
+    merges = e.agendas.start[plain + 1] - e.agendas.start[plain]
+    assert 0.9**merges - 0.05 < sum(w == e.agendas.ids[plain] for w in ways) / n < 0.95  # other ways may end in the same piece
+    words = [" international", " governments", " the"] * 50
+    keys = np.arange(150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    skip = lambda k, a, b, c: Q.skipped(keys[k], a, b, c, 0.1)
+    assert e.short(words, keys) == Q.agendas(e.v, words, skip)[0]
