@@ -4,21 +4,23 @@
    set, and the ``SKETCH`` smallest shingle hashes. Documents with equal sets form a class, and only one representative
    goes on: groups of exact copies cost nothing more.
 2. Inverted lists: each two neighbours in a class's sketch make a retained value. Two sets of similarity 0.8 share about
-   70 % of these values (sets no larger than a sketch share one at least, by the pigeonhole principle); a pair must
-   share ``needed`` of them, which it misses by chance about once in ten million. By the prefix principle only the
-   values beyond a class's ``needed - 1`` most frequent ones are listed, so very common values are in no list.
-3. Candidates: in each list, members meet a pivot. Those that turn out to be connected need no more comparisons. Those
-   that are close to one pivot are compared by their differences from it (see ``by_differences``), which rules out nearly
-   all pairs of a large group of near copies at once. The others meet further pivots, ``MORE`` times as many each round, until
-   all members of a list are connected or have met each other. No list is cut short.
-4. The sketch of the union estimates the similarity and drops hopeless candidates; the others are confirmed on the full
-   shingle sets of the texts. Components come from alternating large-star and small-star steps.
+   64 % of these values or more (sets no larger than a sketch share one at least, by the pigeonhole principle); a pair
+   must share ``needed`` of them. By the prefix principle only the values beyond a class's ``needed - 1`` most frequent
+   ones are listed, so very common values are in no list.
+3. Pivots: in each list, all members meet one pivot. The sketch of the union estimates the similarity and drops hopeless
+   pairs; the others are confirmed on the full shingle sets of the texts. Members that are close to one pivot are compared
+   by their differences from it (``by_differences``), which rules out nearly all pairs of a large group of near copies at
+   once. Members similar to the pivot are then done with the list: by the triangle inequality of the Jaccard distance
+   (1 - 0.8 twice) whatever is similar to them has 0.6 with the pivot, so it was close and has been compared. There are no
+   more pairs than list entries.
+4. The rest, whose lists still hold members that no pivot settled, meets once in an exact join on prefixes of the full
+   sets in order of rarity (``by_prefixes``), with positional filters: chance company in a list of a common value leaves
+   no pair behind. No list is cut short and no pair is left out.
+5. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +32,15 @@ from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix
 SKETCH = 48
 #: Share of a union that must be common, in percent.
 PERCENT = 80
-#: An estimate of the sketches may fall short of the threshold by this much: over five standard deviations.
-SLACK = 0.32
+#: Similarity that whatever is similar to a pivot's partner has with the pivot, in percent.
+CLOSE = 60
+#: Shares of the union's sketch below which a pair is hopeless: at the threshold, and for the company of a pivot. Both are
+#: over five standard deviations below what they stand for.
+HOPE, CLOSE_HOPE = 0.45, 0.24
 #: Rows up to which ids are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: How many times more pivots the members of a list meet in the next round.
-MORE = 8
+#: Bytes of text whose shingle sets a task keeps while it compares pairs.
+KEPT_BYTES = 2_000_000
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -69,8 +74,8 @@ def profiles(docs: DataFrame, k: int, sketch: int) -> DataFrame:
 
 
 def needed(values: Column) -> Column:
-    """Values that a pair must share, of ``values``: 1 up to 18, then rising to about a quarter."""
-    return F.greatest(F.lit(1), F.floor((values - 16) * 3 / 8))
+    """Values that a pair must share, of ``values``: 1 up to 21, then rising to 7 of 47."""
+    return F.greatest(F.lit(1), F.floor((values - 12) / 5))
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -111,10 +116,22 @@ def shingle_set(text: bytes, k: int) -> set:
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs (u, v) on their full shingle sets: whether they have the similarity (``ok``), the size ``n`` of v's set,
-    and hashes of the shingles that only one of them has (``diff``)."""
+    and, if they are ``CLOSE``, hashes of the shingles that only one of them has (``diff``; else null)."""
 
     def run(batches):
-        known = functools.lru_cache(256)(lambda t: shingle_set(t, k))
+        sets: dict[bytes, set] = {}
+        held = 0
+
+        def known(t: bytes) -> set:
+            nonlocal held
+            if t not in sets:
+                if held + len(t) > KEPT_BYTES:
+                    sets.clear()
+                    held = 0
+                held += len(t)
+                sets[t] = shingle_set(t, k)
+            return sets[t]
+
         for batch in batches:
             ok, n, diff = [], [], []
             for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
@@ -122,7 +139,8 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 common = len(p & q)
                 ok.append(100 * common >= PERCENT * (len(p) + len(q) - common))
                 n.append(len(q))
-                diff.append([word_hash(b" ".join(x)) for x in p ^ q])
+                close = 100 * common >= CLOSE * (len(p) + len(q) - common)
+                diff.append([word_hash(b" ".join(x)) for x in p ^ q] if close else None)
             made = [pa.array(ok, pa.bool_()), pa.array(n, pa.int64()), pa.array(diff, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["u", "v", "ok", "n", "diff"])
 
@@ -134,21 +152,22 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def by_differences(close: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the members (cls, n, root, diff) of each pivot that can be similar and have other roots.
+    """Pairs (u, v) of the members (cls, n, ok, root, diff) of each pivot that can be similar and have other roots; one of
+    them is similar to the pivot (``ok``).
 
     With a and b the sizes of two members' differences from their pivot and s the sum of their own sizes, similarity
     0.8 means that the differences share (a + b - s / 9) / 2 shingles or more: members that differ from the pivot by edits
     of their own cannot, however many there are. Prefixes of the rarest shingles find the others: a/4 of the set's size
     for the larger difference, 1/8 for the smaller one. Pairs that need no common shingle are both similar to the pivot.
     """
-    el = close.select("pivot", "cls", "n", "root", F.size("diff").alias("a"), F.explode("diff").alias("e"))
+    el = close.select("pivot", "cls", "n", "root", "ok", F.size("diff").alias("a"), F.explode("diff").alias("e"))
     often = el.groupBy("pivot", "e").agg(F.count("*").alias("df")).filter("df > 1")
     w = Window.partitionBy("pivot", "cls")
     shared = el.join(often, ["pivot", "e"]).withColumn("c", F.count("*").over(w))
     ranked = shared.withColumn("r", F.row_number().over(w.orderBy("df", "e")) + F.col("a") - F.col("c"))
-    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "root", "a", "c", "r")])
+    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "ok", "root", "a", "c", "r")])
     u, v, c = side("u", 4), side("v", 8), F.col
-    fits = (c("u_root") != c("v_root")) & ((c("u_a") > c("v_a")) | ((c("u_a") == c("v_a")) & (c("u_cls") > c("v_cls"))))
+    fits = (c("u_ok") | c("v_ok")) & (c("u_root") != c("v_root")) & ((c("u_a") > c("v_a")) | ((c("u_a") == c("v_a")) & (c("u_cls") > c("v_cls"))))
     twice = 9 * (c("u_a") + c("v_a")) - (c("u_n") + c("v_n"))  # 18 times the shingles that must be shared
     fits &= 18 * F.least("u_c", "v_c") >= twice
     # The rarest shared shingle leaves room for all others behind it.
@@ -166,77 +185,97 @@ def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
     """``roots`` after the links ``new`` (u, v): only the graph of known roots is solved."""
-    if new.isEmpty():
-        return roots
     if roots is None:
-        return materialize(components(new), "roots")
+        return None if new.isEmpty() else materialize(components(new), "roots")
     for end in ("u", "v"):
         new = new.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    new = materialize(new.filter("u <> v").select("u", "v").distinct(), "links")
+    if new.isEmpty():
+        return roots
     top = components(new)
     old = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return materialize(old.unionByName(top.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
-def hopeful(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
-    """The pairs that their sizes and the sketch of their union leave possible."""
+def hopeful(pairs: DataFrame, classes: DataFrame, sketch: int, size: int = PERCENT, hope: float = HOPE) -> DataFrame:
+    """The pairs that their sizes (the smaller at least ``size`` percent of the larger) and the sketch of their union leave possible."""
     one = classes.select(F.col("cls").alias("u"), F.col("low").alias("p"), F.col("n").alias("np"))
     two = classes.select(F.col("cls").alias("v"), F.col("low").alias("q"), F.col("n").alias("nq"))
     union = F.slice(F.sort_array(F.array_union("p", "q")), 1, sketch)
-    both = pairs.join(one, "u").filter("np > 0").join(two, "v").filter(100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq"))
+    both = pairs.join(one, "u").filter("np > 0").join(two, "v").filter(100 * F.least("np", "nq") >= size * F.greatest("np", "nq"))
     both = both.select("u", "v", F.size(F.array_intersect(F.array_intersect("p", "q"), union)).alias("common"), F.size(union).alias("of"))
-    return both.filter(F.col("common") >= F.col("of") * (PERCENT / 100 - SLACK)).select("u", "v")
+    return both.filter(F.col("common") >= F.col("of") * hope).select("u", "v")
+
+
+def shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, e): the distinct shingle hashes of each class's text (cls, text)."""
+    kind = texts.schema["cls"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            own = [np.fromiter({word_hash(b" ".join(x)) for x in shingle_set(t, k)}, np.int64) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["cls", "e"])
+
+    return texts.select("cls", "text").mapInArrow(run, f"cls {kind}, e array<long>").select("cls", F.explode("e").alias("e"))
+
+
+def by_prefixes(el: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes with other roots that can be similar, of ``el`` (cls, n, root, e: all elements of the sets).
+
+    Similar sets share 4/9 of their sizes' sum: of the larger one all but a fifth, of the smaller one all but a ninth. So
+    their first common element in order of rarity is among the first fifth, and ninth, of the elements, and leaves room
+    for all others behind it. Elements that occur under one root only cannot be shared: they come first and meet nobody.
+    """
+    often = el.groupBy("e").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("e", "df")
+    w = Window.partitionBy("cls")
+    shared = el.join(often, "e").withColumn("c", F.count("*").over(w)).filter(10 * F.col("c") >= 8 * F.col("n"))
+    ranked = shared.withColumn("r", F.row_number().over(w.orderBy("df", "e")) + F.col("n") - F.col("c"))
+    side = lambda x, part: ranked.filter(F.col("r") <= F.floor(F.col("n") / part) + 1).select("e", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "root", "c", "r")])
+    u, v, c = side("u", 5), side("v", 9), F.col
+    fits = (c("u_root") != c("v_root")) & ((c("u_n") > c("v_n")) | ((c("u_n") == c("v_n")) & (c("u_cls") > c("v_cls"))))
+    must = 4 * (c("u_n") + c("v_n"))
+    fits &= (9 * F.least("u_c", "v_c") >= must) & (9 * (1 + F.least(c("u_n") - c("u_r"), c("v_n") - c("v_r"))) >= must)
+    return u.join(v, "e").filter(fits).select(F.least("u_cls", "v_cls").alias("u"), F.greatest("u_cls", "v_cls").alias("v")).distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, k: int, sketch: int) -> DataFrame | None:
-    """Roots (node, root) of the classes that have confirmed links; see the rounds above."""
-    kind = classes.schema["cls"].dataType.simpleString()
-    lists = materialize(inverted_lists(classes).withColumn("near", F.array().cast(f"array<{kind}>")), "lists")
+    """Roots (node, root) of the classes that have confirmed links; see the steps above."""
+    lists = materialize(inverted_lists(classes), "lists")
+    if lists.isEmpty():
+        return None
     members = lists.select("cls").distinct()
     members = materialize(classes.select("cls", "n", "low").join(small(members), "cls", "left_semi"), "members")
     ids = small(members.select(F.col("cls.doc_id").alias("doc_id"), F.col("cls.th").alias("th"), "cls"))
     raw = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     texts = materialize(raw.join(ids, ["doc_id", "th"]).select("cls", "text").dropDuplicates(["cls"]), "texts")
-    roots = tested = None
-    pivots = 1
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return pairs if tested is None else pairs.withColumns({"x": F.least("u", "v"), "y": F.greatest("u", "v")}).join(tested, ["x", "y"], "left_anti").select("u", "v")
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        ends = small(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct())
-        return compared(pairs, texts.join(ends, "cls", "left_semi"), k)
-
-    while True:
-        now = rooted(lists, roots)
-        live = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("value")
-        now = materialize(now.join(live, "value", "left_semi"), "live")
-        if now.isEmpty():
-            return roots
-        salt = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-        chosen = now.groupBy("value", salt.alias("salt")).agg(F.min(F.struct("cls", "root", "near")).alias("c"))
-        chosen = materialize(chosen.select("value", F.col("c.cls").alias("pivot"), F.col("c.root").alias("pivot_root"), F.col("c.near").alias("pivot_near")), "pivots")
-        # Members that were close to one pivot have been compared by their differences from it.
-        met = now.join(chosen, "value").filter("cls <> pivot and root <> pivot_root and not arrays_overlap(near, pivot_near)")
-        pairs = materialize(untested(met.select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()), "pairs")
-        close = materialize(with_texts(materialize(hopeful(pairs, members, sketch), "hopeful")), "close")
-        roots = merged(roots, close.filter("ok").select("u", "v"))
-        done = pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-        tested = done if tested is None else tested.unionByName(done)
-        own = rooted(close.select(F.col("u").alias("pivot"), F.col("v").alias("cls"), "n", "diff"), roots)
-        several = own.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot")
-        more = materialize(untested(by_differences(own.join(several, "pivot", "left_semi"))), "pairs")
-        if not more.isEmpty():
-            tested = tested.unionByName(more.select(F.col("u").alias("x"), F.col("v").alias("y")))
-            roots = merged(roots, materialize(with_texts(hopeful(more, members, sketch)).filter("ok").select("u", "v"), "links"))
-        # Pivots have met all others of their lists; lists whose members are all close to one pivot are done.
-        near = met.join(close.select(F.col("u").alias("pivot"), F.col("v").alias("cls")), ["pivot", "cls"]).groupBy("value", "cls").agg(F.collect_set("pivot").alias("add"))
-        left = now.join(near, ["value", "cls"], "left").select("value", "cls", F.concat("near", F.coalesce("add", F.array().cast(f"array<{kind}>"))).alias("near"))
-        left = left.join(chosen.select("value", F.col("pivot").alias("cls")), ["value", "cls"], "left_anti")
-        left = materialize(left, "lists")
-        sizes = left.groupBy("value").agg(F.count("*").alias("size"))
-        full = left.select("value", F.explode("near").alias("p")).groupBy("value", "p").agg(F.count("*").alias("m")).join(sizes, "value").filter("m = size").select("value").distinct()
-        lists = left.join(full, "value", "left_anti")
-        pivots *= MORE
+    def on_words(pairs: DataFrame, few: bool = True) -> DataFrame:
+        own = texts
+        if few:
+            pairs = materialize(pairs, "hopeful")
+            own = texts.join(small(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()), "cls", "left_semi")
+        return materialize(compared(pairs, own, k), "compared")
+
+    # Each list has one pivot.
+    pivots = lists.groupBy("value").agg(F.min("cls").alias("pivot"))
+    met = materialize(lists.join(pivots, "value").filter("cls <> pivot"), "met")
+    pairs = met.select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()
+    close = on_words(hopeful(pairs, members, sketch, CLOSE, CLOSE_HOPE), few=False)
+    roots = merged(None, close.filter("ok").select("u", "v"))
+    # What is close to a pivot, by differences; pivots whose company has one root have nothing to find.
+    own = rooted(close.filter("diff is not null").select(F.col("u").alias("pivot"), F.col("v").alias("cls"), "n", "ok", "diff"), roots)
+    several = own.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("pivot")
+    more = on_words(hopeful(by_differences(own.join(several, "pivot", "left_semi")), members, sketch)).filter("ok").select("u", "v")
+    # The rest: lists with several roots among the members that their pivots did not settle.
+    settled = close.filter("ok").select(F.col("u").alias("pivot"), F.col("v").alias("cls"))
+    rest = rooted(met.join(settled, ["pivot", "cls"], "left_anti").select("value", "cls"), roots)
+    several = rest.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("value")
+    rest = materialize(rest.join(several, "value", "left_semi").select("cls", "root").distinct(), "rest")
+    if rest.isEmpty():
+        return merged(roots, more)
+    rest = members.select("cls", "n").join(rest, "cls")
+    elements = shingles(texts.join(small(rest.select("cls")), "cls", "left_semi"), k)
+    pairs = by_prefixes(materialize(elements.join(rest, "cls"), "elements"))
+    return merged(roots, more.unionByName(on_words(hopeful(pairs, members, sketch)).filter("ok").select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, sketch: int = SKETCH) -> DataFrame:

@@ -94,9 +94,23 @@ def test_differences_find_every_similar_pair(spark):
         for m in range(6):
             own = set(rng.sample(sorted(shared), len(shared) - rng.randrange(12))) | {10**6 + 1000 * (6 * g + m) + i for i in range(rng.randrange(10))}
             sets.append(own)
-    rows = [(0, i + 1, len(s), i + 1, sorted(s ^ pivot)) for i, s in enumerate(sets)]
-    close = spark.createDataFrame(rows, "pivot long, cls long, n long, root long, diff array<long>")
+    rows = [(0, i + 1, len(s), True, i + 1, sorted(s ^ pivot)) for i, s in enumerate(sets)]
+    close = spark.createDataFrame(rows, "pivot long, cls long, n long, ok boolean, root long, diff array<long>")
     got = {(r.u, r.v) for r in N.by_differences(close).collect()}
     similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
     want = {(i + 1, j + 1) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and similar(a, b) and not (similar(a, pivot) and similar(b, pivot))}
     assert len(want) > 20 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_prefixes_find_every_similar_pair(spark):
+    """Sets of common and own elements: all similar pairs with other roots are found, most others are not."""
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(60)]
+    for i in range(60):
+        near = set(rng.choice(sets))
+        near -= set(rng.sample(sorted(near), len(near) // rng.choice((5, 8, 12))))
+        sets.append(near | {1000 * (i + 1) + j for j in range(rng.randrange(4))})
+    rows = [(i, len(s), i % 50, e) for i, s in enumerate(sets) for e in s]
+    got = {(r.u, r.v) for r in N.by_prefixes(spark.createDataFrame(rows, "cls long, n long, root long, e long")).collect()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and i % 50 != j % 50 and 100 * len(a & b) >= 80 * len(a | b)}
+    assert len(want) > 20 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
