@@ -7,6 +7,8 @@ on bytes; the regular expression below says the same to the JVM.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -17,16 +19,18 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Entries that a worker's word cache may hold; a full cache computes new words each time instead.
-CACHE_WORDS = 300_000
+#: Entries that a worker's word cache may hold, and bytes of each; other words are computed each time instead.
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
 #: Bytes of text that a task works on at a time.
 CHUNK_BYTES = 4_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; in tests, where it is unset, one under /tmp."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine, where it may be unset, one under /tmp."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "/tmp/checkpoints/causeway"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -53,8 +57,31 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str, key, make):
+    """What a Python worker keeps for one operator from task to task, made once.
+
+    Workers are used by one stage after another: what another operator has left in this one is dropped first.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if give_back:
+            give_back(0)
+    own = _KEPT[owner]
+    if key not in own:
+        own.clear()
+        own[key] = make()
+    return own[key]
+
+
 class Words(dict):
-    """A bounded cache from a word (bytes) to a number that ``make`` gives; use it as ``map(cache.__getitem__, words)``."""
+    """A bounded cache from a word to what ``make`` gives; use it as ``map(cache.__getitem__, words)``."""
 
     def __init__(self, make, size: int = CACHE_WORDS):
         super().__init__()
@@ -62,7 +89,7 @@ class Words(dict):
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) < self.size:
+        if len(self) < self.size and len(word) <= CACHE_BYTES:
             self[word] = value
         return value
 
@@ -72,15 +99,13 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-_HASHES = Words(word_hash)
-
-
 def hashed_words(texts: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """All words of all texts as 64-bit hashes, one after the other, and where each text begins (one more entry than texts)."""
+    known = kept("hashes", None, lambda: Words(word_hash))
     parts, starts = [], np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         words = (t.lower() if lower else t).split() if t else ()
-        parts.append(np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words)))
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         starts[i + 1] = starts[i] + len(words)
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)).view(np.uint64), starts
 

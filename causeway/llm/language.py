@@ -8,8 +8,8 @@ that followed it n times costs -log2(n / (total + distinct)), any other costs an
 distinct)) and is looked for in the next shorter context, down to a uniform one over 256 bytes. There is no exclusion, so
 a byte's cost depends on its context alone, and a word's cost on the word: costs are cached by word and summed.
 
-The trees are fitted on a bounded sample: at most about ``SAMPLE`` labelled documents of each language, chosen by hash
-among all those outside the held-out fold. Prediction reads all words of all texts.
+The trees are fitted on a bounded sample: at most about ``SAMPLE`` labelled documents of each language (``EQUAL`` times as
+many of all), chosen by hash among all those outside the held-out fold. Prediction reads all words of all texts.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import CACHE_WORDS, as_bytes, chunks, id_crc
+from causeway.llm.common import CACHE_BYTES, CACHE_WORDS, as_bytes, chunks, id_crc, kept
 
 ORDER = 4
-#: Labelled documents of each language that the trees are fitted on, about.
-SAMPLE = 2500
-#: Bytes of a word that are coded in one go; a longer word is coded in pieces of this length.
-WORD_BYTES = 48
+#: Labelled documents of each language that the trees are fitted on, about; with more than ``EQUAL`` languages, in proportion fewer.
+SAMPLE, EQUAL = 2500, 8
+#: Costs (a number for each language) that a worker keeps, and that it works on at a time.
+HELD, AT_ONCE = 4_000_000, 2_000_000
 #: Bytes of text that are coded at a time.
 CHUNK_BYTES = 3_000_000
 #: A stage rejects texts without letters and those that no language codes in this many bits a byte.
@@ -103,12 +103,12 @@ class Trees:
 
     def fresh(self) -> None:
         """An empty cache of word costs."""
-        self.known, self.held = Known(), np.zeros((CACHE_WORDS, len(self.languages)), np.float32)
+        self.room = min(CACHE_WORDS, HELD // max(1, len(self.languages)))
+        self.known, self.held = Known(), np.zeros((self.room, len(self.languages)), np.float32)
 
     @classmethod
-    def fit(cls, counts: list[tuple[int, int, int]], languages: list[str], order: int) -> Trees:
-        """counts: (language, key of context and byte, how often)."""
-        lang, key, n = (np.array(x) for x in zip(*counts, strict=True)) if counts else (np.zeros(0, np.int64),) * 3
+    def fit(cls, lang: np.ndarray, key: np.ndarray, n: np.ndarray, languages: list[str], order: int) -> Trees:
+        """Counts: of each language, key of context and byte, how often."""
         key = key.astype(np.int64).view(np.uint64)
         keys, row = np.unique(key, return_inverse=True)
         table = np.zeros((len(keys), len(languages)))
@@ -131,6 +131,15 @@ class Trees:
         at = np.append(at, starts[1:])  # the space after each word closes it
         depth = np.append(depth[depth > 0], np.diff(starts))
         owner = np.append(np.repeat(np.arange(len(words)), np.diff(starts) - 1), np.arange(len(words)))
+        out, step = np.zeros((len(words), len(self.languages))), max(1, AT_ONCE // max(1, len(self.languages)))
+        for lo in range(0, len(at), step):
+            bits = self.bits_at(data, depth[lo : lo + step], at[lo : lo + step])
+            for k in range(len(self.languages)):
+                out[:, k] += np.bincount(owner[lo : lo + step], bits[:, k], len(words))
+        return out
+
+    def bits_at(self, data: np.ndarray, depth: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of the bytes at ``at``, each after the bytes before it, in each language."""
         bits = np.zeros((len(at), len(self.languages)), np.float32)
         open_ = np.ones(bits.shape, bool)
         for order in range(self.order, -1, -1):
@@ -145,11 +154,7 @@ class Trees:
             todo, known = open_[use], ~np.isnan(c)
             bits[use] += np.where(todo & known, c, np.where(todo & ~np.isnan(e), e, 0))
             open_[use] = todo & ~known
-        bits += np.where(open_, np.float32(8), np.float32(0))
-        out = np.zeros((len(words), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, bits[:, k], len(words))
-        return out
+        return bits + np.where(open_, np.float32(8), np.float32(0))
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text in each language, and its bytes with one white space after each word."""
@@ -159,8 +164,6 @@ class Trees:
             for i in range(lo, hi):
                 words = texts[i].split() if texts[i] else []
                 size[i] = sum(map(len, words)) + len(words)
-                if words and max(map(len, words)) > WORD_BYTES:
-                    words = [w[j : j + WORD_BYTES] for w in words for j in range(0, len(w), WORD_BYTES)]
                 flat.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
                 ends.append(len(words))
             rows = np.concatenate(flat)
@@ -177,11 +180,12 @@ class Trees:
         """Costs of the words that ``known`` met for the first time; as many as fit join the cache."""
         new = list(self.known.new)
         self.known.new = {}
-        cost = np.concatenate([np.zeros((0, len(self.languages))), *[self.cost_of(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]]).astype(np.float32)
+        cost = self.cost_of(new).astype(np.float32) if new else np.zeros((0, len(self.languages)), np.float32)
         at = len(self.known)
-        for j, w in enumerate(new[: CACHE_WORDS - at]):
-            self.known[w] = at + j
-        self.held[at : at + len(new)] = cost[: CACHE_WORDS - at]
+        short = [j for j, w in enumerate(new) if len(w) <= CACHE_BYTES][: self.room - at]
+        for i, j in enumerate(short):
+            self.known[new[j]] = at + i
+        self.held[at : at + len(short)] = cost[short]
         return cost
 
 
@@ -196,28 +200,24 @@ class Known(dict):
         return self.new.setdefault(word, CACHE_WORDS + len(self.new))
 
 
-_TREES: dict[str, Trees] = {}
-
-
 def fit(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Trees:
     """Trees from ``labelled`` (doc_id, text, lang): every row may be drawn, at most about ``sample`` of a language are.
 
     Rows with a null text or lang teach nothing. The sample bounds what reaches the driver.
     """
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    share = F.lit(0.0)
-    for x in languages:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, sample / sizes[x]))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = rows.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # the model has a column for each
+    sample = min(sample, EQUAL * sample // max(1, len(languages)) + 1)
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("share"))
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
         for batch in batches:
             for language in set(batch.column(1).to_pylist()):
                 own = batch.filter(pc.equal(batch.column(1), language))
-                words = [w[j : j + WORD_BYTES] for t in as_bytes(own.column(0)) for w in t.split() for j in range(0, len(w), WORD_BYTES)]
+                words = [w for t in as_bytes(own.column(0)) for w in t.split()]
                 if not words:
                     continue
                 data, depth, starts = padded(words)
@@ -232,7 +232,7 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Trees:
 
     counted = drawn.select("text", "lang").mapInArrow(count, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # bounded: the sample's contexts
-    return Trees.fit(list(zip(*[table.column(c).to_pylist() for c in ("lang", "key", "n")], strict=True)), languages, order)
+    return Trees.fit(*[table.column(c).to_numpy() for c in ("lang", "key", "n")], languages, order)
 
 
 LETTER = r"\p{L}"
@@ -250,38 +250,34 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     names, mark = trees.languages, uuid.uuid4().hex
 
     def own() -> Trees:
-        if mark not in _TREES:
-            _TREES.clear()
-            t = Trees.__new__(Trees)
-            t.languages, t.order, t.symbols, t.cost, t.contexts, t.escape = shared.value
-            t.fresh()
-            _TREES[mark] = t
-        return _TREES[mark]
-
-    @F.pandas_udf("lang string, score double, bits double")
-    def best(texts):
-        import pandas as pd
-
-        bits, size = own().texts([None if t is None else t.encode() for t in texts])
+        t = Trees.__new__(Trees)
+        t.languages, t.order, t.symbols, t.cost, t.contexts, t.escape = shared.value
+        t.fresh()
+        return t
+
+    @F.arrow_udf("lang string, score double, bits double")
+    def best(texts: pa.Array) -> pa.Array:
         if not names:
-            return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "bits": 0.0})
+            return struct(["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
+        bits, size = kept("language", mark, own).texts(as_bytes(texts))
         top = bits.argmin(1)
         # Likelihoods of the whole text differ by hundreds of bits; by the square root of its length they stay apart from 0 and 1.
         scaled = -(bits - bits.min(1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None]
         odds = np.exp2(scaled)
-        return pd.DataFrame({"lang": np.array(names, object)[top], "score": odds.max(1) / odds.sum(1), "bits": bits.min(1) / np.maximum(size, 1)})
+        return struct(np.array(names, object)[top], odds.max(1) / odds.sum(1), bits.min(1) / np.maximum(size, 1))
+
+    def struct(*columns) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["lang", "score", "bits"])
 
-    t = F.col(f"`{text}`")
+    t, found = F.col(f"`{text}`"), f"_best_{mark}"
     has = F.coalesce(t.rlike(LETTER), F.lit(False))
-    out = docs.withColumn("_best", best(t))
+    out = docs.withColumn(found, best(t))
     learned = has if names else F.lit(False)
     return out.withColumns({
-        "lang_pred": F.when(learned, F.col("_best.lang")).otherwise("und"),
-        "score": F.when(learned, F.col("_best.score")).otherwise(0.0),
-        "bits_per_byte": F.when(learned, F.col("_best.bits")),
-    }).drop("_best")
-
-
+        "lang_pred": F.when(learned, F.col(f"{found}.lang")).otherwise("und"),
+        "score": F.when(learned, F.col(f"{found}.score")).otherwise(0.0),
+        "bits_per_byte": F.when(learned, F.col(f"{found}.bits")),
+    }).drop(found)
 
 def held_out():
     return F.coalesce(id_crc() % 4 == 2, F.lit(False))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import Words, materialize
+from causeway.llm.common import CHUNK_BYTES, Words, kept, materialize
 
 CAPACITY = 1024
 END = 2
@@ -41,9 +41,8 @@ class Encoder:
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.file, self.whole = tokenizer, None
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -51,6 +50,10 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if SPECIAL in text:
+            if self.whole is None:  # large, and needed by few texts
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.file)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if RUN.search(text):
             return np.array(self.plain(text), "<u4").tobytes()
@@ -58,14 +61,9 @@ class Encoder:
         return np.array(self.plain(first), "<u4").tobytes() + b"".join(map(self.after_space.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(*files: str) -> Encoder:
-    """One for each worker and set of files."""
-    if files not in _ENCODERS:
-        _ENCODERS[files] = Encoder(*files)
-    return _ENCODERS[files]
+    """One for each worker."""
+    return kept("packing", files, lambda: Encoder(*files))
 
 
 def tokenizer_files() -> tuple[str, str, str]:
@@ -80,12 +78,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, fi
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)], names=names)
+
     def run(batches):
         encode = encoder(*files)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, held = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
                 ids = encode(text) + end if text else end
                 n = len(ids) // 4
                 first = n if n <= capacity else (n % capacity or capacity)
@@ -93,9 +97,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, fi
                     hi = first if i == 0 else lo + capacity
                     own = ids[4 * lo : 4 * hi]
                     rows.append((doc, i, lo, hi - lo, zlib.crc32(own), *([np.frombuffer(own, "<i4")] if with_ids else ())))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)], names=names)
+                held += len(ids)
+                if held > CHUNK_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 

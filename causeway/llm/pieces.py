@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import mix
+from causeway.llm.common import kept, mix
 from causeway.llm.language import Table
 
 SPACE = "▁"
@@ -260,13 +260,9 @@ class Encoder:
         return b"".join(map(self.v.data.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(*how) -> Encoder:
-    if how not in _ENCODERS:
-        _ENCODERS[how] = Encoder(*how)
-    return _ENCODERS[how]
+    """One for each worker."""
+    return kept("pieces", how, lambda: Encoder(*how))
 
 
 def model_file() -> str:

@@ -37,7 +37,7 @@ def test_code_lengths(spark):
     train = [("the cat sat on the mat, the end", "a"), ("der hund und die katze", "b"), ("the other cat", "a")]
     docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string")
     trees = L.fit(docs, order=3)
-    text = "the dog sat under zebra é katze"
+    text = "the dog sat under zebra é katze " + "thecatsatonthemat" * 40
     got, size = trees.texts([text.encode(), None])
     for k, x in enumerate(trees.languages):
         own = [w for t, y in train if y == x for w in t.encode().split()]
@@ -62,6 +62,12 @@ def test_edges(spark, few, rows, none):
     assert {r.lang_pred for r in L.identify(few, L.fit(none)).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"word{i} only{i} of{i}", f"l{i:04}") for i in range(1000)], "doc_id long, text string, lang string")
+    out = L.identify(docs, L.fit(docs)).collect()
+    assert sum(r.lang_pred == r.lang for r in out) > 990
+
+
 def test_table():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     t = L.Table(keys)
