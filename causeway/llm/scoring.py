@@ -7,20 +7,23 @@ skip), the classes of the last two words together (an n-gram) and of the two bef
 
 Inside a class a word is reached by binary decisions down a Huffman tree, whose leaves are the class's frequent words and
 buckets of its other words. A decision's odds are those of the counts below it (the closed form of a model of word
-features alone) times the weights of its own hashed features of the history: the last word, the word before it, and the
-two pairs of classes, each with the decision. Words of a bucket share it by smoothed frequency, (c + 1) /
+features alone) times the weights of its own hashed features of the history: the last word and the word before it, each
+with the decision. Words of a bucket share it by smoothed frequency, (c + 1) /
 (N_bucket + V_bucket + 1), whose last share is for unknown words; so all probabilities of a history sum to one. Leaves,
 buckets and rows of weights rise with the vocabulary, up to bounds on a worker's memory.
 
 Counting and training read all training documents. Training goes in ``ROUNDS`` Spark jobs, each over its own share of the
-rows (by a hash of the text): tasks take mini-batch gradient steps from the last round's weights, and their weights are
-averaged, by blocks, in a shuffle. Counts of the ``HEAD`` most frequent words are broadcast (a bound on their size);
+rows (by a hash of the text). A round is one full-batch gradient update from the last round's weights: tasks sum what
+each feature has seen and what the model expected of it (the two terms of the gradient), the sums are added up by blocks
+in a shuffle, and each weight moves by the logarithm of the one over the other (iterative scaling). The sums do not
+depend on how rows are dealt to tasks, so neither does the model. Counts of the ``HEAD`` most frequent words are broadcast (a bound on their size);
 tokens of all other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import Words, as_bytes, chunks, id_crc, materialize, mix
+from causeway.llm.common import Words, as_bytes, chunks, id_crc, kept, materialize, mix
 
 CLASSES = 32
 #: Bytes of a word's ending.
@@ -39,12 +42,13 @@ HEAD = 100_000
 WORD_ROWS, CLASS_ROWS = 4096, 1024
 FEATURES = (WORD_ROWS, WORD_ROWS, CLASS_ROWS, CLASS_ROWS)
 #: Rows of word features, buckets of rare words in a class, and bits of the table of decisions' weights, at most.
-MOST_ROWS, MOST_BUCKETS, MOST_BITS = 16384, 256, 20
-BATCH, RATE, DAMPING, RARE, BOUND = 8192, 0.3, 1e-2, 16.0, 12.0
-#: Rounds of training, and tokens, rate and bound of the steps of the decisions' weights.
-ROUNDS, SMALL, WORD_RATE, WORD_BOUND = 3, 2048, 0.05, 4.0
-#: Rows of weights that are averaged together.
-BLOCK = 512
+MOST_ROWS, MOST_BUCKETS, MOST_BITS = 8192, 256, 19
+#: Rounds of training; rate, smoothing and bound of the weights of classes and of decisions.
+ROUNDS, RATE, RARE, BOUND, WORD_RATE, WORD_RARE, WORD_BOUND = 3, 0.4, 4.0, 10.0, 0.5, 4.0, 5.0
+#: Tokens that a task works on at a time.
+BATCH = 32_768
+#: Rows of weights whose sums travel together, and tasks that send sums at most (else two for each core).
+BLOCK, MOST_TASKS = 256, 16_384
 CHUNK = 1_500_000
 
 
@@ -132,21 +136,20 @@ class Model:
         own = y[np.arange(len(y)), target]
         return own - np.log(np.exp(y, out=y) @ np.ones(CLASSES, np.float32))
 
-    def step(self, rows: list[np.ndarray], target: np.ndarray, speed: list[np.ndarray]) -> None:
-        """One gradient step on a batch: for each feature row the mean gradient, with Adagrad's rates."""
-        g = np.exp(self.logits(rows))
-        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g[np.arange(len(target)), target] -= 1
-        by_class = g.T.astype(np.float64, order="C")
-        for t, r, s in zip(self.tables, rows, speed, strict=True):
-            total = np.empty(t.shape, np.float32)
-            for c, own in enumerate(by_class):
-                total[:, c] = np.bincount(r, own, len(t))
-            # A row that occurs rarely takes shorter steps.
-            total /= (np.bincount(r, minlength=len(t)) + RARE).astype(np.float32)[:, None]
-            s += (total * total).mean(1)
-            t -= total * (RATE / np.sqrt(s + DAMPING)).astype(np.float32)[:, None]
-            np.clip(t, -BOUND, BOUND, out=t)
+    def seen(self, rows: list[np.ndarray], target: np.ndarray) -> list[np.ndarray]:
+        """How often each class came with each feature row."""
+        return [np.bincount(r * CLASSES + target, minlength=t.size).reshape(t.shape) for t, r in zip(self.tables, rows, strict=True)]
+
+    def expect(self, rows: list[np.ndarray], into: list[np.ndarray]) -> None:
+        """Adds the probabilities of all classes, by feature row."""
+        y = self.logits(rows)
+        np.exp(y, out=y)
+        y /= (y @ np.ones(CLASSES, np.float32))[:, None]
+        for r, total in zip(rows, into, strict=True):
+            order = np.argsort(r.astype(np.uint16), kind="stable")
+            own = r[order]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            total[own[heads]] += np.add.reduceat(y[order], heads, axis=0)
 
 
 class Tree:
@@ -192,12 +195,10 @@ class Choice:
         self.names = mix(np.arange(1, len(tree.odds) + 1, dtype=np.uint64)).astype(np.uint32)
 
     @staticmethod
-    def history(cls: np.ndarray, leaf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Each token's four features as 32-bit hashes."""
+    def history(leaf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Each token's features, the last word and the word before it, as 32-bit hashes."""
         back = backs(starts)
-        c = [back(cls, d) for d in (1, 2, 3, 4)]
-        own = [back(leaf + 1, 1), back(leaf + 1, 2), c[0] * CLASSES + c[1], c[2] * CLASSES + c[3]]
-        return [mix(x.astype(np.uint64) * np.uint64(4) + np.uint64(f)).astype(np.uint32) for f, x in enumerate(own)]
+        return [mix(back(leaf + 1, d).astype(np.uint64) * np.uint64(4) + np.uint64(d)).astype(np.uint32) for d in (1, 2)]
 
     def decisions(self, history: list[np.ndarray], leaf: np.ndarray):
         """Of all tokens one after the other: the token, the side taken (1, -1), the weights' places, the log odds of side 1."""
@@ -216,15 +217,13 @@ class Choice:
         token, side, _, z = self.decisions(history, leaf)
         return np.bincount(token, -np.log1p(np.exp(np.minimum(-side * z, 80))), len(leaf))
 
-    def step(self, history: list[np.ndarray], leaf: np.ndarray, speed: np.ndarray) -> None:
-        """One gradient step on a batch, with Adagrad's rates."""
+    def sums(self, history: list[np.ndarray], leaf: np.ndarray, into: np.ndarray) -> None:
+        """Adds, for each weight, how often its feature met side 1, how often that was expected, and how often it met any (rows of ``into``)."""
         _, side, places, z = self.decisions(history, leaf)
-        g = (-side / (1 + np.exp(np.minimum(side * z, 80)))).astype(np.float32)
-        square = g * g
-        for p in places:
-            np.add.at(speed, p, square)
-        for p in places:
-            np.subtract.at(self.weights, p, np.float32(WORD_RATE) * g / np.sqrt(speed[p] + 1))
+        place, many = np.concatenate(places), len(places)
+        expected = 1 / (1 + np.exp(np.minimum(-z, 80)))
+        for k, w in enumerate((side > 0, expected, None)):
+            into[k] += np.bincount(place, None if w is None else np.tile(w, many), into.shape[1])
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -245,56 +244,74 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def averaged(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """One round: trains in every task over its rows, from ``tables``, and averages the tasks' weights, block by block.
+def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """One round: the weights ``tables`` after a full-batch gradient update over ``docs``.
 
-    ``parts`` broadcasts what makes a coder, and the tree. The last table holds the decisions' weights.
+    ``parts`` broadcasts what makes a coder, and the tree. The last table holds the decisions' weights. The sums that
+    travel are as large as the model, for each task; at most ``MOST_TASKS`` tasks send any.
     """
     spark = docs.sparkSession
     before = spark.sparkContext.broadcast(tables)
+    names = ["t", "b", "data"]
 
-    def train(batches):
-        coder_parts, tree = parts.value
-        code, own = Coder(*coder_parts), [t.copy() for t in before.value]
+    def rows(t: int, b: int, data: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], names=names)
+
+    def summed(batches):
+        mark, coder_parts, tree = parts.value
+        code, own = kept("scoring", mark, lambda: Coder(*coder_parts)), before.value
         model, choice = Model(bias.astype(np.float32), own[:-1]), Choice(tree, own[-1].reshape(-1))
-        speed, seen = [np.zeros(len(t), np.float32) for t in own[:-1]], 0
-        fast, batch_size = np.zeros(own[-1].size, np.float32), max(BATCH, 2 * code.rows)
+        fresh = not any(t.any() for t in own[:-1])  # then all expect what the bias says
+        seen, expected = ([np.zeros(t.shape) for t in own[:-1]] for _ in range(2))
+        decided, tokens = np.zeros((3, own[-1].size)), 0
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for lo, hi in chunks(texts, CHUNK):
                 cls, row, leaf, starts, _ = code(texts[lo:hi])
-                rows, history = features(cls, row, starts), choice.history(cls, leaf, starts)
-                for a in range(0, len(cls), batch_size):
-                    model.step([r[a : a + batch_size] for r in rows], cls[a : a + batch_size], speed)
-                for a in range(0, len(cls), SMALL):
-                    choice.step([h[a : a + SMALL] for h in history], leaf[a : a + SMALL], fast)
-                np.clip(own[-1], -WORD_BOUND, WORD_BOUND, out=own[-1])
-                seen += len(cls)
-        if not seen:
+                own_rows, history = features(cls, row, starts), choice.history(leaf, starts)
+                for total, more in zip(seen, model.seen(own_rows, cls), strict=True):
+                    total += more
+                for a in range(0, len(cls), BATCH):
+                    if not fresh:
+                        model.expect([r[a : a + BATCH] for r in own_rows], expected)
+                    choice.sums([h[a : a + BATCH] for h in history], leaf[a : a + BATCH], decided)
+                tokens += len(cls)
+        if not tokens:
             return
-        for t, table in enumerate(own):
-            for b in range(0, len(table), BLOCK):
-                block = np.ascontiguousarray(table[b : b + BLOCK])
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([float(seen)]), pa.array([block.tobytes()], pa.binary())], names=["t", "b", "weight", "data"])
-
-    def mean(batches):
-        total: dict[tuple, list] = {}
+        if fresh:
+            p = np.exp(bias) / np.exp(bias).sum()
+            expected = [x.sum(1, keepdims=True) * p for x in seen]
+        wide = [*(np.stack(x) for x in zip(seen, expected, strict=True)), decided.reshape(3, -1, CLASSES)]
+        for t, table in enumerate(wide):
+            for b in range(0, table.shape[1], BLOCK):
+                yield rows(t, b, table[:, b : b + BLOCK])
+
+    def total(batches):
+        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for t, b, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = total.setdefault((t, b), [0.0, 0.0])
-                held[0] += w
-                held[1] = held[1] + w * np.frombuffer(data, np.float32).astype(np.float64)
-        for (t, b), (w, data) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([w]), pa.array([(data / w).astype(np.float32).tobytes()], pa.binary())], names=["t", "b", "weight", "data"])
-
-    schema = "t int, b int, weight double, data binary"
-    local = docs.select(F.col("text").cast("string")).mapInArrow(train, schema)
-    # Each task of ``mean`` holds the running sums of its blocks, not their rows; the model is of a fixed size.
-    blocks = local.repartition(F.col("t"), F.col("b")).mapInArrow(mean, schema).toArrow()
+            for t, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = np.frombuffer(data, np.float32).astype(np.float64)
+                held[t, b] = held[t, b] + more if (t, b) in held else more
+        for (t, b), data in held.items():
+            yield rows(t, b, data)
+
+    schema = "t int, b int, data binary"
+    tasks = min(MOST_TASKS, 2 * spark.sparkContext.defaultParallelism)
+    local = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(summed, schema)
+    # Each task of ``total`` holds the running sums of its blocks, not their rows; the model is of a bounded size.
+    blocks = local.repartition(F.col("t"), F.col("b")).mapInArrow(total, schema).toArrow()
     tables = [t.copy() for t in tables]
-    for t, b, data in zip(*(blocks.column(c).to_pylist() for c in ("t", "b", "data")), strict=True):
-        own = np.frombuffer(data, np.float32).reshape(-1, CLASSES)
-        tables[t][b : b + len(own)] = own
+    for t, b, data in zip(*(blocks.column(c).to_pylist() for c in names), strict=True):
+        last = t == len(tables) - 1
+        x = np.frombuffer(data, np.float32).reshape(3 if last else 2, -1, CLASSES)
+        own = tables[t][b : b + x.shape[1]]
+        if last:
+            one, expected, n = x
+            own += WORD_RATE * (np.log((one + WORD_RARE) / (expected + WORD_RARE)) - np.log((n - one + WORD_RARE) / (n - expected + WORD_RARE)))
+            np.clip(own, -WORD_BOUND, WORD_BOUND, out=own)
+        else:
+            own += RATE * np.log((x[0] + RARE) / (x[1] + RARE))
+            np.clip(own, -BOUND, BOUND, out=own)
     return tables
 
 
@@ -348,11 +365,11 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
         rare[r["leaf"]] += r["mass"]
     head_cls = np.array([which.get(ending(w), 1) for w in head], np.int64)
     tree = Tree(np.concatenate([head_cls, np.repeat(np.arange(1, CLASSES), n_buckets)]), np.concatenate([head_n + 1.0, rare]))
-    parts = spark.sparkContext.broadcast((coder_parts, tree))
+    parts = spark.sparkContext.broadcast((uuid.uuid4().hex, coder_parts, tree))
     decisions = np.zeros((power(8 * v_all, 1 << 14, 1 << MOST_BITS) // CLASSES, CLASSES), np.float32)
     tables = [*Model.start(bias, n_rows).tables, decisions]
     for i in range(ROUNDS):
-        tables = averaged(learn.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i), parts, bias, tables)
+        tables = updated(learn.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i), parts, bias, tables)
     weights = spark.sparkContext.broadcast(tables)
 
     base_norm = np.log10(float(n_all + v_all + 1))
@@ -361,20 +378,19 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
 
     def base_parts(batches):
         """A row for each text with what is known at once, and its words outside the head, with counts and classes."""
-        coder_parts_, tree_ = parts.value
-        code, m = Coder(*coder_parts_), Model(bias.astype(np.float32), weights.value[:-1])
+        mark, own_parts, tree_ = parts.value
+        code, m = kept("scoring", mark, lambda: Coder(*own_parts)), Model(bias.astype(np.float32), weights.value[:-1])
         choice = Choice(tree_, weights.value[-1].reshape(-1))
         log_head = np.append(np.log10(head_n + 1.0), np.log10(end_n + 1.0))
         for batch in batches:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
             for lo, hi in chunks(texts, CHUNK):
                 cls, row, leaf, starts, said = code(texts[lo:hi])
-                rows, history = features(cls, row, starts), choice.history(cls, leaf, starts)
+                rows, history = features(cls, row, starts), choice.history(leaf, starts)
                 lp = np.empty(len(cls))
                 for a in range(0, len(cls), BATCH):
                     lp[a : a + BATCH] = m.log_p([r[a : a + BATCH] for r in rows], cls[a : a + BATCH])
-                for a in range(0, len(cls), SMALL):
-                    lp[a : a + SMALL] += choice.log_p([h[a : a + SMALL] for h in history], leaf[a : a + SMALL])
+                    lp[a : a + BATCH] += choice.log_p([h[a : a + BATCH] for h in history], leaf[a : a + BATCH])
                 place = np.where(leaf < len(head_n), leaf, -1)
                 shared = np.where(leaf < len(head_n), 0.0, log_rare[np.maximum(leaf - len(head_n), 0)])
                 last = starts[1:] - 1
