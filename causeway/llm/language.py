@@ -271,7 +271,8 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
 
     t, found = F.col(f"`{text}`"), f"_best_{mark}"
     has = F.coalesce(t.rlike(LETTER), F.lit(False))
-    out = docs.withColumn(found, best(t))
+    # Not deterministic to the optimiser, which else runs it once for a filter and once for the columns.
+    out = docs.withColumn(found, best.asNondeterministic()(t))
     learned = has if names else F.lit(False)
     return out.withColumns({
         "lang_pred": F.when(learned, F.col(f"{found}.lang")).otherwise("und"),
