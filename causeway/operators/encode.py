@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import token
+from causeway.operators.ordered import running
+from causeway.sources.sinks import store
 
-CATEGORICAL = ["event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd", "mcc_code", "pos_cd", "timezone", "operating_system_type"]
+# Fixed names: the categorical columns of an event.
+CATEGORICAL = [
+    "event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd", "mcc_code", "pos_cd", "timezone", "operating_system_type",
+    "accept_language", "browser_language", "session_id", "battery", "device_system_version", "screen_size", "developer_tools", "phone_voip_call_state", "web_rdp_connection", "compromised",
+]
+#: Values of a column up to which its codes are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_VALUES = 100_000
 
 
 def fit_categories(df: DataFrame, columns: list[str], order: str = "event_id") -> DataFrame:
-    """(col, value, code): codes count a column's values in order of their first row."""
+    """(col, value, code): codes count a column's values in order of their first row. The table is stored."""
     long = df.select(order, F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[token(c) for c in columns]))).alias("col", "value"))
     first = long.groupBy("col", "value").agg(F.min(order).alias("first"))
-    # A window for each column, over its distinct values.
-    return first.select("col", "value", (F.row_number().over(Window.partitionBy("col").orderBy("first", "value")) - 1).alias("code"))
+    numbered = running(first.withColumn("one", F.lit(1)), ["col"], ["first", "value"], {"n": "one"})
+    return store(numbered.select("col", "value", (F.col("n") - 1).alias("code")), "codes")
 
 
 def encode_categories(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
     """``<column>_code`` for each column; values unknown to ``codes`` are -1."""
     out = df
+    sizes = {r["col"]: r["count"] for r in codes.groupBy("col").count().collect()}  # a row for each column
     for c in columns:
         own = codes.filter(F.col("col") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"{c}_code"))
+        own = F.broadcast(own) if sizes.get(c, 0) <= BROADCAST_VALUES else own
         out = out.withColumn(f"_{c}", token(c)).join(own, f"_{c}", "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1))).drop(f"_{c}")
     return out
 

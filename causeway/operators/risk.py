@@ -51,11 +51,11 @@ def global_prefix(df: DataFrame, counted, bucket: int) -> DataFrame:
     out = df.withColumn("_bucket", F.floor(F.col("event_ts") / bucket))
     totals = out.groupBy("_bucket").agg(F.sum(hit).alias("_n"), F.sum(pos).alias("_p"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p0"))
+    totals = totals.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p0"))
     inside = Window.partitionBy("_bucket").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({"_n1": F.coalesce(F.sum(hit).over(inside), F.lit(0)), "_p1": F.coalesce(F.sum(pos).over(inside), F.lit(0))})
-    out = out.join(totals, "_bucket")
-    return out.withColumns({"global_cnt": F.col("_n0") + F.col("_n1"), "global_pos": F.col("_p0") + F.col("_p1")}).drop("_bucket", "_n0", "_n1", "_p0", "_p1")
+    out = out.join(totals, F.col("_bucket").eqNullSafe(F.col("_b")))  # rows without a time are in a bucket of their own, the first
+    return out.withColumns({"global_cnt": F.col("_n0") + F.col("_n1"), "global_pos": F.col("_p0") + F.col("_p1")}).drop("_bucket", "_b", "_n0", "_n1", "_p0", "_p1")
 
 
 def online_risk(

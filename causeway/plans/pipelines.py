@@ -1,7 +1,9 @@
 """The end-to-end runs: sequence-first, baseline with online risk, and sequence export.
 
-Features are causal, so they are computed once over the whole stream and every fold is a filter on them; what happens
-after an event never changes its features. The driver only loops over folds and fits models.
+Features of events are causal, so they are computed once over the whole stream and every fold is a filter on them; what
+happens after an event never changes its features. What is fitted (category codes, and in the baseline the edges' risk
+and its prior) is fitted for each fold on its training weeks; the valid week reads it and changes nothing. The driver
+only loops over folds and fits models.
 """
 
 from __future__ import annotations
@@ -56,37 +58,44 @@ def sequence_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None
     out = prefix.sequence_first(with_time(canon), cfg.history_window_events, cfg.ultra_burst, cfg.fingerprint_novelty, cfg.geo_lang_drift, cfg.session_fallback)
     if cfg.pretrain_profile and pretrain is not None:
         out = profile.join_profile(out, profile.customer_profile(with_time(pretrain)))
-    return encoded(out)
+    return out
 
 
 def baseline_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None = None) -> DataFrame:
     out = prefix.baseline_pack(prefix.by_customer(with_time(canon).filter("event_ts is not null")))
     if cfg.pretrain_profile and pretrain is not None:
         out = profile.join_profile(out, profile.customer_profile(with_time(pretrain)))
-    if cfg.graph_risk:
-        prior = cfg.graph_prior
-        if prior == "train_rate":
-            prior = risk.weighted_prior(out).first().prior
-        out = risk.online_risk(out, list(risk.KEYS.values()), prior=float(prior), alpha=cfg.graph_alpha)
-    return encoded(out)
+    return out
 
 
-def encoded(df: DataFrame) -> DataFrame:
-    return encode.encode_categories(df, encode.fit_categories(df, encode.CATEGORICAL), encode.CATEGORICAL)
+def fitted_features(history: DataFrame, rows: DataFrame, cfg: Config, track: str) -> tuple[DataFrame, DataFrame]:
+    """``history`` and ``rows`` with what is fitted on ``history`` alone: the edges' risk (baseline) and category codes.
 
+    Rows of the history see the edges as earlier rows left them, ``rows`` as the whole history left them.
+    """
+    if track == "baseline" and cfg.graph_risk:
+        prior = float(risk.weighted_prior(history).first().prior if cfg.graph_prior == "train_rate" else cfg.graph_prior)
+        sets = list(risk.KEYS.values())
+        states = {risk.prefix_name(k): risk.fit_state(history, k, prior, cfg.graph_alpha) for k in sets}
+        rows = risk.online_risk(rows, sets, "valid", state=states)
+        history = risk.online_risk(history, sets, prior=prior, alpha=cfg.graph_alpha)
+    codes = encode.fit_categories(history, encode.CATEGORICAL)
+    return tuple(encode.encode_categories(x, codes, encode.CATEGORICAL) for x in (history, rows))
 
-def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int) -> Result:
+
+def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int, track: str = "sequence") -> Result:
     """Rolling weekly folds: fit on the sampled rows of earlier weeks, score the whole valid week, measure by slice."""
-    names = features_of(features)
-    weighted = encode.with_weights(features, cfg.reviewed_negative_weight, cfg.unlabeled_weight)
-    train = weighted.join(train_ids.select("event_id"), "event_id", "left_semi")
     scores = None
     for fold, week in E.rolling_week_folds(features, cfg.n_folds, cfg.min_train_weeks):
-        fitted = model.fit(train.filter(F.col("week_start") < F.lit(week)), names, trees, depth, seed=cfg.seed)
-        valid = weighted.filter(F.col("week_start") == F.lit(week))
-        own = model.score(fitted, valid if cfg.full_week_eval else valid.join(train_ids.select("event_id"), "event_id", "left_semi"), names)
+        train, valid = fitted_features(features.filter(F.col("week_start") < F.lit(week)), features.filter(F.col("week_start") == F.lit(week)), cfg, track)
+        names = features_of(train)
+        train = store(encode.with_weights(train, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids.select("event_id"), "event_id", "left_semi"), "train")
+        fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
+        valid = valid if cfg.full_week_eval else valid.join(train_ids.select("event_id"), "event_id", "left_semi")
+        own = model.score(fitted, C.limited(valid, cfg.max_eval_week_rows), names)
         seen = E.seen_cold(own, features.filter(F.col("week_start") < F.lit(week)))
         own = seen.select(F.lit(fold).alias("fold"), "event_id", "customer_id", "event_date", "target", "seen", F.col("margin").alias("score"), "probability_red")
+        own = store(own, "scores")
         scores = own if scores is None else scores.unionByName(own)
     last = F.col("event_date") == F.max("event_date").over(E.Window.partitionBy("fold", "customer_id"))
     names_ = F.array_compact(F.array(F.lit("all"), F.when(F.col("target") >= 0, "labeled"), F.when(F.col("_last"), "last_day"), F.when(F.col("seen") == 1, "seen").otherwise("cold")))
@@ -105,12 +114,13 @@ def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequen
     features = store(build(both, cfg, pretrain), "features")
     train_ids = sampled(canon, cfg).select("event_id")
     own = features if test is None else features.join(test.select("event_id"), "event_id", "left_anti")
-    out = evaluate(own, train_ids, cfg, trees, depth)
+    out = evaluate(own, train_ids, cfg, trees, depth, track)
     if test is not None:
-        names = features_of(features)
-        train = encode.with_weights(own, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids, "event_id", "left_semi")
+        train, rows = fitted_features(own, features.join(test.select("event_id"), "event_id", "left_semi"), cfg, track)
+        names = features_of(train)
+        train = store(encode.with_weights(train, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids, "event_id", "left_semi"), "train")
         fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
-        rows = C.limited(features.join(test.select("event_id"), "event_id", "left_semi"), cfg.max_test_rows)
+        rows = C.limited(rows, cfg.max_test_rows)
         out.submission = model.score(fitted, rows, names).select("event_id", F.col("margin").alias("predict"), "sigmoid")
         out.importance = model.importance(fitted, names)
     return out

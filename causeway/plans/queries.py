@@ -348,11 +348,11 @@ def _(spark, sf):
 
 @query("encode_apply", "event_id:l mcc_code_code:l event_desc_code:l",
        f"""select event_id, coalesce(m.code, -1) as mcc_code_code, coalesce(d.code, -1) as event_desc_code from (select *, {_T("mcc_code")} as mv, {_T("event_desc")} as dv from ev)
-       left join (select v, row_number() over (order by f) - 1 as code from (select {_T("mcc_code")} as v, min(event_id) as f from ev where event_id < 60 group by 1)) m on m.v = mv
-       left join (select v, row_number() over (order by f) - 1 as code from (select {_T("event_desc")} as v, min(event_id) as f from ev where event_id < 60 group by 1)) d on d.v = dv""")
+       left join (select v, row_number() over (order by f) - 1 as code from (select {_T("mcc_code")} as v, min(event_id) as f from ev where week_start < date '{WEEK4}' group by 1)) m on m.v = mv
+       left join (select v, row_number() over (order by f) - 1 as code from (select {_T("event_desc")} as v, min(event_id) as f from ev where week_start < date '{WEEK4}' group by 1)) d on d.v = dv""")
 def _(spark, sf):
     t = timed(spark, sf)
-    return encode.encode_categories(t, encode.fit_categories(t.filter("event_id < 60"), ["mcc_code", "event_desc"]), ["mcc_code", "event_desc"])
+    return encode.encode_categories(t, encode.fit_categories(t.filter(F.col("week_start") < F.lit(WEEK4)), ["mcc_code", "event_desc"]), ["mcc_code", "event_desc"])
 
 
 @query("sample_weights", "target:l rows:l y_sum:l weight_sum:r unlabeled_ratio:r",
@@ -427,10 +427,10 @@ def _(spark, sf):
 
 
 @query("seen_cold_customers", "event_id:l customer_id:l seen:l",
-       f"select event_id, customer_id, cast(customer_id in (select customer_id from ev where week_start < date '{WEEK4}' and event_desc < 5) as int) as seen from ev where week_start = date '{WEEK4}'")
+       f"select event_id, customer_id, cast(customer_id in (select customer_id from ev where week_start < date '{WEEK4}') as int) as seen from ev where week_start = date '{WEEK4}'")
 def _(spark, sf):
     t = timed(spark, sf)
-    return E.seen_cold(t.filter(F.col("week_start") == F.lit(WEEK4)), t.filter((F.col("week_start") < F.lit(WEEK4)) & (F.col("event_desc") < 5)))
+    return E.seen_cold(t.filter(F.col("week_start") == F.lit(WEEK4)), t.filter(F.col("week_start") < F.lit(WEEK4)))
 
 
 @query("last_day_events", "event_id:l customer_id:l event_date:d", "select * from ev qualify event_date = max(event_date) over (partition by customer_id)")
@@ -439,20 +439,21 @@ def _(spark, sf):
 
 
 @query("id_set_difference", "event_id:l side:s",
-       "select event_id, 'missing' as side from canon where target = 1 and event_id % 3 <> 0 union all select event_id, 'extra' as side from canon where target <> 1 and event_id % 3 = 0")
+       f"select event_id, case when target >= 0 then 'missing' else 'extra' end as side from ev where (target >= 0) <> (week_start = date '{WEEK4}')")
 def _(spark, sf):
-    c = canon(spark, sf)
-    a, b = c.filter("target = 1").select("event_id"), c.filter("event_id % 3 = 0").select("event_id")
+    c = timed(spark, sf)
+    a, b = c.filter("target >= 0").select("event_id"), c.filter(F.col("week_start") == F.lit(WEEK4)).select("event_id")
     return a.join(b, "event_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "event_id", "left_anti").withColumn("side", F.lit("extra")))
 
 
 @query("submission_checks", "check_name:s status:s detail:l",
-       """select unnest(['row_count', 'duplicates', 'missing_ids', 'extra_ids', 'finite', 'not_constant', 'spread']) as check_name,
-       unnest([case when n = want then 'ok' else 'fail' end, 'ok', case when miss = 0 then 'ok' else 'fail' end, 'ok', 'ok', 'ok', 'ok']) as status, unnest([n, 0, miss, 0, 0, vals, vals]) as detail
-       from (select count(*) filter (event_id % 7 <> 0) as n, count(*) as want, count(*) filter (event_id % 7 = 0) as miss, count(distinct score) filter (event_id % 7 <> 0) as vals from ev)""")
+       f"""select unnest(['row_count', 'duplicates', 'missing_ids', 'extra_ids', 'finite', 'not_constant', 'spread']) as check_name,
+       unnest([case when n = want then 'ok' else 'fail' end, 'ok', case when miss = 0 then 'ok' else 'fail' end, case when extra = 0 then 'ok' else 'fail' end, 'ok', 'ok', 'ok']) as status, unnest([n, 0, miss, extra, 0, vals, vals]) as detail
+       from (select count(*) filter (w) as n, count(*) filter (l) as want, count(*) filter (l and not w) as miss, count(*) filter (w and not l) as extra, count(distinct score) filter (w) as vals
+       from (select *, week_start = date '{WEEK4}' as w, target >= 0 as l from ev))""")
 def _(spark, sf):
     t = scored(timed(spark, sf))
-    return E.submission_checks(t.filter("event_id % 7 <> 0").select("event_id", F.col("score").alias("predict")), t)
+    return E.submission_checks(t.filter(F.col("week_start") == F.lit(WEEK4)).select("event_id", F.col("score").alias("predict")), t.filter("target >= 0"))
 
 
 @query("run_leaderboard", "run:s average_precision:r positives:l",
@@ -549,7 +550,7 @@ def _(spark, sf):
 @query("stream_bucket_counts", "bucket_ts:l event_type:s n:l cents:l",
        "select cast(epoch(ts) as bigint) // 1800 * 1800 as bucket_ts, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from (select date_trunc('second', ts) as ts, event_type, value from events) group by 1, 2")
 def _(spark, sf):
-    return stream.drained(stream.bucket_counts(stream.stream(spark, f"{sf}/events.parquet")), "buckets")
+    return stream.drained(stream.bucket_counts(stream.stream(spark, f"{sf}/events.parquet")), "buckets", ["bucket_ts", "event_type"])
 
 
 def _cfg():

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one under /tmp where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``); on one machine, where it may be unset, one under /tmp."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "/tmp/checkpoints/causeway"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -27,3 +27,37 @@ def test_sequence_export(spark, sf):
     out = pipelines.export_sequences(C.events(spark, sf).filter("customer_id < 5"), CFG.override(sequence_length=32, sequence_stride=16))
     assert out.count() > 5
     assert out.filter((F.size("event_token") != 32) | (F.size("masked_event") != F.col("size"))).count() == 0
+
+
+def test_labels_of_the_valid_week_change_no_feature_of_it(spark, sf):
+    canon = C.events(spark, sf).filter("customer_id < 40")
+    week = "2024-01-22"
+    late = F.col("event_dttm") >= f"{week} 00:00:00"
+    seen = []
+    for flip in (False, True):
+        own = canon.withColumn("target", F.when(late & F.lit(flip) & (F.col("target") >= 0), 1 - F.col("target")).otherwise(F.col("target")))
+        made = pipelines.baseline_features(own, CFG)
+        split = F.col("week_start") < F.lit(week).cast("date")
+        _, rows = pipelines.fitted_features(made.filter(split), made.filter(F.col("week_start") == F.lit(week).cast("date")), CFG.override(graph_prior="train_rate"), "baseline")
+        seen.append(sorted(tuple(r) for r in rows.select("event_id", *pipelines.features_of(rows)).collect()))
+    assert len(seen[0]) > 100 and seen[0] == seen[1]
+
+
+def test_scores_that_are_all_distinct(spark):
+    """Average precision and quantiles by ranges, against plain Python; no window takes a whole group."""
+    rows = [(i % 2, (i * 7919 % 1009) / 1009 + i * 1e-6, int(i * 31 % 7 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "fold int, score double, target int")
+    for r in E.average_precision(df, ["fold"]).collect():
+        own = sorted((x for x in rows if x[0] == r.fold), key=lambda x: -x[1])
+        hits, total = 0, 0.0
+        for n, x in enumerate(own, 1):
+            hits += x[2]
+            total += x[2] * hits / n
+        assert abs(r.average_precision - total / hits) < 1e-12 and r.rows == len(own)
+    s = sorted(x[1] for x in rows)
+    got = E.score_stats(df).first()
+    for q, v in ((0.5, got.q50), (0.9, got.q90), (0.99, got.q99), (0.999, got.q999)):
+        lo = int((len(s) - 1) * q)
+        part = (len(s) - 1) * q - lo
+        assert abs(v - (s[lo] * (1 - part) + s[min(lo + 1, len(s) - 1)] * part)) < 1e-9
+    assert E.score_stats(df.limit(0)).first().q50 is None
