@@ -31,9 +31,10 @@ from causeway.llm.common import kept, mix
 from causeway.llm.language import Table
 
 SPACE = "▁"
-LONG = 48
+#: Characters of a word that goes through a heap; the merges of shorter ones fit into a mask of ``BITS`` bits.
+LONG, BITS = 40, 40
 WORD = re.compile(" +[^ ]*")
-CACHE = 80_000
+CACHE = 120_000
 CHUNK_CHARS = 1_500_000
 
 
@@ -186,6 +187,8 @@ class Agendas:
 
     def __init__(self, v: Vocabulary):
         self.v, self.number, self.word, self.skips, self.ids = v, {}, [], [], []
+        #: The agenda that follows if some of an agenda's merges are skipped, by its number and a mask of these merges.
+        self.next: dict[int, int] = {}
         self.ways, self.start = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def add(self, wanted: list[tuple[str, frozenset]]) -> None:
@@ -229,14 +232,21 @@ class Encoder:
             who = np.repeat(np.arange(len(left)), size)
             way = g.ways[np.arange(len(who)) + np.repeat(g.start[own] - (np.cumsum(size) - size), size)]
             out = np.flatnonzero(skipped(keys[left[who]], way >> 12, way >> 6 & 63, way & 63, self.dropout))
-            who, way = who[out], way[out]
-            heads = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else who
-            merges, nxt = way.tolist(), []
-            for lo, hi, n in zip(heads.tolist(), [*heads[1:].tolist(), len(who)], own[who[heads]].tolist(), strict=False):
-                nxt.append((g.word[n], g.skips[n].union(merges[lo:hi])))
+            if not len(out):
+                break
+            bit = np.int64(1) << (out - np.repeat(np.cumsum(size) - size, size)[out])
+            who = who[out]
+            heads = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            keys_, at = np.unique(own[who[heads]] << BITS | np.bitwise_or.reduceat(bit, heads), return_inverse=True)
+            fresh, nxt = [k for k in keys_.tolist() if k not in g.next], []
+            for k in fresh:
+                n, mask = k >> BITS, k & (1 << BITS) - 1
+                merges = g.ways[g.start[n] : g.start[n + 1]].tolist()
+                nxt.append((g.word[n], g.skips[n].union([m for j, m in enumerate(merges) if mask >> j & 1])))
             g.add(nxt)
+            g.next.update(zip(fresh, map(g.number.__getitem__, nxt), strict=True))
             left = left[who[heads]]
-            now[left] = np.fromiter(map(g.number.__getitem__, nxt), np.int64, len(nxt))
+            now[left] = np.fromiter(map(g.next.__getitem__, keys_.tolist()), np.int64, len(keys_))[at]
         return list(map(g.ids.__getitem__, now.tolist()))
 
     def __call__(self, doc_ids: list, texts: list[str | None]) -> list[bytes]:
