@@ -51,3 +51,56 @@ def test_redact(spark):
 
 def test_no_python(spark, few):
     assert "Python" not in X.scan_secrets(few)._jdf.queryExecution().executedPlan().toString()
+
+
+def linked(t, scope=X.SCOPE):
+    """All spans by the rules, pair by pair."""
+    b = base(t)
+    access = [x for x in b if x[1] == 1]
+    close = lambda x, others: any(o[0] <= x[2] + scope and o[2] >= x[0] - scope for o in others)
+    clear = lambda x, others: not any(o[0] < x[2] and o[2] > x[0] for o in others)
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(X.SECRET, t) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+    secret = [x for x in weak if close(x, access) and clear(x, [o for o in b if o[1] < 2])]
+    values = [x for x in b if x[1] != 1] + secret
+    return sorted(b + secret + [x for m in re.finditer(X.ENDPOINT, t, re.A) if close(x := (m.start(), 4, m.end()), access) and close(x, values)])
+
+
+def test_links_of_random_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = [KEY, SECRET, "https://db.example.org/x", "token: abcdefghijk", "0123456789abcdef" * 2, "words " * 12, "é" * 150, "x" * 210]
+    texts = [" ".join(rng.choices(parts, [2, 3, 3, 1, 1, 6, 6, 6], k=rng.randrange(1, 60))) for _ in range(120)]
+    texts.append(" ".join(f"{KEY} password=abcdefgh{i} {'0123456789abcdef' * 2}" for i in range(1000)))  # several blocks
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = X.scan_secrets(df)
+    got = {r.doc_id: [(s.s, s.k, s.e) for s in r.secret_spans] for r in found.collect()}
+    kinds = [s[1] for v in got.values() for s in v]
+    assert kinds.count(3) > 20 and kinds.count(4) > 20
+    clean = {r.doc_id: r.text for r in X.redact(found).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == linked(t), t[:200]
+        out, at = "", 0
+        for s, _, e in got[i]:
+            if s >= at:
+                out += t[at:s] + X.MASK
+            at = max(at, e)
+        assert clean[i] == out + t[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "0123456789abcdef" * 2 + " z"), (2, ("0123456789abcdef" * 2 + " z ") * 64_000)], "doc_id long, text string")
+    began = time.time()
+    assert sorted(len(r.secret_spans) for r in X.scan_secrets(df).collect()) == [1, 64_000]
+    assert time.time() - began < 60
+
+
+def test_query(spark, sf):
+    out = X.op7_secret_scans(spark, sf).limit(300).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in out:
+        b = base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in b) for j in range(3))
+        assert r.spans == ",".join(f"{X.KINDS[k]}:{s}:{e}" for s, k, e in linked(texts[r.doc_id]))
