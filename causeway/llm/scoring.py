@@ -49,7 +49,7 @@ ROUNDS, RATE, RARE, BOUND, WORD_RATE, WORD_RARE, WORD_BOUND = 3, 0.4, 4.0, 10.0,
 BATCH = 32_768
 #: Rows of weights whose sums travel together, and tasks that send sums at most (else two for each core).
 BLOCK, MOST_TASKS = 256, 16_384
-CHUNK = 1_500_000
+CHUNK = 600_000
 
 
 def ending(word: bytes) -> bytes:
@@ -300,6 +300,7 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
     local = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(summed, schema)
     # Each task of ``total`` holds the running sums of its blocks, not their rows; the model is of a bounded size.
     blocks = local.repartition(F.col("t"), F.col("b")).mapInArrow(total, schema).toArrow()
+    before.destroy()
     tables = [t.copy() for t in tables]
     for t, b, data in zip(*(blocks.column(c).to_pylist() for c in names), strict=True):
         last = t == len(tables) - 1
@@ -416,6 +417,8 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     # The row number stands for the row while its words are away; it is written once and read twice.
     scored = slim.select("doc_id", "text").mapInArrow(base_parts, schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    parts.destroy()
+    weights.destroy()
     words = scored.select("row", F.explode("other").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = words.join(c.filter(F.col("n") <= cut), "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("gain"))
     out = scored.drop("other").join(met, "row", "left")
