@@ -31,10 +31,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id stay."""
+    """Of each group of near-duplicates the document with the smallest id, once; of rows that share it, the one whose text
+    has the least hash. Rows without an id stay."""
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), k=SHINGLE).filter("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), *[c for c in COLUMNS if c != "doc_id"]))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("one"))
+    return one.select("doc_id", "one.*").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
