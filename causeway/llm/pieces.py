@@ -9,8 +9,9 @@ With ``dropout`` 0 the ids are those of the sentencepiece library.
 No piece holds a space after another character, so a text falls into words (spaces and what follows them) that are
 encoded on their own. What is cached of a word is not a result of dropout but its agenda: the merges that are done
 if a given set of candidates is skipped, the empty set first. An occurrence draws the merges of its agenda; if it skips
-some, it goes on with the agenda of the set with these added, until it skips none. New agendas of a batch are made together
-in numpy, one merge of each word at a time;
+some, it goes on with the agenda of the set with these added, until it skips none. An agenda is made where two
+occurrences of a batch want it; an occurrence that is alone draws its candidates while it merges, which gives the same.
+Both are done for all words of a batch together in numpy, one merge of each word at a time;
 words over ``LONG`` characters go through a heap, in n log n. Characters without a piece become byte pieces, and so
 does the character that stands for a space in pieces; decoding gives back every text exactly.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +167,9 @@ def agendas(v: Vocabulary, words: list[str], skip) -> tuple[list[bytes], np.ndar
         at = place[at]
         sym, owner, a, b, made = sym[stay], owner[stay], a[stay], b[stay], made[stay]
         if len(sym):
-            again = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            touched = np.zeros(len(sym), bool)
+            touched[at] = touched[np.maximum(at - 1, 0)] = True
+            again = np.flatnonzero(touched)
             made[again] = candidates(again)
     owner, sym = np.concatenate([o for o, _ in done]), np.concatenate([s for _, s in done])
     order = np.argsort(owner, kind="stable")
@@ -221,11 +225,12 @@ class Encoder:
         if len(self.agendas.number) > CACHE:
             self.agendas = Agendas(self.v)
         g = self.agendas
-        plain = {w: (w, frozenset()) for w in set(words)}
-        g.add(list(plain.values()))
-        number = {w: g.number[x] for w, x in plain.items()}
+        times = Counter(words)
+        g.add([(w, frozenset()) for w, n in times.items() if n > 1])
+        number = {w: g.number.get((w, frozenset()), -1) for w in times}
         now = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        left = np.arange(len(words) if self.dropout else 0)
+        alone = [np.flatnonzero(now < 0)]
+        left = np.flatnonzero(now >= 0) if self.dropout else alone[0][:0]
         while len(left):
             own = now[left]
             size = g.start[own + 1] - g.start[own]
@@ -237,8 +242,8 @@ class Encoder:
             bit = np.int64(1) << (out - np.repeat(np.cumsum(size) - size, size)[out])
             who = who[out]
             heads = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-            keys_, at = np.unique(own[who[heads]] << BITS | np.bitwise_or.reduceat(bit, heads), return_inverse=True)
-            fresh, nxt = [k for k in keys_.tolist() if k not in g.next], []
+            keys_, at, times_ = np.unique(own[who[heads]] << BITS | np.bitwise_or.reduceat(bit, heads), return_inverse=True, return_counts=True)
+            fresh, nxt = [k for k, n in zip(keys_.tolist(), times_.tolist(), strict=True) if n > 1 and k not in g.next], []
             for k in fresh:
                 n, mask = k >> BITS, k & (1 << BITS) - 1
                 merges = g.ways[g.start[n] : g.start[n + 1]].tolist()
@@ -246,8 +251,18 @@ class Encoder:
             g.add(nxt)
             g.next.update(zip(fresh, map(g.number.__getitem__, nxt), strict=True))
             left = left[who[heads]]
-            now[left] = np.fromiter(map(g.next.__getitem__, keys_.tolist()), np.int64, len(keys_))[at]
-        return list(map(g.ids.__getitem__, now.tolist()))
+            now[left] = np.fromiter((g.next.get(k, -1) for k in keys_.tolist()), np.int64, len(keys_))[at]
+            alone.append(left[now[left] < 0])
+            left = left[now[left] >= 0]
+        made = list(map(g.ids.__getitem__, now.tolist())) if g.ids else [b""] * len(words)  # those alone are still to come
+        places = np.concatenate(alone)
+        if not len(places):
+            return made
+        drawn = keys[places]
+        skip = lambda k, a, b, c: skipped(drawn[k], a, b, c, self.dropout) if self.dropout else np.zeros(len(k), bool)
+        for i, ids in zip(places.tolist(), agendas(self.v, [words[i] for i in places.tolist()], skip)[0], strict=True):
+            made[i] = ids
+        return made
 
     def __call__(self, doc_ids: list, texts: list[str | None]) -> list[bytes]:
         words = [WORD.findall(" " + t) if t else [] for t in texts]
@@ -257,12 +272,14 @@ class Encoder:
         size = np.diff(np.append(0, ends))
         place = np.arange(len(flat)) - np.repeat(ends - size, size)
         keys = mix(np.repeat(doc, size) + mix(place.astype(np.uint64) + np.uint64(1)))
-        long = [i for i, w in enumerate(flat) if len(w) > LONG]
-        for_short = [i for i, w in enumerate(flat) if len(w) <= LONG] if long else range(len(flat))
-        made: list[bytes] = [b""] * len(flat)
-        for i, x in zip(for_short, self.short([flat[i] for i in for_short], keys[list(for_short)] if long else keys), strict=True):
-            made[i] = x
-        for i in long:
+        long = np.fromiter(map(len, flat), np.int64, len(flat)) > LONG
+        if not long.any():
+            made = self.short(flat, keys)
+        else:
+            made, short = [b""] * len(flat), np.flatnonzero(~long)
+            for i, x in zip(short.tolist(), self.short([flat[i] for i in short.tolist()], keys[short]), strict=True):
+                made[i] = x
+        for i in np.flatnonzero(long).tolist():
             made[i] = with_bytes(self.v, flat[i], by_heap(self.v, flat[i], int(keys[i]), self.dropout))
         return [b"".join(made[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
