@@ -31,6 +31,7 @@ class Config:
     max_unlabeled_rows: int | None = None
     max_test_rows: int | None = None
     max_eval_week_rows: int | None = None
+    max_event_rows: int | None = None
     sequence_length: int = 128
     sequence_stride: int = 32
     sequence_least: int = 8

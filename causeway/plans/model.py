@@ -1,4 +1,4 @@
-"""Gradient-boosted trees over assembled features: fit, score, importance."""
+"""Gradient-boosted trees over assembled features: fit, score, importance, save and load."""
 
 from __future__ import annotations
 
@@ -29,6 +29,17 @@ def score(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame
     return out.select(*keep, "margin", "probability_red", sigmoid(F.col("margin")).alias("sigmoid"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """The fitted pipeline in a folder that all executors reach; an earlier one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> tuple[PipelineModel, list[str]]:
+    """A saved pipeline and the features that it takes, in order."""
+    model = PipelineModel.load(path)
+    return model, model.stages[0].getInputCols()
+
+
 def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, values.tolist(), strict=True), key=lambda x: -x[1])

@@ -9,7 +9,7 @@ only loops over folds and fits models.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from causeway.plans import evaluation as E
 from causeway.plans import model
 from causeway.plans.config import Config
 from causeway.sources import canonical as C
+from causeway.sources import sinks
 from causeway.sources.sinks import store
 
 NOT_FEATURES = {"target", "event_dttm", "event_dt", "event_date", "week_start", "event_id", "y", "weight", "fold", "role", "session_key", "device_fingerprint"}
@@ -83,9 +84,19 @@ def fitted_features(history: DataFrame, rows: DataFrame, cfg: Config, track: str
     return tuple(encode.encode_categories(x, codes, encode.CATEGORICAL) for x in (history, rows))
 
 
-def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int, track: str = "sequence") -> Result:
-    """Rolling weekly folds: fit on the sampled rows of earlier weeks, score the whole valid week, measure by slice."""
-    scores = None
+def by_slice(scores: DataFrame) -> DataFrame:
+    """A row for each slice that an event is in: all, labeled, last_day of its customer in the fold, seen or cold."""
+    last = F.col("event_date") == F.max("event_date").over(E.Window.partitionBy("fold", "customer_id"))
+    names = F.array_compact(F.array(F.lit("all"), F.when(F.col("target") >= 0, "labeled"), F.when(F.col("_last"), "last_day"), F.when(F.col("seen") == 1, "seen").otherwise("cold")))
+    return scores.withColumn("_last", last).withColumn("slice", F.explode(names))
+
+
+def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int, track: str = "sequence", live: str | None = None) -> Result:
+    """Rolling weekly folds: fit on the sampled rows of earlier weeks, score the whole valid week, measure by slice.
+
+    ``live``: a CSV folder that is written anew after each fold with the metrics of the folds so far.
+    """
+    scores = by_fold = None
     for fold, week in E.rolling_week_folds(features, cfg.n_folds, cfg.min_train_weeks):
         train, valid = fitted_features(features.filter(F.col("week_start") < F.lit(week)), features.filter(F.col("week_start") == F.lit(week)), cfg, track)
         names = features_of(train)
@@ -96,45 +107,67 @@ def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int,
         seen = E.seen_cold(own, features.filter(F.col("week_start") < F.lit(week)))
         own = seen.select(F.lit(fold).alias("fold"), "event_id", "customer_id", "event_date", "target", "seen", F.col("margin").alias("score"), "probability_red")
         own = store(own, "scores")
-        scores = own if scores is None else scores.unionByName(own)
-    last = F.col("event_date") == F.max("event_date").over(E.Window.partitionBy("fold", "customer_id"))
-    names_ = F.array_compact(F.array(F.lit("all"), F.when(F.col("target") >= 0, "labeled"), F.when(F.col("_last"), "last_day"), F.when(F.col("seen") == 1, "seen").otherwise("cold")))
-    sliced = scores.withColumn("_last", last).withColumn("slice", F.explode(names_))
-    by_fold = E.average_precision(sliced, ["fold", "slice"])
-    return Result(by_fold, E.cv_summary(by_fold, ["slice"]), E.recall_at(sliced, ["fold", "slice"], list(cfg.recall_ks)), scores)
+        measured = store(E.average_precision(by_slice(own), ["fold", "slice"]), "measured")
+        scores, by_fold = (own, measured) if scores is None else (scores.unionByName(own), by_fold.unionByName(measured))
+        if live:
+            sinks.write_csv(by_fold.orderBy("fold", "slice"), live, single=True)
+    return Result(by_fold, E.cv_summary(by_fold, ["slice"]), E.recall_at(by_slice(scores), ["fold", "slice"], list(cfg.recall_ks)), scores)
 
 
-def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequence", pretrain: DataFrame | None = None, test: DataFrame | None = None, trees: int = 500, depth: int = 8) -> Result:
+def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequence", pretrain: DataFrame | None = None, test: DataFrame | None = None, trees: int = 500, depth: int = 8, live: str | None = None, model_path: str | None = None) -> Result:
     """Evaluates, and with ``test`` (unlabeled events) fits on all training rows and scores them: (event_id, predict).
 
-    ``track``: sequence or baseline. The test events' features see the training history.
+    ``track``: sequence or baseline. The test events' features see the training history. ``live``: see ``evaluate``;
+    ``model_path``: where the final model is saved.
     """
     build = {"sequence": sequence_features, "baseline": baseline_features}[track]
     both = canon if test is None else canon.unionByName(test.withColumn("target", F.lit(-1)).select(canon.columns))
     features = store(build(both, cfg, pretrain), "features")
     train_ids = sampled(canon, cfg).select("event_id")
     own = features if test is None else features.join(test.select("event_id"), "event_id", "left_anti")
-    out = evaluate(own, train_ids, cfg, trees, depth, track)
+    out = evaluate(own, train_ids, cfg, trees, depth, track, live)
     if test is not None:
         train, rows = fitted_features(own, features.join(test.select("event_id"), "event_id", "left_semi"), cfg, track)
         names = features_of(train)
         train = store(encode.with_weights(train, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids, "event_id", "left_semi"), "train")
         fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
+        if model_path:
+            model.save(fitted, model_path)
         rows = C.limited(rows, cfg.max_test_rows)
         out.submission = model.score(fitted, rows, names).select("event_id", F.col("margin").alias("predict"), "sigmoid")
         out.importance = model.importance(fitted, names)
     return out
 
 
+def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, run: str) -> None:
+    """A run's files under ``folder``/``run``, a line in ``folder``/runs.csv and the latest summary in ``folder``/latest.json.
+
+    Tables go through Spark; the summary and the index, a few values, are written by the driver.
+    """
+    place = f"{folder}/{run}"
+    small = {"by_fold": out.by_fold.orderBy("fold", "slice"), "summary": out.summary, "recall": out.recall}
+    if out.importance:
+        small["importance"] = spark.createDataFrame(out.importance, "feature string, importance double")
+    for name, df in small.items():
+        sinks.write_csv(df, f"{place}/{name}", single=True)
+    out.out_of_fold.write.mode("overwrite").parquet(f"{place}/out_of_fold")
+    if out.submission is not None:
+        sinks.write_csv(out.submission.select("event_id", "predict"), f"{place}/submission")
+    mean = {r["slice"]: r.asDict() for r in out.summary.collect()}  # a row for each slice
+    sinks.write_summary({"run": run, "config": asdict(cfg), "summary": mean}, f"{place}/summary.json")
+    sinks.append_run(spark, f"{folder}/runs.csv", {"run": run, **{f"{s}_{k}": v for s, r in mean.items() for k, v in r.items() if k != "slice"}})
+    sinks.point_latest(f"{place}/summary.json", f"{folder}/latest.json")
+
+
 ABLATIONS = {
     "full": {}, "no_burst": {"ultra_burst": False}, "no_fingerprint": {"fingerprint_novelty": False}, "no_drift": {"geo_lang_drift": False},
     "no_fallback": {"session_fallback": False}, "labeled_only": {"use_unlabeled": False},
 }
 
 
-def ablation(spark: SparkSession, canon: DataFrame, cfg: Config, trees: int = 500, depth: int = 8) -> DataFrame:
-    """Summaries of the sequence track under each setting of ``ABLATIONS``."""
-    parts = [run(spark, canon, cfg.override(**change), trees=trees, depth=depth).summary.withColumn("config", F.lit(name)) for name, change in ABLATIONS.items()]
+def ablation(spark: SparkSession, canon: DataFrame, cfg: Config, trees: int = 500, depth: int = 8, names: tuple[str, ...] = tuple(ABLATIONS)) -> DataFrame:
+    """Summaries of the sequence track under the named settings of ``ABLATIONS``."""
+    parts = [run(spark, canon, cfg.override(**ABLATIONS[n]), trees=trees, depth=depth).summary.withColumn("config", F.lit(n)) for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -142,7 +175,8 @@ def ablation(spark: SparkSession, canon: DataFrame, cfg: Config, trees: int = 50
 
 
 def export_sequences(canon: DataFrame, cfg: Config) -> DataFrame:
-    """Padded windows with masked tokens and next-step targets, ready for a trainer."""
+    """Padded windows with masked tokens and next-step targets, ready for a trainer; of the first ``max_event_rows`` events if that is set."""
+    canon = C.limited(canon, cfg.max_event_rows)
     w = sequences.count_windows(with_time(canon), cfg.sequence_length, cfg.sequence_stride, cfg.sequence_least)
     sizes = sequences.vocabulary_sizes(canon).first()
     return sequences.pad_windows(sequences.next_targets(sequences.mask_tokens(w, sizes.event_vocab_size, seed=cfg.seed)), cfg.sequence_length)

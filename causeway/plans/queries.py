@@ -553,6 +553,12 @@ def _(spark, sf):
     return stream.drained(stream.bucket_counts(stream.stream(spark, f"{sf}/events.parquet")), "buckets", ["bucket_ts", "event_type"])
 
 
+@query("stream_last_seen", "customer_id:l last_ts:l event_id:l event_type:s n:l",
+       "select user_id as customer_id, cast(epoch(date_trunc('second', ts)) as bigint) as last_ts, event_id, event_type, n from (select *, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def _(spark, sf):
+    return stream.drained(stream.last_seen(stream.stream(spark, f"{sf}/events.parquet")), "last_seen", ["customer_id"])
+
+
 def _cfg():
     from causeway.plans.config import Config
 

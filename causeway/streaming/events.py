@@ -1,4 +1,4 @@
-"""Structured Streaming twin: 30-minute buckets with a watermark."""
+"""Structured Streaming twins: 30-minute buckets with a watermark, and the last event of each customer."""
 
 from __future__ import annotations
 
@@ -26,6 +26,13 @@ def bucket_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return out.select(F.unix_timestamp(F.col("window.start")).alias("bucket_ts"), "event_type", "n", "cents")
 
 
+def last_seen(events: DataFrame) -> DataFrame:
+    """The last event of each customer (by time, then id) and how many there were; the state is one row for each customer."""
+    last = F.max(F.struct("ts", "event_id", "event_type"))
+    out = events.groupBy(F.col("user_id").alias("customer_id")).agg(last.alias("last"), F.count(F.lit(1)).alias("n"))
+    return out.select("customer_id", F.unix_timestamp("last.ts").alias("last_ts"), F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("event_type"), "n")
+
+
 def drained(query: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Runs a streaming query over all there is, into a table in the shared folder; a row for each of ``keys``, its last.
 

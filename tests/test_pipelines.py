@@ -1,25 +1,37 @@
+import json
+
 from pyspark.sql import functions as F
 
 from causeway.plans import evaluation as E
-from causeway.plans import pipelines
+from causeway.plans import model, pipelines
 from causeway.plans.config import Config
 from causeway.sources import canonical as C
 
 CFG = Config(unlabeled_modulo=10, n_folds=1, min_train_weeks=3, ultra_burst=False)
 
 
-def test_run_scores_a_test_week(spark, sf):
+def test_run_scores_a_test_week(spark, sf, tmp_path):
     all_ = C.events(spark, sf).filter("customer_id < 40").cache()
     test = all_.filter("event_dttm >= '2024-01-29 00:00:00'").drop("target")
     train = all_.filter("event_dttm < '2024-01-29 00:00:00'")
     pretrain = train.filter("event_dttm < '2024-01-08 00:00:00'").drop("target")
-    out = pipelines.run(spark, train, CFG, track="baseline", pretrain=pretrain, test=test, trees=3, depth=3)
+    out = pipelines.run(spark, train, CFG, track="baseline", pretrain=pretrain, test=test, trees=3, depth=3, live=str(tmp_path / "live"), model_path=str(tmp_path / "model"))
     by = {r.slice: r for r in out.by_fold.collect()}
     assert {"all", "labeled", "seen", "last_day"} <= set(by)
     assert by["all"].rows == train.filter("event_dttm >= '2024-01-22 00:00:00'").count()
     assert by["labeled"].average_precision > by["labeled"].positives / by["labeled"].rows
     status = {r.check_name: r.status for r in E.submission_checks(out.submission.select("event_id", "predict"), test).collect()}
     assert set(status.values()) == {"ok"}
+    live = spark.read.csv(str(tmp_path / "live"), header=True, inferSchema=True)
+    assert {r.slice: r.rows for r in live.collect()} == {s: r.rows for s, r in by.items()}
+    fitted, names = model.load(str(tmp_path / "model"))
+    rows = spark.createDataFrame([tuple(float(i * j % 7) for j in range(len(names))) for i in range(20)], names)
+    assert model.importance(fitted, names) == out.importance and model.score(fitted, rows, names).filter("margin is not null").count() == 20
+    for name in ("a", "b"):
+        pipelines.write_outputs(spark, out, CFG, str(tmp_path / "out"), name)
+    assert spark.read.csv(str(tmp_path / "out" / "runs.csv"), header=True).count() == 2
+    assert json.loads((tmp_path / "out" / "latest.json").read_text())["run"] == "b"
+    assert spark.read.csv(str(tmp_path / "out" / "b" / "submission"), header=True).count() == test.count()
     assert out.importance[0][1] >= out.importance[-1][1] and any("ogr_" in n for n, _ in out.importance)
 
 
@@ -29,6 +41,17 @@ def test_sequence_export(spark, sf):
     assert out.filter((F.size("event_token") != 32) | (F.size("masked_event") != F.col("size"))).count() == 0
 
 
+    capped = pipelines.export_sequences(C.events(spark, sf), CFG.override(max_event_rows=5000))
+    first = pipelines.export_sequences(C.events(spark, sf).filter("event_id < 5000"), CFG)
+    assert capped.count() == first.count() > 0
+
+
+def test_ablation_compares_settings(spark, sf):
+    canon = C.events(spark, sf).filter("customer_id < 20")
+    out = pipelines.ablation(spark, canon, CFG, trees=2, depth=2, names=("full", "no_drift")).collect()
+    assert {r.config for r in out} == {"full", "no_drift"} and len(out) == 2 * len({r.slice for r in out})
+
+
 def test_labels_of_the_valid_week_change_no_feature_of_it(spark, sf):
     canon = C.events(spark, sf).filter("customer_id < 40")
     week = "2024-01-22"
