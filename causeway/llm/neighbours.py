@@ -5,7 +5,8 @@
 2. A small classifier (one hidden layer, softmax) learns to tell a vector's part, and a held-out quarter of the sample
    tells how many of the most probable parts a query has to visit for ``COVER`` of its neighbours.
 3. The classifier gives every row its part. Queries go to their most probable parts; a part is searched in cells of
-   bounded size (rows by salt, queries by salt), each query keeps its best of each cell, and these are ranked.
+   bounded size (rows by salt, queries by salt), each query keeps its best of each cell, and these are ranked. A row is
+   copied once for each ``CELL_QUERIES`` queries that visit its own part, whatever goes to others.
 
 Distances are computed in double precision on the original vectors.
 """
@@ -207,12 +208,14 @@ def nearest(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(order[i, j].astype(np.int32))], names=["id", "v", "part"])
 
     queries = indexed.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(route, "id long, v array<double>, part int")
-    n = indexed.filter(is_query).count()
-    blocks = max(1, -(-n // CELL_QUERIES))
-    salts = F.element_at(F.array(*[F.lit(max(1, -(-int(s) // CELL_ROWS))) for s in sizes]), F.col("part") + 1)
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    queries = materialize(queries, "routed")
+    visitors = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # at most ``parts`` rows
+    by_part = lambda counts, cell: F.element_at(F.array(*[F.lit(-(-int(n) // cell)) for n in counts]), F.col("part") + 1)
+    salts = F.greatest(F.lit(1), by_part(sizes, CELL_ROWS))
+    blocks = by_part([visitors.get(p, 0) for p in range(parts)], CELL_QUERIES)
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     q = queries.withColumn("qs", own).withColumn("cs", F.explode(F.sequence(F.lit(0), salts - 1)))
-    c = indexed.withColumn("cs", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), salts).cast("int")).withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    c = indexed.filter(blocks > 0).withColumn("cs", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), salts).cast("int")).withColumn("qs", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = q.groupBy("part", "cs", "qs").cogroup(c.groupBy("part", "cs", "qs"))
     found = cells.applyInArrow(lambda a, b: best_of_cell(a, b, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -30,6 +30,22 @@ def test_recall(spark, sf):
             assert [got[q][k] for k in range(1, 11)] == sorted(got[q].values())
 
 
+def test_clusters_prune_and_cells_split(spark, monkeypatch):
+    """Where vectors have structure few parts are visited; small cells give the same rows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((64, 16))[rng.integers(0, 64, 3000)] * 4 + rng.standard_normal((3000, 16)) * 0.3
+    router, visits = V.fit_router(x)
+    assert router.w[3].size == 16 and visits <= 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids = list(range(0, 3000, 10))
+    want = brute(list(enumerate(x)), ids)
+    got = V.nearest(df, F.col("id") % 10 == 0).collect()
+    assert sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got) >= 0.9 * 10 * len(ids)
+    monkeypatch.setattr(V, "CELL_QUERIES", 7)
+    monkeypatch.setattr(V, "CELL_ROWS", 50)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, V.nearest(df, F.col("id") % 10 == 0).collect()))
+
+
 def test_ties_and_odd_rows(spark, none):
     same = [(i, [1.0, 2.0]) for i in range(100, 160)]
     odd = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (None, [1.0, 2.0])]
