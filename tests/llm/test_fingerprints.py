@@ -1,7 +1,9 @@
 import hashlib
 from collections import defaultdict
+from struct import pack
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from causeway.llm import fingerprints as O
@@ -49,6 +51,41 @@ def test_occurrence_numbers(spark):
         assert all(pairs[g] == n for g, n in zip(r.g, numbered, strict=True))
 
 
+def hashed(*parts):
+    """What Spark's xxhash64 makes of columns: each is hashed with the hash of those before it as seed."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def naive_signature(text):
+    words = (text or "").encode().split()
+    kmers = [hashed(*words[i : i + O.K]) for i in range(len(words) - O.K + 1)] if len(words) >= O.K else [hashed(b" ".join(words))] if words else []
+    numbered = [hashed(pack("<q", x), pack("<i", j)) for x, j in naive_items(words, kmers, O.K)]
+    chosen = sorted(sorted((g, i) for i, g in enumerate(numbered))[: O.SKETCH])
+    if len(chosen) < 2:
+        return sorted(g for g, _ in chosen)
+    pairs = zip(chosen, chosen[1:], strict=False)
+    return sorted({hashed(*[pack("<q", g) for g, _ in sorted(two, key=lambda x: x[1])]) for two in pairs})
+
+
+def naive_likeness(a, b):
+    return len(set(a) & set(b)) / max(len(a), len(b)) if a or b else 1.0
+
+
+def test_query_against_brute_force(spark, sf, out):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    printed = lambda s: "".join(f"{x % (1 << 64):016x}" for x in s)
+    for i, (d, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        n = len(t) // 4
+        own, edited, other = (naive_signature(x) for x in (t, t[: len(t) - n] + after[:n], after))
+        r = out[d]
+        assert (r.fingerprint, r.edited_fingerprint) == (printed(own), printed(edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((naive_likeness(own, edited), naive_likeness(own, other)))
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(400)]
     half = " ".join(words[200:] + words[:200])
