@@ -1,7 +1,8 @@
 """Approximate nearest neighbours (operator 8): learned partitions.
 
-1. On a bounded sample (``SAMPLE`` rows by a hash of their id) a neighbour graph is built and cut into ``PARTS`` equal
-   parts by repeated spectral bisection at the median.
+1. On a bounded sample (``SAMPLE`` rows by a hash of their id, and ``SAMPLE_OF_PART`` for each part) a neighbour graph is
+   built and cut into equal parts by repeated spectral bisection at the median. Parts rise with the rows from ``PARTS``
+   to ``MOST_PARTS``, so that where vectors have structure a query meets a smaller share of a larger table.
 2. A small classifier (one hidden layer, softmax) learns to tell a vector's part, and a held-out quarter of the sample
    tells how many of the most probable parts a query has to visit for ``COVER`` of its neighbours.
 3. The classifier gives every row its part. Queries go to their most probable parts; a part is searched in cells of
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import materialize
 
-SAMPLE = 4000
-PARTS = 16
+SAMPLE, SAMPLE_OF_PART = 4000, 64
+#: Parts, and rows of a part beyond which there are more parts.
+PARTS, MOST_PARTS, ROWS_OF_PART = 16, 128, 65_536
 NEIGHBOURS = 10
 COVER = 0.97
 HIDDEN = 64
@@ -125,6 +127,14 @@ def fit_router(x: np.ndarray, parts: int = PARTS, cover: float = COVER, seed: in
     return router, int(np.searchsorted(share, cover)) + 1
 
 
+def parts_for(rows: int) -> int:
+    """How many parts so many rows are cut into: a power of two times ``PARTS``."""
+    parts = PARTS
+    while parts < MOST_PARTS and rows > parts * ROWS_OF_PART:
+        parts *= 2
+    return parts
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) of the rows whose vectors take part: not null or zero, all components finite, and as long as most."""
     v = F.col("v")
@@ -169,20 +179,24 @@ def best_of_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
 
-def nearest(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding", parts: int = PARTS, cover: float = COVER) -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding", parts: int | None = None, cover: float = COVER) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a column over ``id``) its ``k`` nearest others.
 
     Rows whose vector is null, zero, holds null or non-finite components, or is of another length than most take no
     part, as query or as candidate; nor do null ids. Rows with the query's id are not its candidates; a repeated id is
     one query (with its least vector) and a candidate for each row. Other columns are ignored; an empty table gives none.
+    ``parts`` is a power of two; by default it follows from the number of rows.
     """
     spark = rows.sparkSession
     good = usable(rows, key, vector)
     # The rows of least hash; all but some three times as many are left out before the tasks send their own least ones.
-    share, place_ = min(1.0, 3 * SAMPLE / max(1, good.count())), F.pmod(F.xxhash64("id", "v", F.lit(11)), F.lit(1 << 30))
-    sample = good.filter(place_ < share * (1 << 30)).orderBy(place_, "id", "v").limit(SAMPLE).toArrow()
+    n = good.count()
+    parts = parts or parts_for(n)
+    size = max(SAMPLE, SAMPLE_OF_PART * parts)
+    share, place_ = min(1.0, 3 * size / max(1, n)), F.pmod(F.xxhash64("id", "v", F.lit(11)), F.lit(1 << 30))
+    sample = good.filter(place_ < share * (1 << 30)).orderBy(place_, "id", "v").limit(size).toArrow()
     if not sample.num_rows:  # no rows, or copies of few whose hashes are all too large
-        sample = good.limit(SAMPLE).toArrow()
+        sample = good.limit(size).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router, visits = fit_router(matrix(sample.column("v")), parts, cover)

@@ -46,6 +46,23 @@ def test_clusters_prune_and_cells_split(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, V.nearest(df, F.col("id") % 10 == 0).collect()))
 
 
+def test_parts_rise_with_the_rows(spark, monkeypatch):
+    """More parts leave a query a smaller share of the rows, with the recall that is asked for."""
+    assert [V.parts_for(n) for n in (0, 1_000_000, 2_000_000, 10**12)] == [16, 16, 32, 128]
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((128, 16))[rng.integers(0, 128, 6000)] * 4 + rng.standard_normal((6000, 16)) * 0.3
+    monkeypatch.setattr(V, "ROWS_OF_PART", 100)
+    parts = V.parts_for(len(x))
+    router, visits = V.fit_router(x, parts)
+    _, before = V.fit_router(x)
+    assert router.w[3].size == parts == 64 and visits / parts < before / V.PARTS
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids = list(range(0, 6000, 40))
+    want = brute(list(enumerate(x)), ids)
+    got = V.nearest(df, F.col("id") % 40 == 0).collect()
+    assert len(got) == 10 * len(ids) and sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got) >= 0.9 * 10 * len(ids)
+
+
 def test_ties_and_odd_rows(spark, none):
     same = [(i, [1.0, 2.0]) for i in range(100, 160)]
     odd = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (None, [1.0, 2.0])]
