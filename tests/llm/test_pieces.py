@@ -53,3 +53,34 @@ def test_each_occurrence_is_drawn_anew():
     keys = np.arange(150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     skip = lambda k, a, b, c: Q.skipped(keys[k], a, b, c, 0.1)
     assert e.short(words, keys) == Q.agendas(e.v, words, skip)[0]
+
+
+def one_by_one(e, word, key):
+    """Pieces of a word by looking through all neighbours for each merge."""
+    own = np.array([Q.keyed(word, int(key)) if len(word) > Q.LONG else key], np.uint64)
+    symbols = [(int(e.v.char[ord(x)]), i, i + 1) for i, x in enumerate(word)]
+    while True:
+        offers = []
+        for i, ((p, a, b), (q, _, c)) in enumerate(zip(symbols, symbols[1:], strict=False)):
+            made = e.v.pairs.get(p << 20 | q) if p >= 0 and q >= 0 else None
+            if made is not None and not Q.skipped(own, np.array([a]), np.array([b]), np.array([c]), e.dropout)[0]:
+                offers.append((int(e.v.priority[made]), i, (made, a, c)))
+        if not offers:
+            return [x for p, a, _ in symbols for x in ([p] if p >= 0 else [e.v.byte[b] for b in word[a].encode()])]
+        _, i, made = min(offers)
+        symbols[i : i + 2] = [made]
+
+
+def test_dropout_against_a_plain_loop(rows):
+    import xxhash
+
+    texts = [(d, t) for d, t, *_ in rows if t and len(t) < 3000][:40] + [(5, "the the " * 30 + "antidisestablishmentarianism" * 3 + " é😀 naïve")]
+    for dropout in (0.1, 0.5):
+        e = Q.Encoder(Q.model_file(), dropout, 7, 3)
+        got = e([d for d, _ in texts], [t for _, t in texts])
+        for (d, t), ids in zip(texts, got, strict=True):
+            doc = np.uint64(xxhash.xxh64_intdigest(str(d).encode(), seed=7 * 1_000_003 + 3))
+            words = Q.WORD.findall(" " + t)
+            with np.errstate(over="ignore"):
+                keys = Q.mix(doc + Q.mix(np.arange(len(words), dtype=np.uint64) + np.uint64(1)))
+            assert np.frombuffer(ids, "<u4").tolist() == [x for w, k in zip(words, keys, strict=True) for x in one_by_one(e, w, k)]
