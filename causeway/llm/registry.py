@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "scoring", "sharding", "language", "substrings", "neardup", "secrets", "neighbours", "pieces", "fingerprints", "manifest")
+MODULES = ("packing", "scoring", "sharding", "language", "substrings", "neardup", "secrets", "neighbours", "pieces", "fingerprints", "alignment", "counts", "manifest")
 
 
 def queries() -> dict:
