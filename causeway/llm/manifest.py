@@ -75,7 +75,7 @@ def paths(forest: Forest, above: DataFrame) -> DataFrame:
     """(g, i, path, and the columns of ``above``) of every node of the lowest level: its siblings, level by level, then
     what ``above`` (g, path, ...) says of its group. A path is an array of (left, right)."""
     rest = [c for c in above.columns if c not in ("g", "path")]
-    start = above.join(forest.tops.select("g", "l"), "g")
+    start = materialize(above.join(forest.tops.select("g", "l"), "g"), "tops")
     at = lambda l: start.filter(F.col("l") == l).select("g", F.lit(0).cast("long").alias("i"), "path", *rest)
     out = at(len(forest.levels))
     for l in range(len(forest.levels) - 1, -1, -1):
@@ -83,6 +83,7 @@ def paths(forest: Forest, above: DataFrame) -> DataFrame:
         nodes = forest.levels[l].withColumn("p", F.expr(f"i div {forest.arity}"))
         met = nodes.join(parent, (F.col("g") == F.col("pg")) & (F.col("p") == F.col("pi")))
         out = met.select("g", "i", F.concat(F.array(F.struct("left", "right")), "up").alias("path"), *rest).unionByName(at(l))
+        out = materialize(out, "paths") if l > 1 else out  # the two lowest levels have most of the rows, and stay in one plan
     return out
 
 
