@@ -1,26 +1,140 @@
-"""Running sums in a global order: two levels over range partitions, so that no task sees all rows of a group."""
+"""Ordered scans over range partitions: running and previous values of a key's rows, without a task that sees all of them.
+
+Rows are dealt by ranges of (keys, order) and written once, as Spark draws the ranges from a sample. The rows of a key in a
+range are a piece. A scan runs inside each piece and goes on from what the key's earlier pieces leave: sums, maxima, last
+and first values combine associatively. Only keys that reach over the end of a range have several pieces, so what is
+carried holds at most two rows for each range, or for a scan by further columns a row for each of their values there.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.sources.sinks import store
 
 
+@dataclass(frozen=True)
+class Scan:
+    """``how``: sum, max, previous or first. ``before``: without the row itself (sum, max)."""
+
+    how: str
+    value: Column
+    before: bool = False
+
+
+def total(x: Column, before: bool = False) -> Scan:
+    return Scan("sum", x, before)
+
+
+def most(x: Column, before: bool = False) -> Scan:
+    return Scan("max", x, before)
+
+
+def previous(x: Column) -> Scan:
+    return Scan("previous", x)
+
+
+def first(x: Column) -> Scan:
+    return Scan("first", x)
+
+
+def same(pairs: list[tuple[str, str]]) -> Column:
+    """Equality of columns where null is a value."""
+    out = F.lit(True)
+    for a, b in pairs:
+        out &= F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Rows with ``_part``, the range that each is in. ``edge``: the rows of keys with several pieces; None if there are none."""
+
+    rows: DataFrame
+    edge: DataFrame | None
+    keys: tuple[str, ...]
+    order: tuple[str | Column, ...]
+
+    def each(self, change) -> Ranges:
+        """``change`` applied to all rows; it may only look at one row at a time."""
+        return replace(self, rows=change(self.rows), edge=None if self.edge is None else change(self.edge))
+
+    def with_columns(self, made: dict[str, Column]) -> Ranges:
+        return self.each(lambda df: df.withColumns(made))
+
+    def scan(self, made: dict[str, Scan], by: tuple[str, ...] = (), reverse: bool = False, deep: bool = False) -> Ranges:
+        """Adds scanned columns, of each key or each value of ``by`` inside it; ``reverse``: from the last row backwards.
+
+        Values may use columns of earlier scans only if those were ``deep``, which keeps the edge rows in step.
+        """
+        carry = None if self.edge is None else self._carry(made, by, reverse)
+        rows = self._scanned(self.rows, carry, made, by, reverse)
+        return replace(self, rows=rows, edge=self._scanned(self.edge, carry, made, by, reverse) if deep and carry is not None else self.edge)
+
+    def _order(self, reverse: bool) -> list:
+        return [F.desc(c) for c in self.order] if reverse else list(self.order)
+
+    def _carry(self, made: dict[str, Scan], by: tuple[str, ...], reverse: bool) -> DataFrame:
+        """What the earlier pieces leave for each piece."""
+        group, at = [*self.keys, *by], F.struct(*self.order)
+        end = {"previous": F.min_by if reverse else F.max_by, "first": F.max_by if reverse else F.min_by}
+        whole = {"sum": F.sum, "max": F.max}
+        own = lambda s: whole[s.how](s.value) if s.how in whole else end[s.how](F.struct(s.value.alias("v")), at)
+        pieces = self.edge.groupBy("_part", *group).agg(*[own(s).alias(f"_t_{n}") for n, s in made.items()])
+        w = Window.partitionBy(*group).orderBy(F.desc("_part") if reverse else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        so_far = {"sum": F.sum, "max": F.max, "previous": lambda c: F.last(c, True), "first": lambda c: F.first(c, True)}
+        out = pieces.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *[so_far[s.how](F.col(f"_t_{n}")).over(w).alias(f"_c_{n}") for n, s in made.items()])
+        return out if by else F.broadcast(out)  # without ``by`` at most two rows for each range
+
+    def _scanned(self, rows: DataFrame, carry: DataFrame | None, made: dict[str, Scan], by: tuple[str, ...], reverse: bool) -> DataFrame:
+        group = [*self.keys, *by]
+        w = Window.partitionBy("_part", *group).orderBy(*self._order(reverse))
+        upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        if carry is not None:
+            rows = rows.join(carry, same([("_part", "_p"), *[(c, f"_g{i}") for i, c in enumerate(group)]]), "left")
+
+        def value(n: str, s: Scan) -> Column:
+            near, kept = earlier if s.before else upto, F.col(f"_c_{n}") if carry is not None else None
+            if s.how == "sum":
+                x = F.coalesce(F.sum(s.value).over(near), F.lit(0))
+                return x if kept is None else x + F.coalesce(kept, F.lit(0))
+            if s.how == "max":
+                x = F.max(s.value).over(near)
+                return x if kept is None else F.greatest(x, kept)
+            if s.how == "previous":
+                x = F.lag(s.value).over(w)
+                return x if kept is None else F.when(F.row_number().over(w) == 1, kept["v"]).otherwise(x)
+            x = F.first(F.struct(s.value.alias("v"))).over(upto)
+            return (x if kept is None else F.coalesce(kept, x))["v"]
+
+        out = rows.withColumns({n: value(n, s) for n, s in made.items()})
+        return out if carry is None else out.drop(*carry.columns)
+
+    def result(self) -> DataFrame:
+        """The rows without internal columns."""
+        return self.rows.drop(*[c for c in self.rows.columns if c.startswith("_")])
+
+
+def deal(df: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None) -> Ranges:
+    """``df`` dealt by ranges of keys and order; no keys: one order of all rows. ``parts``: so many ranges, else as Spark's
+    settings and the amount of data say."""
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    rows = store(dealt.withColumn("_part", F.spark_partition_id()), "ranged")
+    key = F.struct(*keys)
+    ends = rows.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))  # a row for each range
+    ends = ends.withColumn("before", F.lag("hi").over(Window.orderBy("_part")))
+    split = store(ends.filter(F.col("lo").eqNullSafe(F.col("before"))).select(*[F.col(f"lo.{k}").alias(f"_k{i}") for i, k in enumerate(keys)]).distinct(), "split")
+    edge = None if split.isEmpty() else rows.join(F.broadcast(split), same([(k, f"_k{i}") for i, k in enumerate(keys)]), "left_semi")
+    return Ranges(rows, edge, tuple(keys), tuple(order))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
-    """``df`` with, for each (name, column) of ``sums``, the sum over its group up to and with each row, in ``order``.
-
-    Rows are dealt by ranges of keys and order and written once, as Spark draws the ranges from a sample. A window runs
-    inside each range; the totals of ranges, a row for each group and range, are summed up before it.
-    """
-    ranged = store(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    same = F.col("_part") == F.col("_p")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(totals, same)
-    return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_part", "_p", *totals.columns)
+    """``df`` with, for each (name, column) of ``sums``, the sum over its group up to and with each row, in ``order``."""
+    out = deal(df, keys, order).scan({n: total(F.col(c)) for n, c in sums.items()}).rows
+    return out.drop("_part") if keys else out.drop("_part", "_all")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import smoothed
+from causeway.operators.ordered import deal, most, total
 
 KEYS = {"mcc": ["customer_id", "mcc_code"], "channel": ["customer_id", "channel_indicator_sub_type"], "event_type": ["customer_id", "event_type_nm"]}
 NONE = "__NA__"
@@ -41,26 +42,30 @@ def edge_state(df: DataFrame, keys: list[str], labeled_only: bool = True) -> Dat
     return named.groupBy(*[f"_{k}" for k in keys]).agg(F.count(F.lit(1)).alias("cnt"), F.sum((F.col("target") == 1).cast("long")).alias("pos"), F.max("event_ts").alias("last_ts"))
 
 
-def global_prefix(df: DataFrame, counted, bucket: int) -> DataFrame:
-    """``df`` with how many counted rows, and positives, come before each row in (event_ts, event_id) order.
+ORDER = ["event_ts", "event_id"]
 
-    Two levels: totals of time buckets (a row for each, so their running sum is small) and a window inside each bucket; no
-    task sees all rows. Narrower buckets spread busy times.
+
+def history(df: DataFrame, key_sets: list[list[str]], counted: Column, parts: int | None = None) -> DataFrame:
+    """``df`` with what counted rows before each row, in (event_ts, event_id) order, have been: rows and positives of all
+    (``_gn``, ``_gp``), and rows, positives and last time of each edge (``_sc_``, ``_sp_``, ``_sl_`` and its name).
+
+    The order of all rows is dealt by ranges, and then the rows of the keys that all sets share, so that neither a busy
+    day nor a busy customer is one task.
     """
-    hit, pos = counted.cast("long"), (counted & (F.col("target") == 1)).cast("long")
-    out = df.withColumn("_bucket", F.floor(F.col("event_ts") / bucket))
-    totals = out.groupBy("_bucket").agg(F.sum(hit).alias("_n"), F.sum(pos).alias("_p"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p0"))
-    inside = Window.partitionBy("_bucket").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({"_n1": F.coalesce(F.sum(hit).over(inside), F.lit(0)), "_p1": F.coalesce(F.sum(pos).over(inside), F.lit(0))})
-    out = out.join(totals, F.col("_bucket").eqNullSafe(F.col("_b")))  # rows without a time are in a bucket of their own, the first
-    return out.withColumns({"global_cnt": F.col("_n0") + F.col("_n1"), "global_pos": F.col("_p0") + F.col("_p1")}).drop("_bucket", "_b", "_n0", "_n1", "_p0", "_p1")
+    hit = {"_hit": counted.cast("long"), "_hit_pos": (counted & (F.col("target") == 1)).cast("long")}
+    n, p, last = F.col("_hit"), F.col("_hit_pos"), F.when(F.col("_hit") > 0, F.col("event_ts"))
+    out = deal(df.withColumns(hit), [], ORDER, parts).scan({"_gn": total(n, before=True), "_gp": total(p, before=True)}).rows.drop("_part", "_all")
+    common = [k for k in key_sets[0] if all(k in s for s in key_sets)]
+    t = deal(out, [f"_{k}" for k in common], ORDER, parts)
+    for keys in key_sets:
+        name = prefix_name(keys)
+        t = t.scan({f"_sc_{name}": total(n, before=True), f"_sp_{name}": total(p, before=True), f"_sl_{name}": most(last, before=True)}, tuple(f"_{k}" for k in keys if k not in common))
+    return t.rows.drop("_part", "_all", "_hit", "_hit_pos")
 
 
 def online_risk(
     df: DataFrame, key_sets: list[list[str]], mode: str = "train", prior: float = 0.5, alpha: float = 20.0, state: dict[str, RiskState] | None = None,
-    labeled_only: bool = True, include_risk: bool = True, include_count: bool = True, bucket: int = 86_400,
+    labeled_only: bool = True, include_risk: bool = True, include_count: bool = True, parts: int | None = None,
 ) -> DataFrame:
     """Adds cnt_prev, is_new, tslast_sec (counts) and pos_prev, risk_smooth (risk) for each set of keys.
 
@@ -70,12 +75,14 @@ def online_risk(
     if mode not in ("train", "valid", "test"):
         raise ValueError(f"unknown mode {mode}")
     counted = (F.col("target") >= 0) if labeled_only else F.lit(True)
-    out = global_prefix(df, counted, bucket) if mode == "train" else df
+    every = dict.fromkeys(k for keys in key_sets for k in keys)
+    out = df.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in every})
+    if mode == "train":
+        out = history(out, key_sets, counted, parts)
     for keys in key_sets:
         name = prefix_name(keys)
         own = (state or {}).get(name)
         prior_, alpha_ = (own.prior, own.alpha) if own else (prior, alpha)
-        out = out.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in keys})
         if own:
             out = out.join(own.edges.withColumnsRenamed({"cnt": "_c0", "pos": "_q0", "last_ts": "_l0"}), [f"_{k}" for k in keys], "left")
         else:
@@ -83,11 +90,8 @@ def online_risk(
         cnt, pos, last = F.coalesce("_c0", F.lit(0)), F.coalesce("_q0", F.lit(0)), F.col("_l0")
         n0, p0 = own.total if own else (0, 0)
         if mode == "train":
-            w = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-            cnt = cnt + F.coalesce(F.sum(counted.cast("long")).over(w), F.lit(0))
-            pos = pos + F.coalesce(F.sum((counted & (F.col("target") == 1)).cast("long")).over(w), F.lit(0))
-            last = F.coalesce(F.max(F.when(counted, F.col("event_ts"))).over(w), last)
-            gc, gp = F.col("global_cnt") + n0, F.col("global_pos") + p0
+            cnt, pos, last = cnt + F.col(f"_sc_{name}"), pos + F.col(f"_sp_{name}"), F.coalesce(F.col(f"_sl_{name}"), last)
+            gc, gp = F.col("_gn") + n0, F.col("_gp") + p0
             now = F.when(gc > 0, gp / F.greatest(gc, F.lit(1))).otherwise(F.lit(prior_))
         else:
             now = F.lit(p0 / n0 if n0 else prior_)
@@ -97,8 +101,8 @@ def online_risk(
             made |= {f"{name}_cnt_prev": F.col("_cnt"), f"{name}_is_new": (F.col("_cnt") == 0).cast("int"), f"{name}_tslast_sec": F.coalesce(F.col("event_ts") - F.col("_last"), F.lit(-1))}
         if include_risk:
             made |= {f"{name}_pos_prev": F.col("_pos"), f"{name}_risk_smooth": smoothed(F.col("_pos"), F.col("_cnt"), F.col("_now"), alpha_)}
-        out = out.withColumns(made).drop("_cnt", "_pos", "_last", "_now", "_c0", "_q0", "_l0", *[f"_{k}" for k in keys])
-    return out.drop("global_cnt", "global_pos")
+        out = out.withColumns(made).drop("_cnt", "_pos", "_last", "_now", "_c0", "_q0", "_l0", f"_sc_{name}", f"_sp_{name}", f"_sl_{name}")
+    return out.drop("_gn", "_gp", *[f"_{k}" for k in every])
 
 
 def fit_state(df: DataFrame, keys: list[str], prior: float = 0.5, alpha: float = 20.0, labeled_only: bool = True, start: RiskState | None = None) -> RiskState:

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
+from causeway.operators.frames import timeline
+from causeway.operators.ordered import previous, total
 
 PAD, UNKNOWN, MASK, IGNORE = 0, 1, 2, -100
 
 
-def count_windows(df: DataFrame, length: int = 128, stride: int = 32, least: int = 8) -> DataFrame:
+def count_windows(df: DataFrame, length: int = 128, stride: int = 32, least: int = 8, parts: int | None = None) -> DataFrame:
     """(customer_id, w, size, tokens...): windows of ``length`` events that begin every ``stride``, the last one reaching the end.
 
     Shorter windows and customers than ``least`` are left out. Tokens are arrays in event order.
     """
-    w = Window.partitionBy("customer_id").orderBy("event_ts", "event_id")
-    every = Window.partitionBy("customer_id")
-    rows = df.filter("customer_id is not null and event_id is not null and event_ts is not null").select(
-        "customer_id", "event_id", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(every).alias("n"),
+    named = df.filter("customer_id is not null and event_id is not null")
+    t = timeline(named, {}, parts=parts).scan({"_prev": previous(F.col("event_ts"))}).scan({"_left": total(F.lit(1))}, reverse=True)
+    rows = t.rows.select(
+        "customer_id", "event_id", (F.col("_rn") - 1).alias("i"), (F.col("_rn") + F.col("_left") - 1).alias("n"),
         S.tokenize(F.coalesce("event_type_nm", F.lit(-1))).alias("event_token"), S.tokenize(F.coalesce("channel_indicator_sub_type", F.lit(-1))).alias("channel_token"),
-        S.hour_token(F.col("event_ts")).alias("hour_token"), S.delta_log(F.coalesce(F.col("event_ts") - F.lag("event_ts").over(w), F.lit(0))).alias("delta_log"),
+        S.hour_token(F.col("event_ts")).alias("hour_token"), S.delta_log(F.coalesce(F.col("event_ts") - F.col("_prev"), F.lit(0))).alias("delta_log"),
     )
     last = F.when(F.col("n") <= length, 0).otherwise(F.ceil((F.col("n") - length) / stride)).cast("int")
     lo = F.greatest(F.lit(0), F.ceil((F.col("i") - length + 1) / stride)).cast("int")

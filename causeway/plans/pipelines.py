@@ -63,7 +63,7 @@ def sequence_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None
 
 
 def baseline_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None = None) -> DataFrame:
-    out = prefix.baseline_pack(prefix.by_customer(with_time(canon).filter("event_ts is not null")))
+    out = prefix.baseline_pack(with_time(canon))
     if cfg.pretrain_profile and pretrain is not None:
         out = profile.join_profile(out, profile.customer_profile(with_time(pretrain)))
     return out

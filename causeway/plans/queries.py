@@ -8,12 +8,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
 from causeway.operators import encode, prefix, profile, risk, sequences
-from causeway.operators.frames import Suffix, by_customer
+from causeway.operators.frames import Timeline, timeline
 from causeway.plans import evaluation as E
 from causeway.sources import canonical as C
 from causeway.streaming import events as stream
@@ -79,8 +79,8 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_time(canon(spark, sf_dir))
 
 
-def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_customer(timed(spark, sf_dir))
+def ready(spark: SparkSession, sf_dir: str, windows: dict | None = None) -> Timeline:
+    return prefix.timeline(timed(spark, sf_dir), windows)
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -163,21 +163,21 @@ def _(spark, sf):
        f"""select event_id, customer_id, {_cnt(600)} as rolling_count_10m, {_cnt(3600)} as rolling_count_1h, {_cnt(86400)} as rolling_count_1d, {_cnt(604800)} as rolling_count_7d,
        coalesce(event_ts - lag(event_ts) over ({K}), 0) as dt_since_prev_sec, cast(row_number() over (partition by customer_id, mcc_code order by event_ts, event_id) = 1 as int) as is_new_mcc from ev""")
 def _(spark, sf):
-    return prefix.first_seen(prefix.gaps(prefix.rolling(ready(spark, sf))))
+    return prefix.rolling(prefix.first_seen(prefix.gaps(ready(spark, sf, prefix.ROLLING)))).result()
 
 
 @query("rolling_amounts", "event_id:l sum_amt_1d:f sum_amt_7d:f mean_amt_7d:f max_amt_7d:f",
        f"""select event_id, {_sum("cents", 86400)}::bigint / 100::double as sum_amt_1d, {_sum("cents", 604800)}::bigint / 100::double as sum_amt_7d,
        {_sum("cents", 604800)}::bigint / 100::double / greatest({_cnt(604800)}, 1) as mean_amt_7d, {_max("cents", 604800)} / 100::double as max_amt_7d from ev""")
 def _(spark, sf):
-    return prefix.rolling(ready(spark, sf))
+    return prefix.rolling(ready(spark, sf, prefix.ROLLING)).result()
 
 
 @query("rolling_burst", "event_id:l burst_10m_over_1h:f burst_1h_over_1d:f rolling_count_1m:l rolling_count_5m:l rolling_count_30m:l sum_amt_5m:f burst_5m_over_1d:f",
        f"""select event_id, {_cnt(600)} / {_cnt(3600)}::double as burst_10m_over_1h, {_cnt(3600)} / {_cnt(86400)}::double as burst_1h_over_1d, {_cnt(60)} as rolling_count_1m, {_cnt(300)} as rolling_count_5m,
        {_cnt(1800)} as rolling_count_30m, {_sum("cents", 300)}::bigint / 100::double as sum_amt_5m, {_cnt(300)} / {_cnt(86400)}::double as burst_5m_over_1d from ev""")
 def _(spark, sf):
-    return prefix.rolling(ready(spark, sf), ultra_burst=True)
+    return prefix.rolling(ready(spark, sf, prefix.ROLLING | prefix.ULTRA_BURST), ultra_burst=True).result()
 
 
 MONTH = 30 * 86_400
@@ -190,8 +190,8 @@ def _capped(n: int) -> None:
 
     @query(f"rolling_capped_{n}", "event_id:l cnt:l sum_cents:l max_cents:l bound:l", sql)
     def _(spark, sf):
-        s, free, x = Suffix(cap=n), Suffix(), S.cents()
-        return ready(spark, sf).withColumns({"cnt": s.count(MONTH), "sum_cents": s.sum(x, MONTH), "max_cents": s.max(x, MONTH), "bound": (free.count(MONTH) > n).cast("int")})
+        t = ready(spark, sf, {MONTH: ()})
+        return t.over(MONTH, {"sum_cents": "_cents"}, {"max_cents": "_cents"}, n).with_columns_of({"cnt": t.count(MONTH, n), "bound": (t.count(MONTH) > n).cast("int")}).result()
 
 
 for _n in (5, 20, 100):
@@ -204,9 +204,9 @@ _TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantit
        f"""select *, {_cnt(30, "l_suppkey", "day_no", ", ".join(_TIE))} as cnt_30d, {_sum("x", 30, "l_suppkey", "day_no", ", ".join(_TIE))}::bigint as sum_cents_30d,
        {_max("x", 30, "l_suppkey", "day_no", ", ".join(_TIE))} as max_cents_30d from (select *, date_diff('day', timestamp '1970-01-01', l_shipdate) as day_no, cast(round(l_extendedprice * 100) as bigint) as x from lineitem)""")
 def _(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns({"day_no": F.expr("cast(unix_date(cast(l_shipdate as date)) as bigint)"), "x": F.round(F.col("l_extendedprice") * 100).cast("long"), "tie": F.struct(*_TIE)})
-    s = Suffix("l_suppkey", "day_no", "tie")
-    return by_customer(rows, "l_suppkey").withColumns({"cnt_30d": s.count(30), "sum_cents_30d": s.sum(F.col("x"), 30), "max_cents_30d": s.max(F.col("x"), 30)})
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns({"day_no": F.expr("cast(unix_date(cast(l_shipdate as date)) as bigint)"), "tie": F.struct(*_TIE)})
+    t = timeline(rows, {30: ("x",)}, {"x": F.round(F.col("l_extendedprice") * 100).cast("long")}, "l_suppkey", "day_no", "tie")
+    return t.over(30, {"sum_cents_30d": "x"}, {"max_cents_30d": "x"}).with_columns_of({"cnt_30d": t.count(30)}).result()
 
 
 @query("baseline_pack", "event_id:l rolling_count_1h:l rolling_count_1d:l rolling_count_7d:l burst_1h_over_1d:r seq_customer_idx:l is_new_event_type:l amt_over_prev_mean:r",
@@ -214,7 +214,7 @@ def _(spark, sf):
        row_number() over ({K}) - 1 as seq_customer_idx, cast(row_number() over (partition by customer_id, event_type_nm order by event_ts, event_id) = 1 as int) as is_new_event_type,
        operaton_amt / (coalesce(sum(cents) over ({K} rows between unbounded preceding and 1 preceding)::double / count(*) over ({K} rows between unbounded preceding and 1 preceding) / 100, 0) + 1) as amt_over_prev_mean from ev""")
 def _(spark, sf):
-    return prefix.baseline_pack(ready(spark, sf))
+    return prefix.baseline_pack(timed(spark, sf))
 
 
 @query("gap_features", "event_id:l seq_customer_idx:l dt_since_prev_sec:l dt_since_prev_same_channel_sec:l dt_since_prev_same_mcc_sec:l time_since_last_seen_mcc_sec:l",
@@ -222,34 +222,34 @@ def _(spark, sf):
        coalesce(event_ts - lag(event_ts) over (partition by customer_id, channel_indicator_sub_type order by event_ts, event_id), -1) as dt_since_prev_same_channel_sec,
        coalesce(event_ts - lag(event_ts) over (partition by customer_id, mcc_code order by event_ts, event_id), -1) as dt_since_prev_same_mcc_sec, dt_since_prev_same_mcc_sec as time_since_last_seen_mcc_sec from ev""")
 def _(spark, sf):
-    return prefix.gaps(ready(spark, sf))
+    return prefix.gaps(ready(spark, sf)).result()
 
 
 @query("novelty_flags", "event_id:l is_new_event_type:l is_new_mcc:l is_new_channel:l",
        "select event_id, " + ", ".join(f"cast(row_number() over (partition by customer_id, {c} order by event_ts, event_id) = 1 as int) as is_new_{n}" for c, n in (("event_type_nm", "event_type"), ("mcc_code", "mcc"), ("channel_indicator_sub_type", "channel"))) + " from ev")
 def _(spark, sf):
-    return prefix.first_seen(ready(spark, sf))
+    return prefix.first_seen(ready(spark, sf)).result()
 
 
 @query("fingerprint_history", "event_id:l is_new_device_for_customer:l is_new_fingerprint_for_customer:l fingerprint_cnt_prev:l fingerprint_tslast_sec:l",
        """select event_id, cast(row_number() over w = 1 as int) as is_new_device_for_customer, is_new_device_for_customer as is_new_fingerprint_for_customer, row_number() over w - 1 as fingerprint_cnt_prev,
        coalesce(event_ts - lag(event_ts) over w, -1) as fingerprint_tslast_sec from ev window w as (partition by customer_id, fp order by event_ts, event_id)""")
 def _(spark, sf):
-    return prefix.fingerprints(ready(spark, sf))
+    return prefix.fingerprints(ready(spark, sf)).result()
 
 
 @query("device_tz_lang_drift", "event_id:l device_change_flag:l timezone_change_flag:l lang_change_flag:l device_change_count_7d:l timezone_change_count_7d:l lang_change_count_7d:l",
        f"""select event_id, device_change_flag, timezone_change_flag, lang_change_flag, {_sum("device_change_flag", 604800)} as device_change_count_7d, {_sum("timezone_change_flag", 604800)} as timezone_change_count_7d,
        {_sum("lang_change_flag", 604800)} as lang_change_count_7d from (select *, """ + ", ".join(f"coalesce(cast(lag({x}) over ({K}) <> {x} as int), 0) as {n}_change_flag" for x, n in (("fp", "device"), ("timezone", "timezone"), ("lp", "lang"))) + " from ev)")
 def _(spark, sf):
-    return prefix.drift(ready(spark, sf))
+    return prefix.drift(ready(spark, sf, {prefix.WEEK: ()})).result()
 
 
 @query("battery_features", "event_id:l battery_level:f battery_missing_flag:l battery_bucket:l battery_jump_flag:l",
        f"""select event_id, coalesce(x, -1) as battery_level, cast(x is null as int) as battery_missing_flag, case when x is null then -1 when x <= 5 then 0 when x <= 20 then 1 when x <= 80 then 2 when x <= 100 then 3 else 4 end as battery_bucket,
        coalesce(cast(x is not null and lag(x) over ({K}) is not null and abs(x - lag(x) over ({K})) >= 40 as int), 0) as battery_jump_flag from (select *, try_cast(battery as double) as x from ev)""")
 def _(spark, sf):
-    return prefix.battery(ready(spark, sf))
+    return prefix.battery(ready(spark, sf)).result()
 
 
 @query("session_prefix", "event_id:l session_key:s session_event_index:l session_cnt_so_far:l session_duration_so_far:l session_amt_sum_so_far:f session_has_device_risk_flag:l session_fallback_30m_used:l",
@@ -257,14 +257,14 @@ def _(spark, sf):
        (sum(cents) over w)::bigint / 100::double as session_amt_sum_so_far, max(greatest({_RISK}, {_LM})) over w as session_has_device_risk_flag, cast({_WEAK} as int) as session_fallback_30m_used
        from ev window w as (partition by customer_id, session_key order by event_ts, event_id rows unbounded preceding)""")
 def _(spark, sf):
-    return prefix.sessions(ready(spark, sf))
+    return prefix.sessions(ready(spark, sf)).result()
 
 
 @query("amount_over_prev_mean", "event_id:l prev_mean_amt:r amt_over_prev_mean:r",
        f"""select event_id, m as prev_mean_amt, operaton_amt / (m + 1) as amt_over_prev_mean from (select *,
        coalesce(sum(cents) over ({K} rows between unbounded preceding and 1 preceding)::double / count(*) over ({K} rows between unbounded preceding and 1 preceding) / 100, 0) as m from ev)""")
 def _(spark, sf):
-    return prefix.amount_over_mean(ready(spark, sf))
+    return prefix.amount_over_mean(ready(spark, sf)).result()
 
 
 @query("sequence_first_pack", "event_id:l rolling_count_7d:l dt_since_prev_sec:l is_new_mcc:l device_change_count_7d:l battery_bucket:l session_event_index:l amount_bucket:l is_night:l", None)
@@ -485,7 +485,7 @@ _WINDOWS = f"""(select customer_id, w, count(*) as size, list(event_id order by
 
 
 def windows(spark, sf):
-    return sequences.count_windows(ready(spark, sf), _L, _S_, _MIN)
+    return sequences.count_windows(timed(spark, sf), _L, _S_, _MIN)
 
 
 def joined(c: str):
@@ -518,8 +518,7 @@ def _(spark, sf):
 
 @query("delta_log", "event_id:l delta_log:r", f"select event_id, ln(1 + least(greatest(coalesce(event_ts - lag(event_ts) over ({K}), 0), 0), 2592000)::double) as delta_log from ev")
 def _(spark, sf):
-    w = Window.partitionBy("customer_id").orderBy("event_ts", "event_id")
-    return ready(spark, sf).withColumn("delta_log", S.delta_log(F.coalesce(F.col("event_ts") - F.lag("event_ts").over(w), F.lit(0))))
+    return prefix.gaps(ready(spark, sf)).result().withColumn("delta_log", S.delta_log(F.col("dt_since_prev_sec")))
 
 
 @query("mlm_masking", "customer_id:l w:l masked:s labels:s", None)
@@ -542,7 +541,7 @@ FEATURES = ["event_type_nm", "channel_indicator_sub_type", "event_hour", "log_am
 def _(spark, sf):
     from causeway.plans import model
 
-    t = prefix.first_seen(prefix.gaps(prefix.rolling(ready(spark, sf))))
+    t = prefix.rolling(prefix.first_seen(prefix.gaps(ready(spark, sf, prefix.ROLLING)))).result()
     train = encode.with_weights(t.filter((F.col("week_start") < F.lit(WEEK4)) & (F.col("target") >= 0)))
     return model.score(model.fit(train, FEATURES, trees=5, depth=4), t.filter(F.col("week_start") == F.lit(WEEK4)), FEATURES)
 

@@ -2,14 +2,15 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
-from causeway.operators import encode, prefix, profile, risk, sequences
-from causeway.operators.frames import Suffix
+from causeway.operators import encode, ordered, prefix, profile, risk, sequences
+from causeway.operators.frames import timeline
 from causeway.plans import evaluation as E
 from causeway.sources import canonical as C
 
@@ -32,17 +33,78 @@ def naive(rows, seconds, cap=None):
     return out
 
 
+@pytest.mark.parametrize("parts", [None, 11])
 @pytest.mark.parametrize("cap", [None, 3, 5, 20])
-def test_suffix_with_ties(spark, cap):
+def test_frames_with_ties(spark, cap, parts):
+    """One range or many, frames in time and frames that a cap cuts, against a plain loop."""
     rng = random.Random(4)
-    rows = [(rng.randrange(3), i, rng.randrange(40), rng.randrange(100)) for i in range(150)] + [(9, 500 + i, 7, i) for i in range(5)] + [(8, 600 + i, i * 60, i) for i in range(30)]
+    rows = [(rng.choice([0, 1, 2, None]), i, rng.randrange(40), rng.randrange(100)) for i in range(150)] + [(9, 500 + i, 7, i) for i in range(5)] + [(8, 600 + i, i * 60, i) for i in range(30)]
     rng.shuffle(rows)
-    s, x = Suffix(cap=cap), F.col("amt")
-    got = by_id(small(spark, rows).withColumns({"n": s.count(10), "s": s.sum(x, 10), "m": s.max(x, 10)}), "n", "s", "m")
-    want = naive(rows, 10, cap)
-    assert got == want
+    t = timeline(small(spark, rows), {10: ("x",), 3: ()}, {"x": F.col("amt")}, parts=parts)
+    assert (t.edge is not None) == (parts is not None)
+    for w in (10, 3):
+        out = t.over(w, {"s": "x"}, {"m": "x"}, cap).with_columns_of({"n": t.count(w, cap)}).result()
+        want = naive([(-1 if r[0] is None else r[0], *r[1:]) for r in rows], w, cap)
+        assert by_id(out, "n", "s", "m") == want
     if cap and cap <= 5:
-        assert any(v[0] > cap for v in naive(rows, 10).values())
+        assert any(v[0] > cap for v in naive([(r[0] or 0, *r[1:]) for r in rows], 10).values())
+
+
+def test_rows_without_time_and_no_rows(spark):
+    t = timeline(small(spark, [(1, 1, None, 5), (1, 2, 4, 5)]), {10: ("x",)}, {"x": F.col("amt")})
+    assert by_id(t.with_columns_of({"n": t.count(10)}).result(), "n") == {2: 1}
+    assert timeline(small(spark, []), {10: ()}).result().count() == 0
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_scans(spark, reverse):
+    """Every kind of scan over pieces of one key, of values inside it, and of values made by an earlier scan."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.randrange(50), rng.choice([None, 1, 2, 3])) for i in range(300)]
+    dealt = ordered.deal(small(spark, rows), ["customer_id"], ["event_ts", "event_id"], 13)
+    amt, by = F.col("amt"), ("amt",)
+    scans = {"s": ordered.total(amt), "sb": ordered.total(amt, before=True), "m": ordered.most(amt), "mb": ordered.most(amt, before=True), "p": ordered.previous(amt), "f": ordered.first(amt)}
+    if reverse:
+        scans = {k: scans[k] for k in ("s", "m", "sb", "mb")}
+    out = dealt.scan(scans, reverse=reverse, deep=True).scan({"nth": ordered.total(F.lit(1))}, by, reverse).scan({"twice": ordered.total(F.col("s"))}, reverse=reverse)
+    assert len({r[0] for r in out.rows.select("_part").distinct().collect()}) > 8
+    got = by_id(out.result(), *scans, "nth", "twice")
+    for c in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1]), reverse=reverse)
+        twice = 0
+        for i, r in enumerate(own):
+            upto = [x[3] for x in own[: i + 1]]
+            known = [x for x in upto if x is not None]
+            before = [x for x in upto[:-1] if x is not None]
+            want = {"s": sum(known), "sb": sum(before), "m": max(known, default=None), "mb": max(before, default=None), "p": upto[-2] if i else None, "f": upto[0]}
+            twice += sum(known)
+            assert got[r[1]] == (*[want[k] for k in scans], upto.count(r[3]), twice)
+
+
+def test_packs_do_not_depend_on_ranges(spark, sf):
+    """All features in one range and in many, over customers that reach over several ranges."""
+    t = S.with_time(C.events(spark, sf)).filter("customer_id < 12").withColumn("customer_id", F.when(F.col("customer_id") > 3, 7).otherwise(F.col("customer_id")))
+    for make in (lambda n: prefix.sequence_first(t, cap=20, ultra_burst=True, parts=n), lambda n: prefix.sequence_first(t, parts=n), lambda n: prefix.baseline_pack(t, n), lambda n: sequences.count_windows(t, 16, 4, 8, n)):
+        one, many = (sorted(map(str, make(n).collect())) for n in (1, 9))
+        assert len(one) > 100 and one == many
+
+
+def seconds_of(spark, n):
+    """Of all windows of one customer whose ``n`` events lie in one week."""
+    df = spark.range(n).select(F.lit(1).alias("customer_id"), F.col("id").alias("event_id"), (F.col("id") * 7919 % 604_800).alias("event_ts"), (F.col("id") % 1000).alias("amt"))
+    began = time.time()
+    t = timeline(df, {w: ("x",) for w in (600, 3600, 86_400, 604_800)}, {"x": F.col("amt")}, parts=8)
+    out = t.over(86_400, {"s1": "x"}).over(604_800, {"s7": "x"}, {"m7": "x"}).with_columns_of({"n": t.count(604_800)}).result()
+    n_rows, top = out.agg(F.count("*"), F.max("n")).first()
+    assert n_rows == top == n
+    return time.time() - began
+
+
+def test_a_customer_with_very_many_events_takes_time_in_proportion(spark):
+    seconds_of(spark, 5_000)
+    few, many = seconds_of(spark, 50_000), seconds_of(spark, 200_000)
+    print(f"50,000 events {few:.1f} s, 200,000 events {many:.1f} s")
+    assert many < 5 * few
 
 
 def test_amount_edges(spark):
@@ -105,10 +167,11 @@ def same(got, want):
     return got.keys() == want.keys() and all(g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-12 for g, w in ((got[k], want[k]) for k in want))
 
 
+@pytest.mark.parametrize("parts", [None, 9])
 @pytest.mark.parametrize("labeled_only", [True, False])
-def test_risk_train(spark, labeled_only):
+def test_risk_train(spark, labeled_only, parts):
     rows = risk_rows()
-    got = by_id(risk.online_risk(small(spark, rows, RISK), [KEYS], labeled_only=labeled_only, bucket=7200), *OUT)
+    got = by_id(risk.online_risk(small(spark, rows, RISK), [KEYS], labeled_only=labeled_only, parts=parts), *OUT)
     assert same(got, naive_risk(rows, labeled_only)[0])
 
 
