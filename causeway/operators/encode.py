@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.scalars import token
@@ -14,27 +16,71 @@ CATEGORICAL = [
     "event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd", "mcc_code", "pos_cd", "timezone", "operating_system_type",
     "accept_language", "browser_language", "session_id", "battery", "device_system_version", "screen_size", "developer_tools", "phone_voip_call_state", "web_rdp_connection", "compromised",
 ]
-#: Values of a column up to which its codes are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_VALUES = 100_000
+#: Values that the dictionary of all columns together may hold, and bytes of each. So it has some 15 MB at most.
+DICTIONARY_VALUES, DICTIONARY_BYTES = 100_000, 64
+
+
+def long_values(columns: list[str]) -> Column:
+    """(col, value) of each of the columns."""
+    return F.array(*[F.struct(F.lit(c).alias("col"), token(c).alias("value")) for c in columns])
+
+
+def numbered(first: DataFrame, keys: list[str]) -> DataFrame:
+    """``code`` of (keys, first, value): values of the same keys in order of their first row, from 0."""
+    return running(first.withColumn("_one", F.lit(1)), keys, ["first", "value"], {"code": "_one"}).withColumn("code", F.col("code") - 1).drop("_one")
 
 
 def fit_categories(df: DataFrame, columns: list[str], order: str = "event_id") -> DataFrame:
-    """(col, value, code): codes count a column's values in order of their first row. The table is stored."""
-    long = df.select(order, F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[token(c) for c in columns]))).alias("col", "value"))
-    first = long.groupBy("col", "value").agg(F.min(order).alias("first"))
-    numbered = running(first.withColumn("one", F.lit(1)), ["col"], ["first", "value"], {"n": "one"})
-    return store(numbered.select("col", "value", (F.col("n") - 1).alias("code")), "codes")
+    """(col, value, code, n): codes count a column's values in order of their first row; n rows have the value. The table is stored."""
+    long = df.select(order, F.explode(long_values(columns)).alias("e")).select(order, "e.*")
+    first = long.groupBy("col", "value").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    return store(numbered(first, ["col"]).select("col", "value", "code", "n"), "codes")
+
+
+def dictionary(codes: DataFrame) -> tuple[Callable[[str], Column], DataFrame | None]:
+    """Codes of all columns in one hash table that is looked up by an expression (a scalar subquery, so nothing is joined): the
+    code of a column's value, or null; and the codes that the table lacks, or None.
+
+    It holds the values with most rows, ``DICTIONARY_VALUES`` at most, so what it lacks are rare values and very long ones.
+    """
+    top = codes.filter(F.octet_length("value") <= DICTIONARY_BYTES).orderBy(F.desc("n"), "col", "value").limit(DICTIONARY_VALUES)
+    top, every = store(top, "dictionary"), codes.count()
+    held = top.count()
+    slots = 1 << max(0, held - 1).bit_length()
+    entry = F.struct(key(F.col("col"), F.col("value")).alias("k"), F.col("code").cast("long").alias("c"))
+    own = top.groupBy(slot(F.col("col"), F.col("value"), slots).alias("slot")).agg(F.collect_list(entry).alias("e"))
+    every_slot = codes.sparkSession.range(slots).join(own, F.col("id") == F.col("slot"), "left").agg(F.array_sort(F.collect_list(F.struct("id", "e"))).alias("all"))
+    table = every_slot.select(F.transform("all", lambda x: F.map_from_entries(x["e"])).alias("d"))
+    rest = None if held == every else store(codes.join(top.select("col", "value"), ["col", "value"], "left_anti"), "rare-codes")
+    whole = table.scalar()
+    return lambda c: F.try_element_at(F.get(whole, slot(F.lit(c), token(c), slots)), key(F.lit(c), token(c))), rest
+
+
+def key(c: Column, value: Column) -> Column:
+    return F.concat(c, F.lit("\x00"), value)
+
+
+def slot(c: Column, value: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(c, value), F.lit(slots)).cast("int")
 
 
 def encode_categories(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
-    """``<column>_code`` for each column; values unknown to ``codes`` are -1."""
-    out = df
-    sizes = {r["col"]: r["count"] for r in codes.groupBy("col").count().collect()}  # a row for each column
-    for c in columns:
-        own = codes.filter(F.col("col") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"{c}_code"))
-        own = F.broadcast(own) if sizes.get(c, 0) <= BROADCAST_VALUES else own
-        out = out.withColumn(f"_{c}", token(c)).join(own, f"_{c}", "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1))).drop(f"_{c}")
-    return out
+    """``<column>_code`` for each column; values unknown to ``codes`` are -1.
+
+    Codes come from the dictionary. Only where values do not fit into it, rows are written with a number of their own,
+    and what the dictionary did not know is looked up in one join of (column, value) and comes back in another; the values
+    that most rows have are in the dictionary, so they are not shuffled.
+    """
+    found, rest = dictionary(codes.filter(F.col("col").isin(*columns)))
+    if rest is None:
+        return df.withColumns({f"{c}_code": F.coalesce(found(c), F.lit(-1)) for c in columns})
+    late = [r[0] for r in rest.select("col").distinct().collect()]  # some of ``columns``
+    rows = store(df.withColumns({f"{c}_code": found(c) for c in columns}).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    asked = rows.select("_row", F.explode(F.array_compact(F.array(*[F.when(F.col(f"{c}_code").isNull(), F.struct(F.lit(c).alias("col"), token(c).alias("value"))) for c in late]))).alias("e"))
+    met = asked.select("_row", "e.*").join(rest, ["col", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("col", "code"))).alias("_late"))
+    out = rows.join(met, "_row", "left")
+    codes_of = {f"{c}_code": F.coalesce(F.col(f"{c}_code"), *([F.try_element_at("_late", F.lit(c))] if c in late else []), F.lit(-1)) for c in columns}
+    return out.withColumns(codes_of).drop("_row", "_late")
 
 
 def with_weights(df: DataFrame, reviewed_negative: float = 1.0, unlabeled: float = 0.01) -> DataFrame:

@@ -24,6 +24,11 @@ class RiskState:
     alpha: float
 
 
+def key_text(k: str) -> Column:
+    """A key as edges hold it; null is a value."""
+    return F.coalesce(F.col(k).cast("string"), F.lit(NONE))
+
+
 def prefix_name(keys: list[str]) -> str:
     return "ogr_" + "__".join(keys)
 
@@ -38,7 +43,7 @@ def weighted_prior(df: DataFrame, weight: str | None = None) -> DataFrame:
 
 def edge_state(df: DataFrame, keys: list[str], labeled_only: bool = True) -> DataFrame:
     rows = df.filter("target >= 0") if labeled_only else df
-    named = rows.select(*[F.coalesce(F.col(k).cast("string"), F.lit(NONE)).alias(f"_{k}") for k in keys], "target", "event_ts")
+    named = rows.select(*[key_text(k).alias(f"_{k}") for k in keys], "target", "event_ts")
     return named.groupBy(*[f"_{k}" for k in keys]).agg(F.count(F.lit(1)).alias("cnt"), F.sum((F.col("target") == 1).cast("long")).alias("pos"), F.max("event_ts").alias("last_ts"))
 
 
@@ -65,18 +70,19 @@ def history(df: DataFrame, key_sets: list[list[str]], counted: Column, parts: in
 
 def online_risk(
     df: DataFrame, key_sets: list[list[str]], mode: str = "train", prior: float = 0.5, alpha: float = 20.0, state: dict[str, RiskState] | None = None,
-    labeled_only: bool = True, include_risk: bool = True, include_count: bool = True, parts: int | None = None,
+    labeled_only: bool = True, include_risk: bool = True, include_count: bool = True, seen: str | None = None, parts: int | None = None,
 ) -> DataFrame:
     """Adds cnt_prev, is_new, tslast_sec (counts) and pos_prev, risk_smooth (risk) for each set of keys.
 
     ``train``: rows see the edges as earlier rows left them, and change them if labeled (or all rows, by ``labeled_only``).
-    ``valid`` and ``test``: the given state is read and stays. With a state, its prior and smoothing hold.
+    ``valid`` and ``test``: the given state is read and stays. With a state, its prior and smoothing hold. ``seen``: the name of
+    a column for how many counted rows came before (``train``); where none did, the risk is the prior.
     """
     if mode not in ("train", "valid", "test"):
         raise ValueError(f"unknown mode {mode}")
     counted = (F.col("target") >= 0) if labeled_only else F.lit(True)
     every = dict.fromkeys(k for keys in key_sets for k in keys)
-    out = df.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in every})
+    out = df.withColumns({f"_{k}": key_text(k) for k in every})
     if mode == "train":
         out = history(out, key_sets, counted, parts)
     for keys in key_sets:
@@ -102,6 +108,8 @@ def online_risk(
         if include_risk:
             made |= {f"{name}_pos_prev": F.col("_pos"), f"{name}_risk_smooth": smoothed(F.col("_pos"), F.col("_cnt"), F.col("_now"), alpha_)}
         out = out.withColumns(made).drop("_cnt", "_pos", "_last", "_now", "_c0", "_q0", "_l0", f"_sc_{name}", f"_sp_{name}", f"_sl_{name}")
+    if seen and mode == "train":
+        out = out.withColumn(seen, F.col("_gn"))
     return out.drop("_gn", "_gp", *[f"_{k}" for k in every])
 
 

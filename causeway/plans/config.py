@@ -24,7 +24,8 @@ class Config:
     session_fallback: bool = True
     pretrain_profile: bool = True
     full_week_eval: bool = True
-    graph_risk: bool = True
+    use_sequence: bool = True
+    graph_mode: str = "full"
     graph_prior: float | str = 0.5
     graph_alpha: float = 20.0
     max_labeled_rows: int | None = None
@@ -41,6 +42,8 @@ class Config:
         names = {f.name for f in fields(self)}
         if unknown := set(values) - names:
             raise ValueError(f"unknown settings {sorted(unknown)}")
+        if values.get("graph_mode") not in (None, "off", "count", "full"):
+            raise ValueError(f"unknown graph mode {values['graph_mode']}")
         return Config(**asdict(self) | {k: v for k, v in values.items() if v is not None})
 
 

@@ -1,9 +1,10 @@
 """The end-to-end runs: sequence-first, baseline with online risk, and sequence export.
 
 Features of events are causal, so they are computed once over the whole stream and every fold is a filter on them; what
-happens after an event never changes its features. What is fitted (category codes, and in the baseline the edges' risk
-and its prior) is fitted for each fold on its training weeks; the valid week reads it and changes nothing. The driver
-only loops over folds and fits models.
+happens after an event never changes its features. That holds for the online risk of training rows too. What is fitted
+(category codes, and in the baseline the frozen edges and the prior) is fitted for each fold on its training weeks, from
+weekly deltas that one scan gathers (``states``); the valid week reads it and changes nothing. The driver only loops over
+folds and fits models.
 """
 
 from __future__ import annotations
@@ -17,23 +18,26 @@ from pyspark.sql import functions as F
 from causeway.functions.scalars import with_time
 from causeway.operators import encode, prefix, profile, risk, sequences
 from causeway.plans import evaluation as E
-from causeway.plans import model
+from causeway.plans import model, states
 from causeway.plans.config import Config
 from causeway.sources import canonical as C
 from causeway.sources import sinks
 from causeway.sources.sinks import store
 
-NOT_FEATURES = {"target", "event_dttm", "event_dt", "event_date", "week_start", "event_id", "y", "weight", "fold", "role", "session_key", "device_fingerprint"}
+#: How many labeled rows came before a row.
+SEEN = "labeled_before"
+NOT_FEATURES = {"target", "event_dttm", "event_dt", "event_date", "week_start", "event_id", "y", "weight", "fold", "role", "session_key", "device_fingerprint", SEEN}
 
 
 @dataclass
 class Result:
-    """Metrics by fold and slice, their summary, out-of-fold scores, the submission, and the final model's importances."""
+    """Metrics by fold and slice, their summary, out-of-fold scores, those of each customer's last day in the fold, the submission, and the final model's importances."""
 
     by_fold: DataFrame
     summary: DataFrame
     recall: DataFrame
     out_of_fold: DataFrame
+    last_day: DataFrame
     submission: DataFrame | None = None
     importance: list = field(default_factory=list)
 
@@ -43,8 +47,8 @@ def run_id() -> str:
 
 
 def features_of(df: DataFrame) -> list[str]:
-    """Numeric columns that are no labels, times or ids of events."""
-    return [c for c, t in df.dtypes if c not in NOT_FEATURES and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
+    """Numeric columns that are no labels, times or ids of events, and no raw categories beside their codes."""
+    return [c for c, t in df.dtypes if c not in NOT_FEATURES and f"{c}_code" not in df.columns and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
 
 
 def sampled(canon: DataFrame, cfg: Config) -> DataFrame:
@@ -63,32 +67,49 @@ def sequence_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None
 
 
 def baseline_features(canon: DataFrame, cfg: Config, pretrain: DataFrame | None = None) -> DataFrame:
-    out = prefix.baseline_pack(with_time(canon))
+    """The smaller pack, profiles, and each row's online risk as the rows before it left it."""
+    out = with_time(canon).filter("event_ts is not null")
+    out = prefix.baseline_pack(out) if cfg.use_sequence else out
     if cfg.pretrain_profile and pretrain is not None:
         out = profile.join_profile(out, profile.customer_profile(with_time(pretrain)))
+    if cfg.graph_mode != "off":
+        prior = 0.5 if cfg.graph_prior == "train_rate" else float(cfg.graph_prior)
+        out = risk.online_risk(out, list(risk.KEYS.values()), prior=prior, alpha=cfg.graph_alpha, include_risk=cfg.graph_mode == "full", seen=SEEN)
     return out
 
 
-def fitted_features(history: DataFrame, rows: DataFrame, cfg: Config, track: str) -> tuple[DataFrame, DataFrame]:
-    """``history`` and ``rows`` with what is fitted on ``history`` alone: the edges' risk (baseline) and category codes.
+def with_risk(track: str, cfg: Config) -> bool:
+    return track == "baseline" and cfg.graph_mode != "off"
 
-    Rows of the history see the edges as earlier rows left them, ``rows`` as the whole history left them.
-    """
-    if track == "baseline" and cfg.graph_risk:
-        prior = float(risk.weighted_prior(history).first().prior if cfg.graph_prior == "train_rate" else cfg.graph_prior)
+
+def fit_states(features: DataFrame, folds: list[tuple], cfg: Config, track: str) -> states.FoldStates:
+    """What all ``folds`` fit, from one scan of the features; a fold without a week is fitted on all of them."""
+    sets = list(risk.KEYS.values()) if with_risk(track, cfg) else []
+    deltas = store(states.weekly_deltas(features, encode.CATEGORICAL, sets), "deltas")
+    return states.fold_states(deltas, folds, encode.CATEGORICAL, cfg.graph_prior, cfg.graph_alpha)
+
+
+def training_rows(rows: DataFrame, own: states.FoldStates, fold: int, cfg: Config, track: str) -> DataFrame:
+    """Rows with codes of the fold. Their risk stands already, but for rows before any label, whose risk is the fold's prior."""
+    if with_risk(track, cfg) and cfg.graph_mode == "full":
+        names = [f"{risk.prefix_name(k)}_risk_smooth" for k in risk.KEYS.values()]
+        rows = rows.withColumns({n: F.when(F.col(SEEN) == 0, F.lit(own.prior_of(fold))).otherwise(F.col(n)) for n in names})
+    return encode.encode_categories(rows, own.categories(fold), encode.CATEGORICAL)
+
+
+def frozen_rows(rows: DataFrame, own: states.FoldStates, fold: int, cfg: Config, track: str) -> DataFrame:
+    """Rows with codes of the fold and the risk of its frozen edges, whatever their own labels are."""
+    if with_risk(track, cfg):
         sets = list(risk.KEYS.values())
-        states = {risk.prefix_name(k): risk.fit_state(history, k, prior, cfg.graph_alpha) for k in sets}
-        rows = risk.online_risk(rows, sets, "valid", state=states)
-        history = risk.online_risk(history, sets, prior=prior, alpha=cfg.graph_alpha)
-    codes = encode.fit_categories(history, encode.CATEGORICAL)
-    return tuple(encode.encode_categories(x, codes, encode.CATEGORICAL) for x in (history, rows))
+        rows = rows.drop(*[c for c in rows.columns if c.startswith("ogr_")])
+        rows = risk.online_risk(rows, sets, "valid", state=own.risk(fold, sets), include_risk=cfg.graph_mode == "full")
+    return encode.encode_categories(rows, own.categories(fold), encode.CATEGORICAL)
 
 
 def by_slice(scores: DataFrame) -> DataFrame:
     """A row for each slice that an event is in: all, labeled, last_day of its customer in the fold, seen or cold."""
-    last = F.col("event_date") == F.max("event_date").over(E.Window.partitionBy("fold", "customer_id"))
     names = F.array_compact(F.array(F.lit("all"), F.when(F.col("target") >= 0, "labeled"), F.when(F.col("_last"), "last_day"), F.when(F.col("seen") == 1, "seen").otherwise("cold")))
-    return scores.withColumn("_last", last).withColumn("slice", F.explode(names))
+    return E.with_last_day(scores, ["fold", "customer_id"]).withColumn("slice", F.explode(names))
 
 
 def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int, track: str = "sequence", live: str | None = None) -> Result:
@@ -97,21 +118,25 @@ def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int,
     ``live``: a CSV folder that is written anew after each fold with the metrics of the folds so far.
     """
     scores = by_fold = None
-    for fold, week in E.rolling_week_folds(features, cfg.n_folds, cfg.min_train_weeks):
-        train, valid = fitted_features(features.filter(F.col("week_start") < F.lit(week)), features.filter(F.col("week_start") == F.lit(week)), cfg, track)
+    folds = E.rolling_week_folds(features, cfg.n_folds, cfg.min_train_weeks)
+    fitted = fit_states(features, folds, cfg, track)
+    for fold, week in folds:
+        history = features.filter(F.col("week_start") < F.lit(week))
+        sample = history.join(train_ids.select("event_id"), "event_id", "left_semi")
+        train = store(encode.with_weights(training_rows(sample, fitted, fold, cfg, track), cfg.reviewed_negative_weight, cfg.unlabeled_weight), "train")
         names = features_of(train)
-        train = store(encode.with_weights(train, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids.select("event_id"), "event_id", "left_semi"), "train")
-        fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
+        booster = model.fit(train, names, trees, depth, seed=cfg.seed)
+        valid = features.filter(F.col("week_start") == F.lit(week))
         valid = valid if cfg.full_week_eval else valid.join(train_ids.select("event_id"), "event_id", "left_semi")
-        own = model.score(fitted, C.limited(valid, cfg.max_eval_week_rows), names)
-        seen = E.seen_cold(own, features.filter(F.col("week_start") < F.lit(week)))
+        own = model.score(booster, C.limited(frozen_rows(valid, fitted, fold, cfg, track), cfg.max_eval_week_rows), names)
+        seen = E.seen_cold(own, history)
         own = seen.select(F.lit(fold).alias("fold"), "event_id", "customer_id", "event_date", "target", "seen", F.col("margin").alias("score"), "probability_red")
         own = store(own, "scores")
         measured = store(E.average_precision(by_slice(own), ["fold", "slice"]), "measured")
         scores, by_fold = (own, measured) if scores is None else (scores.unionByName(own), by_fold.unionByName(measured))
         if live:
             sinks.write_csv(by_fold.orderBy("fold", "slice"), live, single=True)
-    return Result(by_fold, E.cv_summary(by_fold, ["slice"]), E.recall_at(by_slice(scores), ["fold", "slice"], list(cfg.recall_ks)), scores)
+    return Result(by_fold, E.cv_summary(by_fold, ["slice"]), E.recall_at(by_slice(scores), ["fold", "slice"], list(cfg.recall_ks)), scores, E.last_day(scores, ("fold", "customer_id")))
 
 
 def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequence", pretrain: DataFrame | None = None, test: DataFrame | None = None, trees: int = 500, depth: int = 8, live: str | None = None, model_path: str | None = None) -> Result:
@@ -127,9 +152,11 @@ def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequen
     own = features if test is None else features.join(test.select("event_id"), "event_id", "left_anti")
     out = evaluate(own, train_ids, cfg, trees, depth, track, live)
     if test is not None:
-        train, rows = fitted_features(own, features.join(test.select("event_id"), "event_id", "left_semi"), cfg, track)
+        states_ = fit_states(own, [(0, None)], cfg, track)
+        sample = own.join(train_ids, "event_id", "left_semi")
+        train = store(encode.with_weights(training_rows(sample, states_, 0, cfg, track), cfg.reviewed_negative_weight, cfg.unlabeled_weight), "train")
         names = features_of(train)
-        train = store(encode.with_weights(train, cfg.reviewed_negative_weight, cfg.unlabeled_weight).join(train_ids, "event_id", "left_semi"), "train")
+        rows = frozen_rows(features.join(test.select("event_id"), "event_id", "left_semi"), states_, 0, cfg, track)
         fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
         if model_path:
             model.save(fitted, model_path)
@@ -150,7 +177,8 @@ def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, ru
         small["importance"] = spark.createDataFrame(out.importance, "feature string, importance double")
     for name, df in small.items():
         sinks.write_csv(df, f"{place}/{name}", single=True)
-    out.out_of_fold.write.mode("overwrite").parquet(f"{place}/out_of_fold")
+    for name, df in {"out_of_fold": out.out_of_fold, "out_of_fold_last_day": out.last_day}.items():
+        df.write.mode("overwrite").parquet(f"{place}/{name}")
     if out.submission is not None:
         sinks.write_csv(out.submission.select("event_id", "predict"), f"{place}/submission")
     mean = {r["slice"]: r.asDict() for r in out.summary.collect()}  # a row for each slice
@@ -159,18 +187,21 @@ def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, ru
     sinks.point_latest(f"{place}/summary.json", f"{folder}/latest.json")
 
 
+# Fixed settings of the comparison.
 ABLATIONS = {
-    "full": {}, "no_burst": {"ultra_burst": False}, "no_fingerprint": {"fingerprint_novelty": False}, "no_drift": {"geo_lang_drift": False},
-    "no_fallback": {"session_fallback": False}, "labeled_only": {"use_unlabeled": False},
+    "base": {"use_sequence": False, "graph_mode": "off"}, "base_sequence": {"graph_mode": "off"}, "base_graph": {"use_sequence": False}, "base_sequence_graph": {},
+    "labeled_only": {"use_unlabeled": False}, "labeled_only_counts": {"use_unlabeled": False, "graph_mode": "count"},
 }
 
 
 def ablation(spark: SparkSession, canon: DataFrame, cfg: Config, trees: int = 500, depth: int = 8, names: tuple[str, ...] = tuple(ABLATIONS)) -> DataFrame:
-    """Summaries of the sequence track under the named settings of ``ABLATIONS``."""
-    parts = [run(spark, canon, cfg.override(**ABLATIONS[n]), trees=trees, depth=depth).summary.withColumn("config", F.lit(n)) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Summaries by slice of the baseline track under the named settings of ``ABLATIONS``, with what each setting is."""
+    out = None
+    for n in names:
+        own = cfg.override(pretrain_profile=False).override(**ABLATIONS[n])
+        said = {"config": n, "use_sequence": int(own.use_sequence), "graph_mode": own.graph_mode, "use_unlabeled": int(own.use_unlabeled)}
+        part = run(spark, canon, own, "baseline", trees=trees, depth=depth).summary.withColumns({k: F.lit(v) for k, v in said.items()})
+        out = part if out is None else out.unionByName(part)
     return out
 
 

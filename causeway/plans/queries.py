@@ -446,10 +446,12 @@ def _(spark, sf):
     return a.join(b, "event_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "event_id", "left_anti").withColumn("side", F.lit("extra")))
 
 
-@query("submission_checks", "check_name:s status:s detail:l",
-       f"""select unnest(['row_count', 'duplicates', 'missing_ids', 'extra_ids', 'finite', 'not_constant', 'spread']) as check_name,
-       unnest([case when n = want then 'ok' else 'fail' end, 'ok', case when miss = 0 then 'ok' else 'fail' end, case when extra = 0 then 'ok' else 'fail' end, 'ok', 'ok', 'ok']) as status, unnest([n, 0, miss, extra, 0, vals, vals]) as detail
-       from (select count(*) filter (w) as n, count(*) filter (l) as want, count(*) filter (l and not w) as miss, count(*) filter (w and not l) as extra, count(distinct score) filter (w) as vals
+@query("submission_checks", "check_name:s status:s detail:l value:r",
+       f"""select unnest(['row_count', 'duplicates', 'missing_ids', 'extra_ids', 'finite', 'not_constant', 'spread', 'same_order', 'score_mean', 'score_q50', 'score_q90', 'score_q99', 'score_q999']) as check_name,
+       unnest([case when n = want then 'ok' else 'fail' end, 'ok', case when miss = 0 then 'ok' else 'fail' end, case when extra = 0 then 'ok' else 'fail' end, 'ok', 'ok', 'ok', 'info', 'info', 'info', 'info', 'info', 'info']) as status,
+       unnest([n, 0, miss, extra, 0, vals, vals, null, null, null, null, null, null]) as detail, unnest([null, null, null, null, null, null, sd, null, m, q50, q90, q99, q999]) as value
+       from (select count(*) filter (w) as n, count(*) filter (l) as want, count(*) filter (l and not w) as miss, count(*) filter (w and not l) as extra, count(distinct score) filter (w) as vals,
+       stddev_samp(score) filter (w) as sd, avg(score) filter (w) as m, quantile_cont(score, 0.5) filter (w) as q50, quantile_cont(score, 0.9) filter (w) as q90, quantile_cont(score, 0.99) filter (w) as q99, quantile_cont(score, 0.999) filter (w) as q999
        from (select *, week_start = date '{WEEK4}' as w, target >= 0 as l from ev))""")
 def _(spark, sf):
     t = scored(timed(spark, sf))
@@ -584,3 +586,10 @@ def _(spark, sf):
 
     out = pipelines.export_sequences(canon(spark, sf), _cfg().override(sequence_length=32, sequence_stride=16))
     return out.withColumns({"masked": joined("masked_event"), "labels": joined("mlm_label"), "next_events": joined("next_event")})
+
+
+@query("ablation_run", "config:s use_sequence:l graph_mode:s use_unlabeled:l slice:s mean:f std:f folds:l", None)
+def _(spark, sf):
+    from causeway.plans import pipelines
+
+    return pipelines.ablation(spark, canon(spark, sf), _cfg().override(n_folds=1), trees=2, depth=3)

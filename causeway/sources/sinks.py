@@ -60,10 +60,13 @@ def build_or_load(spark: SparkSession, path: str, build, refresh: bool = False)
     return spark.read.parquet(path)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, so that later jobs do not compute it anew."""
+def store(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, so that later jobs do not compute it anew.
+
+    ``by``: columns of few values, each with a folder of its own, so that a filter on them reads no other.
+    """
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -290,6 +290,42 @@ def test_unknown_category(spark):
     assert by_id(encode.encode_categories(b, codes, ["c"]), "c_code") == {1: -1, 2: 2}
 
 
+@pytest.mark.parametrize("values", [100_000, 6])
+def test_one_dictionary_for_all_columns(spark, monkeypatch, values):
+    """Frequent values in one expression, the rest in one long join; at most two joins in the plan."""
+    monkeypatch.setattr(encode, "DICTIONARY_VALUES", values)
+    long = "z" * 100
+    rows = [(i, "hot" if i % 3 else f"v{i}", None if i % 5 == 0 else f"w{i % 4}", long if i == 7 else "x") for i in range(200)]
+    columns = ["a", "b", "c"]
+    fit, apply = (spark.createDataFrame(x, "event_id long, a string, b string, c string") for x in (rows[:150], rows))
+    codes = encode.fit_categories(fit, columns)
+    known = {(r.col, r.value): r.code for r in codes.collect()}
+    out = encode.encode_categories(apply, codes, columns)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") - plan.count("Join LeftOuter, (id") <= 2
+    for r in out.collect():
+        for c in columns:
+            assert r[f"{c}_code"] == known.get((c, r[c] if r[c] is not None else "<NULL>"), -1)
+    assert out.columns == [*apply.columns, "a_code", "b_code", "c_code"] and out.count() == 200
+
+
+def test_profile_plan_has_no_expand(spark, sf):
+    plan = profile.customer_profile(S.with_time(C.events(spark, sf)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_submission_order_and_quantiles(spark):
+    expected = spark.createDataFrame([(i, i) for i in range(10)], "event_id long, row_no long")
+    for shift, want in ((0, 1), (1, 0)):
+        s = spark.createDataFrame([((i + shift) % 10, i / 10, i) for i in range(10)], "event_id long, predict double, row_no long")
+        got = {r.check_name: r for r in E.submission_checks(s, expected).collect()}
+        assert got["same_order"].detail == want and got["same_order"].status == "info"
+        assert abs(got["score_q90"].value - 0.81) < 1e-9 and abs(got["score_mean"].value - 0.45) < 1e-9 and got["spread"].status == "ok"
+    flat = spark.createDataFrame([(i, 0.5 + i * 1e-10) for i in range(10)], "event_id long, predict double")
+    got = {r.check_name: r for r in E.submission_checks(flat, expected).collect()}
+    assert got["spread"].status == "warn" and got["same_order"].detail is None
+
+
 def test_prior_without_labels(spark):
     df = spark.createDataFrame([(1, -1)], "event_id long, target int")
     assert risk.weighted_prior(df).first().prior == 0.5
