@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import Words, chunks, kept, materialize
+from causeway.llm.common import chunks, kept, materialize
 from causeway.llm.packing import RUN, tokenizer_files
-from causeway.llm.pieces import SPACE, WORD, model_file
+from causeway.llm.pieces import SPACE, model_file
 
 #: An id pair is ``a << BITS | b``.
 BITS = 20
-#: Windows that a worker keeps; beyond, it begins anew with the next block.
+#: Windows, and words, that a worker keeps; beyond, it begins anew with the next block.
 CACHE = 200_000
 #: Links of a group that are listed one by one; larger groups multiply the counts of their distinct ids.
 LISTED = 4_096
@@ -39,9 +41,11 @@ LISTED = 4_096
 
 @dataclass
 class Side:
-    """A tokenizer: ids of a text as little-endian 32-bit bytes, the bytes of each id, their number, and whether a space is first."""
+    """A tokenizer: ids of a text, the ids of many words that each follow a space, the bytes of each id, their number, and
+    whether a space is first."""
 
     encode: object
+    words: object
     data: list[bytes]
 
     def __post_init__(self):
@@ -56,18 +60,10 @@ def byte_side(ranks: str, pattern: str) -> Side:
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    # No token reaches over a space between two characters other than white space, so ids are kept by what follows a space.
-    after_space = Words(lambda piece: np.array(plain(" " + piece), "<u4").tobytes())
-
-    def encode(text: str) -> bytes:
-        if RUN.search(" " + text):
-            return np.array(plain(" " + text), "<u4").tobytes()
-        return b"".join(map(after_space.__getitem__, text.split(" ")))
-
     data = [b""] * (max(table.values()) + 1)
     for k, i in table.items():
         data[i] = k
-    return Side(encode, data)
+    return Side(lambda text: plain(" " + text), lambda words: [plain(" " + w) for w in words], data)
 
 
 def piece_side(model: str) -> Side:
@@ -75,13 +71,39 @@ def piece_side(model: str) -> Side:
     import sentencepiece
 
     s = sentencepiece.SentencePieceProcessor(model_file=model)
-    # No piece holds a space after another character, so words (spaces and what follows them) are encoded on their own.
-    # The library adds no space to nothing, so one space alone (the end of a text) is looked up.
-    alone = [s.piece_to_id(SPACE)]
-    words = Words(lambda w: np.array(s.encode(w[1:]) if w != " " else alone, "<u4").tobytes())
     names = [s.id_to_piece(i) for i in range(s.vocab_size())]
     data = [bytes([int(x[3:5], 16)]) if s.is_byte(i) else b"" if s.is_control(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
-    return Side(lambda text: b"".join(map(words.__getitem__, WORD.findall(" " + text))), data)
+    # The library adds no space to nothing, so an empty word (two spaces, the end of a text) is a space alone.
+    alone = [s.piece_to_id(SPACE)]
+    return Side(s.encode, lambda words: [x if w else alone for w, x in zip(words, s.encode(words, num_threads=1), strict=True)], data)
+
+
+class Words:
+    """Words (what follows a space) with their ids on both sides as little-endian 32-bit bytes; ``odd`` are those of which a
+    side's bytes differ."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides, self.ids, self.odd = (a, b), ({}, {}), set()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.ids[0]) > CACHE:
+            for x in (*self.ids, self.odd):
+                x.clear()
+        new = list(words - self.ids[0].keys())
+        if not new:
+            return
+        own = [(" " + w).encode() for w in new]
+        whole, sizes = b"".join(own), np.fromiter(map(len, own), np.int64, len(own))
+        for side, kept_ids in zip(self.sides, self.ids, strict=True):
+            made = side.words(new)
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.fromiter(chain.from_iterable(made), "<u4", int(counts.sum()))
+            ends = np.cumsum(counts)
+            bytes_to = np.append(0, np.cumsum(side.size[ids]))
+            if (np.diff(np.append(0, bytes_to[ends])) != sizes).any() or b"".join(map(side.data.__getitem__, ids.tolist())) != whole:
+                self.odd.update(w for w, x, y in zip(new, made, own, strict=True) if b"".join(map(side.data.__getitem__, x)) != y)
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            kept_ids.update(zip(new, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +124,11 @@ class Alignments:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
+        self.forget()
+        self.names = [f"{i}{c}" for side, end in ((a, "|"), (b, ";")) for i in range(len(side.data)) for c in (",", end)]
+        self.names_at = (0, 2 * len(a.data))
+
+    def forget(self) -> None:
         self.number: dict[tuple[bytes, bytes], int] = {}
         self.text: list[str] = []
         self.groups, self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -129,37 +156,56 @@ class Alignments:
         order = np.lexsort((pair, who))
         who, pair, times = who[order], pair[order], times[order]
         heads = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (pair[1:] != pair[:-1])))
-        texts = [list(map(str, x.tolist())) for x in ids]
-        made = [",".join(texts[0][f : f + n]) + "|" + ",".join(texts[1][h : h + m]) for f, n, h, m in zip(first[0].tolist(), size[0].tolist(), first[1].tolist(), size[1].tolist(), strict=True)]
+        # Ids as text in the order of groups, A before B, each with what follows it: a comma, or at a group's end | or ;
+        place = [np.arange(len(ids[0])) + np.repeat(first[1], size[0]), np.arange(len(ids[1])) + np.repeat(last[0] + 1, size[1])]
+        tokens = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for k in (0, 1):
+            own = 2 * ids[k]
+            own[last[k]] += 1
+            tokens[place[k]] = own + self.names_at[k]
+        made = list(map(self.names.__getitem__, tokens.tolist()))
         lo = 0
-        for w, n in zip(windows, groups.tolist(), strict=True):
+        for w, hi in zip(windows, np.cumsum(count[0] + count[1]).tolist(), strict=True):
             self.number[w] = len(self.text)
-            self.text.append(";".join(made[lo : lo + n]))
-            lo += n
+            self.text.append("".join(made[lo:hi])[:-1])
+            lo = hi
         self.groups, self.links = np.append(self.groups, groups), np.append(self.links, np.bincount(owner, links, len(windows)).astype(np.int64))
         self.start = np.append(self.start, self.start[-1] + np.cumsum(np.bincount(who[heads], minlength=len(windows))))
         self.pairs, self.times = np.append(self.pairs, pair[heads]), np.append(self.times, np.add.reduceat(times, heads))
 
     def of(self, windows: list[tuple[bytes, bytes]]) -> np.ndarray:
         """The numbers of windows."""
-        new = list(dict.fromkeys(w for w in windows if w not in self.number))
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.number.__getitem__, windows), np.int64, len(windows))
+        found = list(map(self.number.get, windows))
+        if None in found:
+            self.add(list({w for w, n in zip(windows, found, strict=True) if n is None}))
+            found = map(self.number.__getitem__, windows)
+        return np.fromiter(found, np.int64, len(windows))
 
 
 class Aligner:
     def __init__(self, ranks: str, pattern: str, model: str):
         self.a, self.b = byte_side(ranks, pattern), piece_side(model)
-        self.known = Alignments(self.a, self.b)
-
-    def tokens(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of both; none where the joined bytes of either are not a space and the text."""
-        if not text:
-            return b"", b""
-        whole, out = (" " + text).encode(), (self.a.encode(text), self.b.encode(text))
-        same = all(b"".join(map(side.data.__getitem__, np.frombuffer(x, "<u4").tolist())) == whole for side, x in zip((self.a, self.b), out, strict=True))
-        return out if same else (b"", b"")
+        self.known, self.words = Alignments(self.a, self.b), Words(self.a, self.b)
+
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of both for each text; none where the joined bytes of either are not a space and the text.
+
+        No token of either reaches over a space between two characters other than white space, so the ids of a text are
+        those of its words, which are kept. Texts with other spaces are encoded whole.
+        """
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and "  " not in t and not RUN.search(" " + t)}
+        self.words.learn(set().union(*plain.values()))
+        odd, known, out = self.words.odd, [x.__getitem__ for x in self.words.ids], []
+        for i, t in enumerate(texts):
+            if i in plain:
+                out.append(tuple(b"".join(map(x, plain[i])) for x in known) if odd.isdisjoint(plain[i]) else (b"", b""))
+            elif t:
+                ids, whole = (self.a.encode(t), self.b.encode(t)), (" " + t).encode()
+                same = all(b"".join(map(side.data.__getitem__, x)) == whole for side, x in zip((self.a, self.b), ids, strict=True))
+                out.append(tuple(array("I", x).tobytes() for x in ids) if same else (b"", b""))
+            else:
+                out.append((b"", b""))
+        return out
 
     def windows(self, a: list[bytes], b: list[bytes]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
         """All windows of documents with tokens, and how many each document has."""
@@ -184,8 +230,8 @@ class Aligner:
     def block(self, texts: list[str | None], digest: bool) -> dict:
         """A block's row but for the ids: what each document has, and the block's distinct id pairs."""
         if len(self.known.text) > CACHE:
-            self.known = Alignments(self.a, self.b)
-        made = [self.tokens(t or "") for t in texts]
+            self.known.forget()
+        made = self.tokens([t or "" for t in texts])
         use, n = [i for i, x in enumerate(made) if x[0]], len(texts)
         out = {"n_a": np.array([len(x[0]) // 4 for x in made], np.int64), "n_b": np.array([len(x[1]) // 4 for x in made], np.int64), "groups": [""] * n}
         out |= {k: np.zeros(n, np.int64) for k in ("n_groups", "n_links", "size")}
@@ -204,10 +250,14 @@ class Aligner:
             out["groups"][i] = hashlib.sha256(text.encode()).hexdigest() if digest else text
             lo += c
         # Each document's distinct pairs: of its distinct windows, then summed up.
-        seen, times = np.unique(doc * len(k.text) + own, return_counts=True)
-        doc, own = np.divmod(seen, len(k.text))
-        who, place = spread(k.start[own], k.start[own + 1] - k.start[own])
+        mine, own = np.unique(own, return_inverse=True)
+        who, place = spread(k.start[mine], k.start[mine + 1] - k.start[mine])
         pairs, local = np.unique(k.pairs[place], return_inverse=True)
+        size = np.bincount(who, minlength=len(mine))
+        seen, times = np.unique(doc * len(mine) + own, return_counts=True)
+        doc, own = np.divmod(seen, len(mine))
+        who, at = spread((np.cumsum(size) - size)[own], size[own])
+        local, place = local[at], place[at]
         key, at = np.unique(doc[who] * len(pairs) + local, return_inverse=True)
         total = np.bincount(at, k.times[place] * times[who]).astype("<u4")
         doc, local = np.divmod(key, len(pairs))
