@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators.ordered import Ranges, deal, most, total
+from causeway.sources.sinks import store
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,11 @@ class Timeline(Ranges):
         return n if cap is None else F.least(n, F.lit(cap))
 
     def fetch(self, at: Column, columns: dict[str, str]) -> Timeline:
-        """Columns of the row of the same key whose number is ``at``."""
+        """Columns of the row of the same key whose number is ``at``. Only these columns are written; they are unique by key
+        and number, so no partition of the join is larger than others."""
         key = self.keys[0]
         other = self.rows.select(F.col(key).alias("_fk"), F.col("_rn").alias("_fi"), *[F.col(c).alias(n) for n, c in columns.items()])
+        other = store(other, "numbered")
         rows = self.rows.withColumn("_at", at).join(other, F.col(key).eqNullSafe(F.col("_fk")) & (F.col("_at") == F.col("_fi")), "left")
         return replace(self, rows=rows.drop("_at", "_fk", "_fi"))
 
@@ -49,13 +52,13 @@ class Timeline(Ranges):
         numbers = {c: f"{i}_{seconds}" for i, c in enumerate(dict.fromkeys([*rest.values(), *maxima.values()]))}
         wanted = {}
         if rest:
-            out = out.scan({f"_p{numbers[c]}": total(F.col(c)) for c in dict.fromkeys(rest.values())})
+            out = out.scan({f"_p{numbers[c]}": total(F.col(c), lasts=False) for c in dict.fromkeys(rest.values())})
             wanted |= {f"_fp{numbers[c]}": f"_p{numbers[c]}" for c in rest.values()} | {f"_fx{numbers[c]}": c for c in rest.values()}
         if maxima:
             blocks = {"_b": F.floor(F.col(self.ts) / (seconds + 1))} | ({} if cap is None else {"_r": F.floor((F.col("_rn") - 1) / cap)})
             out, of = out.with_columns(blocks), dict.fromkeys(maxima.values())
             for b in blocks:
-                out = out.scan({f"{b}u{numbers[c]}": most(F.col(c)) for c in of}, (b,)).scan({f"{b}d{numbers[c]}": most(F.col(c)) for c in of}, (b,), reverse=True)
+                out = out.scan({f"{b}u{numbers[c]}": most(F.col(c), lasts=False) for c in of}, (b,)).scan({f"{b}d{numbers[c]}": most(F.col(c), lasts=False) for c in of}, (b,), reverse=True)
                 wanted |= {f"_f{b}d{numbers[c]}": f"{b}d{numbers[c]}" for c in of}
             wanted["_fb"] = "_b"
         out = out.fetch(F.col("_rn") - self.count(seconds, cap) + 1, wanted)
@@ -76,10 +79,12 @@ class Timeline(Ranges):
 
 def timeline(
     df: DataFrame, windows: dict[int, tuple[str, ...]], measures: dict[str, Column] | None = None, key: str = "customer_id", ts: str = "event_ts", tie: str = "event_id", parts: int | None = None,
+    past: dict[str, DataFrame] | None = None, log: list | None = None,
 ) -> Timeline:
     """Deals ``df`` for frames of the given seconds, each with the measures that are summed up in it.
 
     Rows without a time are left out; null keys are one key. Measures become columns; whole numbers keep sums exact.
+    ``past`` and ``log`` are those of ``Ranges``; frames only reach rows that are here.
     """
     measures = measures or {}
     rows = df.filter(F.col(ts).isNotNull()).withColumns({**measures, "_t": F.col(ts).cast("long"), "_k": F.lit(1), "_w": F.lit(None).cast("int")})
@@ -90,10 +95,10 @@ def timeline(
         rows = rows.withColumn("_e", F.explode(F.array(*kinds)))
         slim = lambda c: F.col(c) if c == key or c in measures else F.when(F.col("_e.k") == 1, F.col(c)).alias(c)
         rows = rows.select(*[slim(c) for c in rows.columns if c not in ("_e", "_t", "_k", "_w")], F.col("_e.t").alias("_t"), F.col("_e.k").alias("_k"), F.col("_e.w").alias("_w"))
-    dealt = deal(rows, [key], ["_t", "_k", tie], parts)
+    dealt = replace(deal(rows, [key], ["_t", "_k", tie], parts), past=past, log=log)
     entry = F.col("_k") == 1
     signed = lambda x, w: F.when(entry, x).when(F.col("_w") == w, -x).otherwise(0)
-    made = {"_rn": total(F.when(entry, 1).otherwise(0))} | {f"_n_{w}": total(signed(F.lit(1), w)) for w in windows}
-    made |= {f"_s_{c}_{w}": total(signed(F.col(c), w)) for w, cs in windows.items() for c in cs}
+    made = {"_rn": total(F.when(entry, F.lit(1).cast("long")).otherwise(0))} | {f"_n_{w}": total(signed(F.lit(1), w), lasts=False) for w in windows}
+    made |= {f"_s_{c}_{w}": total(signed(F.col(c), w), lasts=False) for w, cs in windows.items() for c in cs}
     out = dealt.scan(made, deep=True).each(lambda x: x.filter(entry).drop("_k", "_w", "_t"))
-    return Timeline(out.rows, out.edge, (key,), (ts, tie), ts)
+    return Timeline(out.rows, out.edge, (key,), (ts, tie), past, log, ts)

@@ -4,11 +4,15 @@ Rows are dealt by ranges of (keys, order) and written once, as Spark draws the r
 range are a piece. A scan runs inside each piece and goes on from what the key's earlier pieces leave: sums, maxima, last
 and first values combine associatively. Only keys that reach over the end of a range have several pieces, so what is
 carried holds at most two rows for each range, or for a scan by further columns a row for each of their values there.
+
+What all rows leave is a table for each scan. Given as ``past``, it stands before the rows as an earlier piece of every key,
+so rows that are gone need not be read again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +22,31 @@ from causeway.sources.sinks import store
 
 @dataclass(frozen=True)
 class Scan:
-    """``how``: sum, max, previous or first. ``before``: without the row itself (sum, max)."""
+    """``how``: sum, max, previous or first. ``before``: without the row itself (sum, max). ``lasts``: whether what rows leave
+    matters to later runs."""
 
     how: str
     value: Column
     before: bool = False
+    lasts: bool = True
+
+    def left(self, at: Column) -> Column:
+        """The aggregate of a piece's rows; ``at`` is their order."""
+        if self.how in ("sum", "max"):
+            return (F.sum if self.how == "sum" else F.max)(self.value)
+        return (F.max if self.how == "previous" else F.min)(F.struct(at.alias("at"), self.value.alias("v")))
 
+    def merged(self, c: str) -> Column:
+        """The aggregate of several pieces' aggregates."""
+        return {"sum": F.sum, "max": F.max, "previous": F.max, "first": F.min}[self.how](c)
 
-def total(x: Column, before: bool = False) -> Scan:
-    return Scan("sum", x, before)
 
+def total(x: Column, before: bool = False, lasts: bool = True) -> Scan:
+    return Scan("sum", x, before, lasts)
 
-def most(x: Column, before: bool = False) -> Scan:
-    return Scan("max", x, before)
+
+def most(x: Column, before: bool = False, lasts: bool = True) -> Scan:
+    return Scan("max", x, before, lasts)
 
 
 def previous(x: Column) -> Scan:
@@ -51,12 +67,17 @@ def same(pairs: list[tuple[str, str]]) -> Column:
 
 @dataclass(frozen=True)
 class Ranges:
-    """Rows with ``_part``, the range that each is in. ``edge``: the rows of keys with several pieces; None if there are none."""
+    """Rows with ``_part``, the range that each is in. ``edge``: the rows of keys with several pieces; None if there are none.
+
+    ``past``: by the name of a scan, what earlier rows left. ``log``: gets (name, group, scans, rows) of each scan.
+    """
 
     rows: DataFrame
     edge: DataFrame | None
     keys: tuple[str, ...]
     order: tuple[str | Column, ...]
+    past: dict[str, DataFrame] | None = None
+    log: list | None = None
 
     def each(self, change) -> Ranges:
         """``change`` applied to all rows; it may only look at one row at a time."""
@@ -71,47 +92,50 @@ class Ranges:
         Values may use columns of earlier scans only if those were ``deep``, which keeps the edge rows in step.
         """
         carry = None if self.edge is None else self._carry(made, by, reverse)
-        rows = self._scanned(self.rows, carry, made, by, reverse)
-        return replace(self, rows=rows, edge=self._scanned(self.edge, carry, made, by, reverse) if deep and carry is not None else self.edge)
+        name, lasting = "-".join(["_".join(by) or "all", *made]), {n: s for n, s in made.items() if s.lasts}
+        if self.log is not None and lasting:
+            self.log.append((name, [*self.keys, *by], lasting, self.rows))
+        past = (self.past or {}).get(name)
+        rows = self._scanned(self.rows, carry, past, made, by, reverse)
+        return replace(self, rows=rows, edge=self._scanned(self.edge, carry, past, made, by, reverse) if deep and carry is not None else self.edge)
 
     def _order(self, reverse: bool) -> list:
         return [F.desc(c) for c in self.order] if reverse else list(self.order)
 
     def _carry(self, made: dict[str, Scan], by: tuple[str, ...], reverse: bool) -> DataFrame:
-        """What the earlier pieces leave for each piece."""
+        """What the earlier pieces leave for each piece; stored, so that it is made once and plans stay small."""
         group, at = [*self.keys, *by], F.struct(*self.order)
-        end = {"previous": F.min_by if reverse else F.max_by, "first": F.max_by if reverse else F.min_by}
-        whole = {"sum": F.sum, "max": F.max}
-        own = lambda s: whole[s.how](s.value) if s.how in whole else end[s.how](F.struct(s.value.alias("v")), at)
-        pieces = self.edge.groupBy("_part", *group).agg(*[own(s).alias(f"_t_{n}") for n, s in made.items()])
+        pieces = self.edge.groupBy("_part", *group).agg(*[s.left(at).alias(f"_t_{n}") for n, s in made.items()])
         w = Window.partitionBy(*group).orderBy(F.desc("_part") if reverse else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-        so_far = {"sum": F.sum, "max": F.max, "previous": lambda c: F.last(c, True), "first": lambda c: F.first(c, True)}
-        out = pieces.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *[so_far[s.how](F.col(f"_t_{n}")).over(w).alias(f"_c_{n}") for n, s in made.items()])
+        out = pieces.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *[s.merged(f"_t_{n}").over(w).alias(f"_c_{n}") for n, s in made.items()])
+        out = store(out, "carry")
         return out if by else F.broadcast(out)  # without ``by`` at most two rows for each range
 
-    def _scanned(self, rows: DataFrame, carry: DataFrame | None, made: dict[str, Scan], by: tuple[str, ...], reverse: bool) -> DataFrame:
-        group = [*self.keys, *by]
+    def _scanned(self, rows: DataFrame, carry: DataFrame | None, past: DataFrame | None, made: dict[str, Scan], by: tuple[str, ...], reverse: bool) -> DataFrame:
+        group, columns = [*self.keys, *by], rows.columns
         w = Window.partitionBy("_part", *group).orderBy(*self._order(reverse))
         upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
         if carry is not None:
             rows = rows.join(carry, same([("_part", "_p"), *[(c, f"_g{i}") for i, c in enumerate(group)]]), "left")
+        if past is not None:
+            renamed = past.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(group)], *[F.col(n).alias(f"_q_{n}") for n in past.columns if n in made])
+            rows = rows.join(renamed, same([(c, f"_h{i}") for i, c in enumerate(group)]), "left")
 
         def value(n: str, s: Scan) -> Column:
-            near, kept = earlier if s.before else upto, F.col(f"_c_{n}") if carry is not None else None
+            before = [F.col(c) for c in (f"_c_{n}", f"_q_{n}") if c in rows.columns]  # the nearer pieces first
+            near = earlier if s.before else upto
             if s.how == "sum":
-                x = F.coalesce(F.sum(s.value).over(near), F.lit(0))
-                return x if kept is None else x + F.coalesce(kept, F.lit(0))
+                return reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), before, F.coalesce(F.sum(s.value).over(near), F.lit(0)))
             if s.how == "max":
                 x = F.max(s.value).over(near)
-                return x if kept is None else F.greatest(x, kept)
+                return F.greatest(x, *before) if before else x
             if s.how == "previous":
                 x = F.lag(s.value).over(w)
-                return x if kept is None else F.when(F.row_number().over(w) == 1, kept["v"]).otherwise(x)
-            x = F.first(F.struct(s.value.alias("v"))).over(upto)
-            return (x if kept is None else F.coalesce(kept, x))["v"]
+                return F.when(F.row_number().over(w) == 1, F.coalesce(*before)["v"]).otherwise(x) if before else x
+            own = F.first(F.struct(F.struct(*self.order).alias("at"), s.value.alias("v"))).over(upto)
+            return F.coalesce(*before[::-1], own)["v"] if before else own["v"]
 
-        out = rows.withColumns({n: value(n, s) for n, s in made.items()})
-        return out if carry is None else out.drop(*carry.columns)
+        return rows.withColumns({n: value(n, s) for n, s in made.items()}).select(*columns, *[n for n in made if n not in columns])
 
     def result(self) -> DataFrame:
         """The rows without internal columns."""
@@ -134,6 +158,18 @@ def deal(df: DataFrame, keys: list[str], order: list[str | Column], parts: int |
     return Ranges(rows, edge, tuple(keys), tuple(order))
 
 
+def leave(log: list, order: list[str], past: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """By the name of each scan, what the rows of a run leave to later ones, on top of what came before them."""
+    out = {}
+    for name, group, scans, rows in log:
+        own = rows.groupBy(*group).agg(*[s.left(F.struct(*order)).alias(n) for n, s in scans.items()])
+        if past is not None:
+            both = own.unionByName(past[name].select(own.columns))
+            own = both.groupBy(*group).agg(*[s.merged(n).alias(n) for n, s in scans.items()])
+        out[name] = own
+    return out
+
+
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """``df`` with, for each (name, column) of ``sums``, the sum over its group up to and with each row, in ``order``."""
     out = deal(df, keys, order).scan({n: total(F.col(c)) for n, c in sums.items()}).rows

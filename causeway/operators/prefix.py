@@ -21,9 +21,10 @@ ULTRA_BURST = {MINUTE: (), 5 * MINUTE: ("_cents",), 30 * MINUTE: ()}
 BASELINE = {HOUR: (), DAY: (), WEEK: ()}
 
 
-def timeline(df: DataFrame, windows: dict[int, tuple[str, ...]] | None = None, parts: int | None = None) -> Timeline:
-    """Events with a time, dealt for frames of the given seconds; ``parts``: so many ranges, else as much data as there is asks for."""
-    return frames.timeline(df, windows or {}, {"_cents": S.cents()}, parts=parts)
+def timeline(df: DataFrame, windows: dict[int, tuple[str, ...]] | None = None, parts: int | None = None, past: dict | None = None, log: list | None = None) -> Timeline:
+    """Events with a time, dealt for frames of the given seconds; ``parts``: so many ranges, else as the amount of data says;
+    ``past``, ``log``: what earlier events left, and where these events' scans are noted."""
+    return frames.timeline(df, windows or {}, {"_cents": S.cents()}, parts=parts, past=past, log=log)
 
 
 def rolling(t: Timeline, cap: int | None = None, ultra_burst: bool = False) -> Timeline:
@@ -113,17 +114,17 @@ def amount_over_mean(t: Timeline) -> Timeline:
     return out.with_columns_of({"prev_mean_amt": mean}).with_columns_of({"amt_over_prev_mean": F.col("operaton_amt") / (F.col("prev_mean_amt") + 1)})
 
 
-def baseline_pack(df: DataFrame, parts: int | None = None) -> DataFrame:
+def baseline_pack(df: DataFrame, parts: int | None = None, past: dict | None = None, log: list | None = None) -> DataFrame:
     """The smaller pack: counts of the last hour, day and week, burst with an epsilon, gaps, novelty and amount over mean."""
-    t = timeline(df, BASELINE, parts)
+    t = timeline(df, BASELINE, parts, past, log)
     out = t.with_columns_of({f"rolling_count_{n}": t.count(w) for n, w in (("1h", HOUR), ("1d", DAY), ("7d", WEEK))})
     out = out.with_columns_of({"burst_1h_over_1d": F.col("rolling_count_1h") / (F.col("rolling_count_1d") + 1e-6)})
     return amount_over_mean(first_seen(gaps(out))).result()
 
 
-def sequence_first(df: DataFrame, cap: int | None = None, ultra_burst: bool = False, fingerprint_novelty: bool = True, geo_lang_drift: bool = True, session_fallback: bool = True, parts: int | None = None) -> DataFrame:
+def sequence_first(df: DataFrame, cap: int | None = None, ultra_burst: bool = False, fingerprint_novelty: bool = True, geo_lang_drift: bool = True, session_fallback: bool = True, parts: int | None = None, past: dict | None = None, log: list | None = None) -> DataFrame:
     """The full pack over events that have ``with_time`` columns; rows without time are left out."""
-    out = first_seen(gaps(timeline(df, ROLLING | (ULTRA_BURST if ultra_burst else {}), parts)))
+    out = first_seen(gaps(timeline(df, ROLLING | (ULTRA_BURST if ultra_burst else {}), parts, past, log)))
     out = sessions(battery(fingerprints(out, fingerprint_novelty)), session_fallback)
     # Frames that look up rows by number deal the rows anew, so they come last.
     out = rolling(drift(out, geo_lang_drift), cap, ultra_burst)

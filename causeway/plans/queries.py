@@ -6,6 +6,7 @@ A query is declared with the types of its result: l long, f double, r double rou
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -267,7 +268,31 @@ def _(spark, sf):
     return prefix.amount_over_mean(ready(spark, sf)).result()
 
 
-@query("sequence_first_pack", "event_id:l rolling_count_7d:l dt_since_prev_sec:l is_new_mcc:l device_change_count_7d:l battery_bucket:l session_event_index:l amount_bucket:l is_night:l", None)
+_SUMMED = _sum("device_change_flag", 604800)
+
+
+@query("lookback_week", "event_id:l seq_customer_idx:l rolling_count_7d:l sum_amt_7d:f max_amt_7d:f dt_since_prev_sec:l dt_since_prev_same_mcc_sec:l is_new_mcc:l fingerprint_cnt_prev:l fingerprint_tslast_sec:l device_change_count_7d:l battery_level:f session_event_index:l session_amt_sum_so_far:f",
+       f"""select * from (select event_id, week_start, row_number() over ({K}) - 1 as seq_customer_idx, {_cnt(604800)} as rolling_count_7d, {_sum("cents", 604800)}::bigint / 100::double as sum_amt_7d, {_max("cents", 604800)} / 100::double as max_amt_7d,
+       coalesce(event_ts - lag(event_ts) over ({K}), 0) as dt_since_prev_sec, coalesce(event_ts - lag(event_ts) over (partition by customer_id, mcc_code order by event_ts, event_id), -1) as dt_since_prev_same_mcc_sec,
+       cast(row_number() over (partition by customer_id, mcc_code order by event_ts, event_id) = 1 as int) as is_new_mcc, row_number() over (partition by customer_id, fp order by event_ts, event_id) - 1 as fingerprint_cnt_prev,
+       coalesce(event_ts - lag(event_ts) over (partition by customer_id, fp order by event_ts, event_id), -1) as fingerprint_tslast_sec, {_SUMMED} as device_change_count_7d, coalesce(try_cast(battery as double), -1) as battery_level,
+       row_number() over (partition by customer_id, session_key order by event_ts, event_id) as session_event_index, (sum(cents) over (partition by customer_id, session_key order by event_ts, event_id rows unbounded preceding))::bigint / 100::double as session_amt_sum_so_far
+       from (select *, coalesce(cast(lag(fp) over ({K}) <> fp as int), 0) as device_change_flag from ev)) where week_start = date '{WEEK4}'""")
+def _(spark, sf):
+    from causeway.plans import lookback
+    from causeway.sources.sinks import workspace
+
+    t, began = timed(spark, sf), int(dt.datetime.combine(WEEK4, dt.time(), dt.UTC).timestamp())
+    state = lookback.look_back(t.filter(F.col("event_ts") < began), began, prefix.sequence_first, f"{workspace(spark)}/look-back-{uuid.uuid4().hex}")
+    return lookback.week_features(state, t.filter(F.col("week_start") == F.lit(WEEK4)), prefix.sequence_first)
+
+
+@query("sequence_first_pack", "event_id:l rolling_count_7d:l dt_since_prev_sec:l is_new_mcc:l device_change_count_7d:l battery_bucket:l session_event_index:l amount_bucket:l is_night:l",
+       f"""select event_id, least({_cnt(604800)}, 20) as rolling_count_7d, coalesce(event_ts - lag(event_ts) over ({K}), 0) as dt_since_prev_sec, cast(row_number() over (partition by customer_id, mcc_code order by event_ts, event_id) = 1 as int) as is_new_mcc,
+       {_SUMMED} as device_change_count_7d, case when x is null then -1 when x <= 5 then 0 when x <= 20 then 1 when x <= 80 then 2 when x <= 100 then 3 else 4 end as battery_bucket,
+       row_number() over (partition by customer_id, session_key order by event_ts, event_id) as session_event_index, cast(event_hour <= 5 or event_hour >= 23 as int) as is_night,
+       case when ln(1 + operaton_amt) <= 2 then 0 when ln(1 + operaton_amt) <= 6 then 1 when ln(1 + operaton_amt) <= 10 then 2 when ln(1 + operaton_amt) <= 14 then 3 else 4 end as amount_bucket
+       from (select *, try_cast(battery as double) as x, coalesce(cast(lag(fp) over ({K}) <> fp as int), 0) as device_change_flag from ev)""")
 def _(spark, sf):
     return prefix.sequence_first(timed(spark, sf), cap=20, ultra_burst=True)
 

@@ -2,11 +2,13 @@ import datetime as dt
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import encode, risk
+from causeway.functions import scalars as S
+from causeway.operators import encode, prefix, risk
 from causeway.plans import evaluation as E
-from causeway.plans import model, pipelines, states
+from causeway.plans import lookback, model, pipelines, states
 from causeway.plans.config import Config
 from causeway.sources import canonical as C
 from causeway.sources.sinks import store
@@ -128,3 +130,29 @@ def test_no_raw_category_beside_its_code(spark, sf):
     fitted = pipelines.fit_states(made := pipelines.baseline_features(canon, CFG), [(0, None)], CFG, "baseline")
     names = pipelines.features_of(pipelines.training_rows(made, fitted, 0, CFG, "baseline"))
     assert "event_type_nm_code" in names and not {"event_type_nm", "event_desc", "pos_cd", pipelines.SEEN} & set(names)
+
+
+def test_a_week_from_what_the_history_left(spark, sf, tmp_path):
+    """Two weeks in turn, from state, tail and their own events, equal the features of the whole stream; the history is not scanned."""
+    events = S.with_time(C.events(spark, sf)).filter("customer_id < 12").withColumn("customer_id", F.when(F.col("customer_id") > 5, 7).otherwise(F.col("customer_id")))
+    path = str(tmp_path / "history")
+    events.write.parquet(path)
+    events = spark.read.parquet(path)
+    first = int(dt.datetime(2024, 1, 15, tzinfo=dt.UTC).timestamp())
+    between = lambda lo, hi: events.filter((F.col("event_ts") >= lo) & (F.col("event_ts") < hi))
+    for k, pack in enumerate((lambda df, **how: prefix.sequence_first(df, 20, True, parts=3, **how), lambda df, **how: prefix.baseline_pack(df, **how))):
+        state = lookback.look_back(events.filter(F.col("event_ts") < first), first, pack, str(tmp_path / f"s{k}"))
+        whole = {r.event_id: r for r in pack(events).collect()}
+        for n in range(2):
+            lo, hi = first + n * lookback.REACH, first + (n + 1) * lookback.REACH
+            own = str(tmp_path / f"w{k}{n}")
+            between(lo, hi).write.parquet(own)
+            week = spark.read.parquet(own)
+            got = lookback.week_features(state, week, pack)
+            assert path not in got._jdf.queryExecution().toString()
+            rows = {r.event_id: r for r in got.collect()}
+            assert len(rows) == week.count() > 50
+            for e, r in rows.items():
+                assert r.asDict() == whole[e].asDict()
+            state = lookback.advanced(state, week, pack, str(tmp_path / f"s{k}{n}"))
+            assert path not in str([t._jdf.queryExecution().toString() for t in state.tables.values()])
