@@ -160,7 +160,9 @@ def count_tokens(docs: DataFrame, cache: str, file: str, limit: int = LIMIT) ->
         chosen = lacking.select(F.col("digest").alias("d"), F.col("doc_id").alias("i")).hint("shuffle_hash")
         picked = own.join(chosen, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
         encoded(picked, file).write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer}")
-    out = keyed.join(stored(spark, cache, tokenizer), "digest")
+    # A table of the counts that are needed, so that Spark can split the copies of one text in the join that follows.
+    counts = materialize(stored(spark, cache, tokenizer).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
+    out = keyed.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
