@@ -5,7 +5,7 @@
    space at the same byte, everything before is a shared end: such anchors split a document into windows of token ids.
 2. A window's alignment depends on its ids alone, so it is made once for each pair of id tuples and kept by them: groups
    between shared ends, links, and how often each pair of ids is linked. A document is the sequence of its windows.
-3. A task writes a row for each block of documents (``CHUNK_BYTES`` of text): what its documents have, and each distinct id
+3. A task writes a row for each block of documents (``BLOCK_BYTES`` of text): what its documents have, and each distinct id
    pair of the block once with the number of its documents that hold it. These are summed up to the counts of the corpus,
    each block's pairs are joined with the counts and come back to the block, and its documents add them up.
 
@@ -27,14 +27,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import chunks, kept, materialize
+from causeway.llm.common import chunks, give_back, kept, materialize
 from causeway.llm.packing import RUN, tokenizer_files
 from causeway.llm.pieces import SPACE, model_file
 
 #: An id pair is ``a << BITS | b``.
 BITS = 20
+#: Bytes of text of a block.
+BLOCK_BYTES = 2_000_000
 #: Windows, and words, that a worker keeps; beyond, it begins anew with the next block.
 CACHE = 200_000
+#: The mark of B's ids in a window.
+OF_B = np.uint32(1 << 31)
 #: Links of a group that are listed one by one; larger groups multiply the counts of their distinct ids.
 LISTED = 4_096
 
@@ -83,12 +87,16 @@ class Words:
     side's bytes differ."""
 
     def __init__(self, a: Side, b: Side):
-        self.sides, self.ids, self.odd = (a, b), ({}, {}), set()
+        self.sides = a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.odd: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
         if len(self.ids[0]) > CACHE:
-            for x in (*self.ids, self.odd):
-                x.clear()
+            self.forget()
         new = list(words - self.ids[0].keys())
         if not new:
             return
@@ -120,7 +128,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Alignments:
-    """Alignments of windows, numbered and found by their two id tuples: text of the groups, groups, links, id pairs and their times."""
+    """Alignments of windows, numbered and found by their two id tuples (as bytes): text of the groups, groups, links, id pairs and their times."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
@@ -129,15 +137,18 @@ class Alignments:
         self.names_at = (0, 2 * len(a.data))
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
         self.groups, self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, windows: list[tuple[bytes, bytes]]) -> None:
+    def add(self, windows: list[bytes]) -> None:
         """Aligns new windows, all together. Both tuples of a window have the same bytes, so its end is shared."""
-        ids = [np.frombuffer(b"".join(w[k] for w in windows), "<u4").astype(np.int64) for k in (0, 1)]
-        count = [np.fromiter((len(w[k]) // 4 for w in windows), np.int64, len(windows)) for k in (0, 1)]
+        both = np.frombuffer(b"".join(windows), "<u4")
+        of_b = both >= OF_B
+        who = np.repeat(np.arange(len(windows)), np.fromiter(map(len, windows), np.int64, len(windows)) // 4)
+        ids = [(both[m] & (OF_B - np.uint32(1))).astype(np.int64) for m in (~of_b, of_b)]
+        count = [np.bincount(who[m], minlength=len(windows)) for m in (~of_b, of_b)]
         ends = [np.cumsum(side.size[x]) for side, x in zip((self.a, self.b), ids, strict=True)]
         last = shared(*ends)  # the last tokens of each group
         first = [np.append(0, x[:-1] + 1) for x in last]
@@ -173,12 +184,12 @@ class Alignments:
         self.start = np.append(self.start, self.start[-1] + np.cumsum(np.bincount(who[heads], minlength=len(windows))))
         self.pairs, self.times = np.append(self.pairs, pair[heads]), np.append(self.times, np.add.reduceat(times, heads))
 
-    def of(self, windows: list[tuple[bytes, bytes]]) -> np.ndarray:
+    def of(self, windows: list[bytes]) -> np.ndarray:
         """The numbers of windows."""
         found = list(map(self.number.get, windows))
         if None in found:
             self.add(list({w for w, n in zip(windows, found, strict=True) if n is None}))
-            found = map(self.number.__getitem__, windows)
+            found = [self.number[w] if n is None else n for w, n in zip(windows, found, strict=True)]
         return np.fromiter(found, np.int64, len(windows))
 
 
@@ -187,6 +198,10 @@ class Aligner:
         self.a, self.b = byte_side(ranks, pattern), piece_side(model)
         self.known, self.words = Alignments(self.a, self.b), Words(self.a, self.b)
 
+    def forget(self) -> None:
+        self.known.forget()
+        self.words.forget()
+
     def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of both for each text; none where the joined bytes of either are not a space and the text.
 
@@ -207,8 +222,8 @@ class Aligner:
                 out.append((b"", b""))
         return out
 
-    def windows(self, a: list[bytes], b: list[bytes]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-        """All windows of documents with tokens, and how many each document has."""
+    def windows(self, a: list[bytes], b: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """All windows of documents with tokens (the ids of A, then those of B, marked), and how many each document has."""
         raw = [b"".join(x) for x in (a, b)]
         at = []
         for x, data, side in zip((a, b), raw, (self.a, self.b), strict=True):
@@ -221,11 +236,14 @@ class Aligner:
         hit = shared(at[0][1], at[1][1])
         cut = [at[k][0][hit[k]] for k in (0, 1)]
         counts = np.diff(np.append(np.searchsorted(cut[0], at[0][2]), len(cut[0])))
-        parts = []
-        for data, c in zip(raw, cut, strict=True):
-            lo = (4 * c).tolist()
-            parts.append([data[i:j] for i, j in zip(lo, [*lo[1:], len(data)], strict=True)])
-        return list(zip(*parts, strict=True)), counts
+        # One row of ids in which each window's of A stand before its of B, which carry a mark.
+        ids = [np.frombuffer(x, "<u4") for x in raw]
+        upto = [np.append(c[1:], len(x)) for c, x in zip(cut, ids, strict=True)]
+        both = np.empty(len(ids[0]) + len(ids[1]), "<u4")
+        both[np.arange(len(ids[0])) + np.repeat(cut[1], upto[0] - cut[0])] = ids[0]
+        both[np.arange(len(ids[1])) + np.repeat(upto[0], upto[1] - cut[1])] = ids[1] | OF_B
+        data, ends = both.tobytes(), (4 * (upto[0] + upto[1])).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], counts
 
     def block(self, texts: list[str | None], digest: bool) -> dict:
         """A block's row but for the ids: what each document has, and the block's distinct id pairs."""
@@ -284,9 +302,11 @@ def blocks(docs: DataFrame, how: tuple[str, str, str], digest: bool) -> DataFram
         own = aligner(*how)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in chunks(texts.cast(pa.binary()).to_pylist()):
+            for lo, hi in chunks(texts.cast(pa.binary()).to_pylist(), BLOCK_BYTES):
                 row = own.block(texts[lo:hi].to_pylist(), digest) | {"doc_id": ids[lo:hi]}
                 yield pa.RecordBatch.from_arrays([pa.array([row[c]], kinds.get(c, pa.list_(pa.int64()))) for c in names], names=names)
+        own.forget()  # a worker may stand idle while later stages need the memory
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 

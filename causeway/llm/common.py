@@ -60,6 +60,15 @@ def id_crc(column: str = "doc_id") -> Column:
 _KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Returns memory that is no longer used to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def kept(owner: str, key, make):
     """What a Python worker keeps for one operator from task to task, made once.
 
@@ -68,11 +77,7 @@ def kept(owner: str, key, make):
     if owner not in _KEPT:
         _KEPT.clear()
         _KEPT[owner] = {}
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if give_back:
-            give_back(0)
+        give_back()
     own = _KEPT[owner]
     if key not in own:
         own.clear()
