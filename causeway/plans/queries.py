@@ -585,6 +585,18 @@ def _(spark, sf):
     return stream.drained(stream.last_seen(stream.stream(spark, f"{sf}/events.parquet")), "last_seen", ["customer_id"])
 
 
+@query("stream_online_risk", "event_id:l cnt_prev:l is_new:l tslast_sec:l pos_prev:l risk_smooth:r",
+       f"""select event_id, c as cnt_prev, cast(c = 0 as int) as is_new, coalesce(event_ts - t, -1) as tslast_sec, q as pos_prev, (q + 20.0 * 0.5) / (c + 20.0) as risk_smooth
+       from (select *, coalesce(sum(cast(target >= 0 as int)) over (partition by customer_id, mcc_code {_G}), 0)::bigint as c, coalesce(sum(cast(target = 1 as int)) over (partition by customer_id, mcc_code {_G}), 0)::bigint as q,
+       max(case when target >= 0 then event_ts end) over (partition by customer_id, mcc_code {_G}) as t from ev) where event_ts < (select max(event_ts) - 3600 from ev)""")
+def _(spark, sf):
+    from causeway.sources.sinks import workspace
+    from causeway.streaming import risk as online
+
+    raw = stream.stream(spark, f"{sf}/events.parquet")
+    return online.run_online_risk(S.with_time(C.derived(raw)), risk.KEYS["mcc"], f"{workspace(spark)}/stream-risk-{uuid.uuid4().hex}")
+
+
 def _cfg():
     from causeway.plans.config import Config
 

@@ -49,7 +49,11 @@ DERIVED = [
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events of the fixture, with ``target``."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return derived(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def derived(raw: DataFrame) -> DataFrame:
+    """Canonical events from rows of the fixture's table, read or streamed."""
     base = raw.select("event_id", "user_id", "ts", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     return base.selectExpr(*[f"{e} as {c}" for c, e in DERIVED])
 

@@ -51,11 +51,15 @@ def write_summary(row: dict, path: str) -> None:
     Path(path).write_text(json.dumps(jsonable(row), indent=2, ensure_ascii=False))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def build_or_load(spark: SparkSession, path: str, build, refresh: bool = False) -> DataFrame:
     """The Parquet table at ``path``; ``build()`` makes it where it is missing or ``refresh`` is set."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if refresh or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if refresh or not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
