@@ -380,6 +380,19 @@ def _(spark, sf):
     return encode.encode_categories(t, encode.fit_categories(t.filter(F.col("week_start") < F.lit(WEEK4)), ["mcc_code", "event_desc"]), ["mcc_code", "event_desc"])
 
 
+@query("target_rates", "event_id:l mcc_code_target:r event_desc_target:r",
+       "select event_id, " + ", ".join(f"(coalesce(p{c}, 0) + 0.5) / (coalesce(n{c}, 0) + 1.0) as {c}_target" for c in ("mcc_code", "event_desc")) + " from ev " +
+       " ".join(f"left join (select {_T(c)} as v{c}, count(*) as n{c}, sum(cast(target = 1 as int)) as p{c} from ev where target >= 0 and week_start < date '{WEEK4}' group by 1) on v{c} = {_T(c)}" for c in ("mcc_code", "event_desc")) + f" where week_start = date '{WEEK4}'")
+def _(spark, sf):
+    t, columns = timed(spark, sf), ["mcc_code", "event_desc"]
+    return encode.apply_targets(t.filter(F.col("week_start") == F.lit(WEEK4)), encode.fit_targets(t.filter(F.col("week_start") < F.lit(WEEK4)), columns), columns)
+
+
+@query("target_rates_ordered", "event_id:l target:l mcc_code_target:r event_type_nm_target:r", None)
+def _(spark, sf):
+    return encode.ordered_targets(timed(spark, sf), ["mcc_code", "event_type_nm"])
+
+
 @query("sample_weights", "target:l rows:l y_sum:l weight_sum:r unlabeled_ratio:r",
        "select target, count(*) as rows, sum(cast(target = 1 as int)) as y_sum, sum(case target when 1 then 1.0 when 0 then 0.7 else 0.01 end) as weight_sum, count(*) / greatest((select count(*) from ev where target >= 0), 1e-9) as unlabeled_ratio from ev group by target")
 def _(spark, sf):

@@ -309,6 +309,31 @@ def test_one_dictionary_for_all_columns(spark, monkeypatch, values):
     assert out.columns == [*apply.columns, "a_code", "b_code", "c_code"] and out.count() == 200
 
 
+@pytest.mark.parametrize("parts", [None, 9])
+def test_ordered_targets(spark, parts):
+    """Against a plain loop in the order of the hash; a row's own label never counts; unseen values are at the prior."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "hot", "b", None, f"r{i}"]), rng.choice(["x", "y"]), rng.choice([1, 0, 0, -1])) for i in range(400)] + [(7, "hot", "x", 1), (7, "hot", "x", 1)]
+    df = small(spark, rows, "event_id long, a string, b string, target int")
+    order = {r[0]: r[1] for r in df.select("event_id", F.xxhash64(F.lit(42), "event_id")).collect()}
+    got = sorted(tuple(r) for r in encode.ordered_targets(df, ["a", "b"], alpha=2.0, parts=parts).select("event_id", "target", "a_target", "b_target").collect())
+    seen, want = defaultdict(lambda: [0, 0]), []
+    for e, a, b, y in sorted((r for r in rows if r[3] >= 0), key=lambda r: (order[r[0]], r[0], r[3])):
+        states = [seen["a", a], seen["b", b]]
+        want.append((e, y, *[(p + 2.0 * 0.5) / (n + 2.0) for n, p in states]))
+        for s in states:
+            s[0], s[1] = s[0] + 1, s[1] + y
+    assert len(got) == len(want) and all(g[:2] == w[:2] and abs(g[2] - w[2]) + abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, sorted(want), strict=True))
+    one = next(r for r in rows if r[3] >= 0 and r[0] != 7)
+    flipped = small(spark, [(*r[:3], 1 - r[3]) if r is one else r for r in rows], "event_id long, a string, b string, target int")
+    own = lambda d: encode.ordered_targets(d, ["a", "b"]).filter(F.col("event_id") == one[0]).select("a_target", "b_target").collect()
+    assert own(df) == own(flipped)
+    new = small(spark, [(1, "hot", "z"), (2, None, "x")], "event_id long, a string, b string")
+    made = by_id(encode.apply_targets(new, encode.fit_targets(df, ["a", "b"], alpha=2.0), ["a", "b"]), "a_target", "b_target")
+    rate = lambda k: (seen[k][1] + 1.0) / (seen[k][0] + 2.0)
+    assert made[1] == (pytest.approx(rate(("a", "hot"))), 0.5) and made[2] == (pytest.approx(rate(("a", None))), pytest.approx(rate(("b", "x"))))
+
+
 def test_profile_plan_has_no_expand(spark, sf):
     plan = profile.customer_profile(S.with_time(C.events(spark, sf)))._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
