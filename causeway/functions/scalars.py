@@ -11,6 +11,9 @@ WEAK_SESSION = ["<null>", "null", "none", "nan", "unknown", "0", ""]
 FINGERPRINT = ["operating_system_type", "device_system_version", "screen_size", "timezone", "accept_language", "browser_language"]
 NULL = "<NULL>"
 THIRTY_MINUTES = 1800
+# Fixed edges of buckets.
+AMOUNT_EDGES = [2.0, 6.0, 10.0, 14.0]
+BATTERY_EDGES = [5.0, 20.0, 80.0, 100.0]
 
 
 def event_time(c: str = "event_dttm") -> Column:
@@ -80,7 +83,7 @@ def right_closed(x: Column, edges: list[float]) -> Column:
 
 def amount_bucket() -> Column:
     """Bucket of the logarithm of the amount; -1 where it has none."""
-    return right_closed(F.col("log_amt"), [2.0, 6.0, 10.0, 14.0])
+    return right_closed(F.col("log_amt"), AMOUNT_EDGES)
 
 
 def battery_level(c: str = "battery") -> Column:
@@ -90,7 +93,7 @@ def battery_level(c: str = "battery") -> Column:
 
 
 def battery_bucket(level: Column) -> Column:
-    return right_closed(level, [5.0, 20.0, 80.0, 100.0])
+    return right_closed(level, BATTERY_EDGES)
 
 
 def is_night() -> Column:

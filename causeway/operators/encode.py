@@ -13,8 +13,8 @@ from causeway.sources.sinks import store
 
 # Fixed names: the categorical columns of an event.
 CATEGORICAL = [
-    "event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd", "mcc_code", "pos_cd", "timezone", "operating_system_type",
-    "accept_language", "browser_language", "session_id", "battery", "device_system_version", "screen_size", "developer_tools", "phone_voip_call_state", "web_rdp_connection", "compromised",
+    "event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd", "mcc_code", "pos_cd", "accept_language", "browser_language", "timezone",
+    "session_id", "operating_system_type", "battery", "device_system_version", "screen_size", "developer_tools", "phone_voip_call_state", "web_rdp_connection", "compromised",
 ]
 #: Values that the dictionary of all columns together may hold, and bytes of each. So it has some 15 MB at most.
 DICTIONARY_VALUES, DICTIONARY_BYTES = 100_000, 64

@@ -28,6 +28,7 @@ class Config:
     graph_mode: str = "full"
     graph_prior: float | str = 0.5
     graph_alpha: float = 20.0
+    tracking: bool = True
     max_labeled_rows: int | None = None
     max_unlabeled_rows: int | None = None
     max_test_rows: int | None = None

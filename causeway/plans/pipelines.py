@@ -19,7 +19,7 @@ from causeway.functions.scalars import with_time
 from causeway.operators import encode, prefix, profile, risk, sequences
 from causeway.plans import evaluation as E
 from causeway.plans import model, states
-from causeway.plans.config import Config
+from causeway.plans.config import Config, switch
 from causeway.sources import canonical as C
 from causeway.sources import sinks
 from causeway.sources.sinks import store
@@ -51,6 +51,10 @@ def features_of(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in NOT_FEATURES and f"{c}_code" not in df.columns and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
 
 
+def columns_like(df: DataFrame, prefix: str = "", suffix: str = "") -> list[str]:
+    return [c for c in df.columns if c.startswith(prefix) and c.endswith(suffix)]
+
+
 def sampled(canon: DataFrame, cfg: Config) -> DataFrame:
     """Training rows: all labels, and of the unlabeled events one in ``unlabeled_modulo`` if the run uses them."""
     label = C.labels(canon)
@@ -101,7 +105,7 @@ def frozen_rows(rows: DataFrame, own: states.FoldStates, fold: int, cfg: Config,
     """Rows with codes of the fold and the risk of its frozen edges, whatever their own labels are."""
     if with_risk(track, cfg):
         sets = list(risk.KEYS.values())
-        rows = rows.drop(*[c for c in rows.columns if c.startswith("ogr_")])
+        rows = rows.drop(*columns_like(rows, "ogr_"))
         rows = risk.online_risk(rows, sets, "valid", state=own.risk(fold, sets), include_risk=cfg.graph_mode == "full")
     return encode.encode_categories(rows, own.categories(fold), encode.CATEGORICAL)
 
@@ -139,12 +143,13 @@ def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int,
     return Result(by_fold, E.cv_summary(by_fold, ["slice"]), E.recall_at(by_slice(scores), ["fold", "slice"], list(cfg.recall_ks)), scores, E.last_day(scores, ("fold", "customer_id")))
 
 
-def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequence", pretrain: DataFrame | None = None, test: DataFrame | None = None, trees: int = 500, depth: int = 8, live: str | None = None, model_path: str | None = None) -> Result:
+def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequence", pretrain: DataFrame | None = None, test: DataFrame | None = None, trees: int = 500, depth: int = 8, live: str | None = None, model_path: str | None = None, use_unlabeled: str = "config") -> Result:
     """Evaluates, and with ``test`` (unlabeled events) fits on all training rows and scores them: (event_id, predict).
 
     ``track``: sequence or baseline. The test events' features see the training history. ``live``: see ``evaluate``;
-    ``model_path``: where the final model is saved.
+    ``model_path``: where the final model is saved; ``use_unlabeled``: config, true or false, over the setting.
     """
+    cfg = cfg.override(use_unlabeled=switch(use_unlabeled, cfg.use_unlabeled))
     build = {"sequence": sequence_features, "baseline": baseline_features}[track]
     both = canon if test is None else canon.unionByName(test.withColumn("target", F.lit(-1)).select(canon.columns))
     features = store(build(both, cfg, pretrain), "features")
@@ -166,11 +171,13 @@ def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequen
     return out
 
 
-def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, run: str) -> None:
-    """A run's files under ``folder``/``run``, a line in ``folder``/runs.csv and the latest summary in ``folder``/latest.json.
+def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, run: str | None = None) -> str:
+    """A run's files under ``folder``/``run`` (its name is a time if none is given), its row in ``folder``/runs, parameters and
+    metrics in ``folder``/tracking if the run is tracked, and the latest summary in ``folder``/latest.json. Returns the name.
 
     Tables go through Spark; the summary and the index, a few values, are written by the driver.
     """
+    run = run or run_id()
     place = f"{folder}/{run}"
     small = {"by_fold": out.by_fold.orderBy("fold", "slice"), "summary": out.summary, "recall": out.recall}
     if out.importance:
@@ -183,8 +190,17 @@ def write_outputs(spark: SparkSession, out: Result, cfg: Config, folder: str, ru
         sinks.write_csv(out.submission.select("event_id", "predict"), f"{place}/submission")
     mean = {r["slice"]: r.asDict() for r in out.summary.collect()}  # a row for each slice
     sinks.write_summary({"run": run, "config": asdict(cfg), "summary": mean}, f"{place}/summary.json")
-    sinks.append_run(spark, f"{folder}/runs.csv", {"run": run, **{f"{s}_{k}": v for s, r in mean.items() for k, v in r.items() if k != "slice"}})
+    metrics = {f"{s}_{k}": v for s, r in mean.items() for k, v in r.items() if k != "slice"}
+    sinks.append_run(spark, f"{folder}/runs", {"run": run, **metrics})
     sinks.point_latest(f"{place}/summary.json", f"{folder}/latest.json")
+    tracker = sinks.Tracker(f"{folder}/tracking", run, cfg.tracking)
+    tracker.log_params(asdict(cfg))
+    tracker.log_metrics(metrics)
+    for r in out.by_fold.collect():  # a row for each fold and slice
+        tracker.log_metrics({f"{r['slice']}_average_precision": r["average_precision"]}, step=r["fold"])
+    tracker.log_artifact(f"{place}/summary.json")
+    tracker.end()
+    return run
 
 
 # Fixed settings of the comparison.

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession) -> str:
@@ -75,15 +76,20 @@ def store(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def append_run(spark: SparkSession, index: str, row: dict) -> DataFrame:
-    """The registry with one run more, united by name; missing values are null."""
-    new = spark.createDataFrame([{k: str(v) for k, v in jsonable(row).items()}])
-    path = Path(index)
-    old = spark.read.csv(index, header=True) if path.exists() else None
-    out = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    rows = out.toPandas()  # a registry: a line a run
-    path.parent.mkdir(parents=True, exist_ok=True)
-    rows.to_csv(path, index=False)
-    return spark.createDataFrame(rows.astype(object).where(rows.notna(), None), out.schema)
+    """Adds a run to the registry, a folder with a file for each run, so runs that end at once do not meet; all runs so far.
+
+    A run that is added again replaces its file. Values are text.
+    """
+    plain = {k: None if v is None else str(v) for k, v in jsonable(row).items()}
+    names = [k for k in plain if k != "run"]
+    one = spark.createDataFrame([tuple(plain[k] for k in names)], ", ".join(f"`{k}` string" for k in names))
+    one.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{index}/run={plain['run']}")
+    return read_runs(spark, index)
+
+
+def read_runs(spark: SparkSession, index: str) -> DataFrame:
+    """All runs, united by name; missing values are null."""
+    return spark.read.option("primitivesAsString", True).json(index).withColumn("run", F.col("run").cast("string"))
 
 
 def point_latest(path: str, latest: str) -> None:

@@ -11,6 +11,7 @@ from causeway.plans import evaluation as E
 from causeway.plans import lookback, model, pipelines, states
 from causeway.plans.config import Config
 from causeway.sources import canonical as C
+from causeway.sources import sinks
 from causeway.sources.sinks import store
 
 CFG = Config(unlabeled_modulo=10, n_folds=1, min_train_weeks=3, ultra_burst=False)
@@ -35,7 +36,10 @@ def test_run_scores_a_test_week(spark, sf, tmp_path):
     assert model.importance(fitted, names) == out.importance and model.score(fitted, rows, names).filter("margin is not null").count() == 20
     for name in ("a", "b"):
         pipelines.write_outputs(spark, out, CFG, str(tmp_path / "out"), name)
-    assert spark.read.csv(str(tmp_path / "out" / "runs.csv"), header=True).count() == 2
+    assert {r.run for r in sinks.read_runs(spark, str(tmp_path / "out" / "runs")).filter("all_mean is not null").collect()} == {"a", "b"}
+    assert spark.read.parquet(str(tmp_path / "out" / "b" / "out_of_fold_last_day")).count() == by["last_day"].rows
+    log = [json.loads(x) for x in (tmp_path / "out" / "tracking" / "b" / "log.jsonl").read_text().splitlines()]
+    assert [x["kind"] for x in log][:2] == ["params", "metrics"] and log[-1]["status"] == "FINISHED" and (tmp_path / "out" / "tracking" / "b" / "summary.json").exists()
     assert json.loads((tmp_path / "out" / "latest.json").read_text())["run"] == "b"
     assert spark.read.csv(str(tmp_path / "out" / "b" / "submission"), header=True).count() == test.count()
     assert out.importance[0][1] >= out.importance[-1][1] and any("ogr_" in n for n, _ in out.importance)

@@ -31,7 +31,7 @@ def test_tables_and_registry(spark, tmp_path):
     assert sinks.build_or_load(spark, path, lambda: spark.range(9), refresh=True).count() == 9
     sinks.write_csv(df, str(tmp_path / "c"), single=True)
     assert sinks.read_csv(spark, str(tmp_path / "c"), "id long").count() == 3
-    index = str(tmp_path / "runs.csv")
+    index = str(tmp_path / "runs")
     sinks.append_run(spark, index, {"run": "a", "ap": 0.5})
     out = sinks.append_run(spark, index, {"run": "b", "recall": float("nan")})
     assert out.count() == 2 and set(out.columns) == {"run", "ap", "recall"}
