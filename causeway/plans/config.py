@@ -28,6 +28,10 @@ class Config:
     graph_mode: str = "full"
     graph_prior: float | str = 0.5
     graph_alpha: float = 20.0
+    booster: str = "gbt"
+    min_child_weight: float = 8.0
+    columns_by_tree: float = 0.85
+    reg_lambda: float = 1.0
     tracking: bool = True
     max_labeled_rows: int | None = None
     max_unlabeled_rows: int | None = None

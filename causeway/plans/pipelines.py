@@ -116,6 +116,10 @@ def by_slice(scores: DataFrame) -> DataFrame:
     return E.with_last_day(scores, ["fold", "customer_id"]).withColumn("slice", F.explode(names))
 
 
+def fitted_model(train: DataFrame, names: list[str], cfg: Config, trees: int, depth: int):
+    return model.fit(train, names, trees, depth, seed=cfg.seed, kind=cfg.booster, min_child_weight=cfg.min_child_weight, columns_by_tree=cfg.columns_by_tree, reg_lambda=cfg.reg_lambda)
+
+
 def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int, depth: int, track: str = "sequence", live: str | None = None) -> Result:
     """Rolling weekly folds: fit on the sampled rows of earlier weeks, score the whole valid week, measure by slice.
 
@@ -129,7 +133,7 @@ def evaluate(features: DataFrame, train_ids: DataFrame, cfg: Config, trees: int,
         sample = history.join(train_ids.select("event_id"), "event_id", "left_semi")
         train = store(encode.with_weights(training_rows(sample, fitted, fold, cfg, track), cfg.reviewed_negative_weight, cfg.unlabeled_weight), "train")
         names = features_of(train)
-        booster = model.fit(train, names, trees, depth, seed=cfg.seed)
+        booster = fitted_model(train, names, cfg, trees, depth)
         valid = features.filter(F.col("week_start") == F.lit(week))
         valid = valid if cfg.full_week_eval else valid.join(train_ids.select("event_id"), "event_id", "left_semi")
         own = model.score(booster, C.limited(frozen_rows(valid, fitted, fold, cfg, track), cfg.max_eval_week_rows), names)
@@ -162,7 +166,7 @@ def run(spark: SparkSession, canon: DataFrame, cfg: Config, track: str = "sequen
         train = store(encode.with_weights(training_rows(sample, states_, 0, cfg, track), cfg.reviewed_negative_weight, cfg.unlabeled_weight), "train")
         names = features_of(train)
         rows = frozen_rows(features.join(test.select("event_id"), "event_id", "left_semi"), states_, 0, cfg, track)
-        fitted = model.fit(train, names, trees, depth, seed=cfg.seed)
+        fitted = fitted_model(train, names, cfg, trees, depth)
         if model_path:
             model.save(fitted, model_path)
         rows = C.limited(rows, cfg.max_test_rows)

@@ -519,9 +519,13 @@ def _(spark, sf):
 
 _L, _S_, _MIN = 16, 4, 8
 _TOK = lambda c: f"case when {c} >= 0 then {c} + 3 else 1 end"
-_WINDOWS = f"""(select customer_id, w, count(*) as size, list(event_id order by i) as ids, list({_TOK("event_type_nm")} order by i) as ets, list({_TOK("channel_indicator_sub_type")} order by i) as cts, list(event_ts // 3600 % 24 + 1 order by i) as hts
+def _windows(length: int, stride: int, least: int) -> str:
+    return f"""(select customer_id, w, count(*) as size, list(event_id order by i) as ids, list({_TOK("event_type_nm")} order by i) as ets, list({_TOK("channel_indicator_sub_type")} order by i) as cts, list(event_ts // 3600 % 24 + 1 order by i) as hts
  from (select *, row_number() over ({K}) - 1 as i, count(*) over (partition by customer_id) as n from ev), range(0, 10000) r(w)
- where n >= {_MIN} and w * {_S_} <= i and i < w * {_S_} + {_L} and w <= (case when n <= {_L} then 0 else ceil((n - {_L}) / {_S_}::double) end) group by customer_id, w having count(*) >= {_MIN})"""
+ where n >= {least} and w * {stride} <= i and i < w * {stride} + {length} and w <= (case when n <= {length} then 0 else ceil((n - {length}) / {stride}::double) end) group by customer_id, w having count(*) >= {least})"""
+
+
+_WINDOWS = _windows(_L, _S_, _MIN)
 
 
 def windows(spark, sf):
@@ -586,6 +590,15 @@ def _(spark, sf):
     return model.score(model.fit(train, FEATURES, trees=5, depth=4), t.filter(F.col("week_start") == F.lit(WEEK4)), FEATURES)
 
 
+@query("second_order_scores", "event_id:l target:l margin:f probability_red:f sigmoid:f", None)
+def _(spark, sf):
+    from causeway.plans import model
+
+    t = prefix.rolling(prefix.first_seen(prefix.gaps(ready(spark, sf, prefix.ROLLING)))).result()
+    train = encode.with_weights(t.filter((F.col("week_start") < F.lit(WEEK4)) & (F.col("target") >= 0)))
+    return model.score(model.fit(train, FEATURES, trees=5, depth=4, rate=0.3, kind="second_order"), t.filter(F.col("week_start") == F.lit(WEEK4)), FEATURES)
+
+
 @query("stream_bucket_counts", "bucket_ts:l event_type:s n:l cents:l",
        "select cast(epoch(ts) as bigint) // 1800 * 1800 as bucket_ts, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from (select date_trunc('second', ts) as ts, event_type, value from events) group by 1, 2")
 def _(spark, sf):
@@ -630,6 +643,21 @@ def _(spark, sf):
     return pipelines.run(spark, canon(spark, sf), _cfg(), track="baseline", trees=3, depth=3).by_fold
 
 
+_EXPORTED = 32, 16, 8
+
+
+@query("sequence_export_targets", "customer_id:l w:l size:l event_ids:s event_tokens:s channel_tokens:s hour_tokens:s attention:s next_events:s next_channels:s",
+       f"""select customer_id, w, size, array_to_string(list_resize(ids, {_EXPORTED[0]}, -1), ',') as event_ids, array_to_string(list_resize(ets, {_EXPORTED[0]}, 0), ',') as event_tokens, array_to_string(list_resize(cts, {_EXPORTED[0]}, 0), ',') as channel_tokens,
+       array_to_string(list_resize(hts, {_EXPORTED[0]}, 0), ',') as hour_tokens, array_to_string(list_resize(list_transform(ets, lambda x: 1), {_EXPORTED[0]}, 0), ',') as attention,
+       array_to_string(list_append(ets[2:], -100), ',') as next_events, array_to_string(list_append(cts[2:], -100), ',') as next_channels from {_windows(*_EXPORTED)}""")
+def _(spark, sf):
+    from causeway.plans import pipelines
+
+    out = pipelines.export_sequences(canon(spark, sf), _cfg().override(sequence_length=_EXPORTED[0], sequence_stride=_EXPORTED[1], sequence_least=_EXPORTED[2]))
+    names = {"event_ids": "event_id", "event_tokens": "event_token", "channel_tokens": "channel_token", "hour_tokens": "hour_token", "attention": "attention_mask", "next_events": "next_event", "next_channels": "next_channel"}
+    return out.withColumns({n: joined(c) for n, c in names.items()})
+
+
 @query("sequence_export", "customer_id:l w:l size:l masked:s labels:s next_events:s", None)
 def _(spark, sf):
     from causeway.plans import pipelines

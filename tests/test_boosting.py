@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.plans import boosting as B
+from causeway.plans import model
 
 FEATURES = ["a", "b", "c"]
 
@@ -66,7 +67,7 @@ def ends(tree, bins):
 
 
 @pytest.mark.parametrize("settings", [B.Settings(trees=3, depth=3, rate=0.3, bins=8, min_child_weight=2.0), B.Settings(trees=2, depth=2, bins=5, reg_lambda=5.0, gamma=0.05, columns_by_tree=0.67)])
-def test_splits_equal_a_plain_version(spark, settings):
+def test_splits_equal_a_plain_version(spark, settings, tmp_path):
     rows = rows_of(240)
     got = B.fit(frame(spark, rows).repartition(5), FEATURES, settings)
     binned = [[bin_of(x, s) for x, s in zip(r[1:4], got.splits, strict=True)] for r in rows]
@@ -84,8 +85,9 @@ def test_splits_equal_a_plain_version(spark, settings):
     scored = {r.event_id: r.margin for r in got.margins(frame(spark, rows)).collect()}
     assert all(abs(scored[r[0]] - m) < 1e-9 for r, m in zip(rows, margins, strict=True))
     assert any(f >= 0 for t in got.trees for f in t.feature) and got.importance()[0][1] > 0
-    again = B.from_json(got.to_json())
-    assert {r.event_id: r.margin for r in again.margins(frame(spark, rows)).collect()} == scored
+    model.save(got, str(tmp_path / "model"))
+    again, names = model.load(str(tmp_path / "model"))
+    assert names == FEATURES and {r.event_id: r.margin for r in model.score(again, frame(spark, rows), names).collect()} == scored
 
 
 def test_trees_do_not_depend_on_how_rows_are_dealt(spark):

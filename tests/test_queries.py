@@ -32,8 +32,9 @@ def test_caps_bind(spark, sf):
         assert QUERIES[f"rolling_capped_{n}"](spark, sf).filter("bound = 1").count() > 100
 
 
-def test_model_ranks_reds_high(spark, sf):
-    rows = QUERIES["gbt_scores"](spark, sf).filter("target >= 0").collect()
+@pytest.mark.parametrize("name", ["gbt_scores", "second_order_scores"])
+def test_model_ranks_reds_high(spark, sf, name):
+    rows = QUERIES[name](spark, sf).filter("target >= 0").collect()
     red = [r.probability_red for r in rows if r.target == 1]
     yellow = [r.probability_red for r in rows if r.target == 0]
     assert sum(red) / len(red) > sum(yellow) / len(yellow) + 0.1
