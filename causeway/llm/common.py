@@ -85,6 +85,18 @@ def kept(owner: str, key, make):
     return own[key]
 
 
+def giving_back(run):
+    """An Arrow task that returns what it no longer uses when it ends, as its worker may stand idle while others need memory."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 class Words(dict):
     """A bounded cache from a word to what ``make`` gives; use it as ``map(cache.__getitem__, words)``."""
 

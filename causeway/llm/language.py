@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import CACHE_BYTES, CACHE_WORDS, as_bytes, chunks, id_crc, kept
+from causeway.llm.common import CACHE_BYTES, CACHE_WORDS, as_bytes, chunks, giving_back, id_crc, kept
 
 ORDER = 4
 #: Labelled documents of each language that the trees are fitted on, about; with more than ``EQUAL`` languages, in proportion fewer.
@@ -230,7 +230,7 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Trees:
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), index[language]), pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
-    counted = drawn.select("text", "lang").mapInArrow(count, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = drawn.select("text", "lang").mapInArrow(giving_back(count), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # bounded: the sample's contexts
     return Trees.fit(*[table.column(c).to_numpy() for c in ("lang", "key", "n")], languages, order)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled, word_hash
+from causeway.llm.common import as_bytes, chunks, giving_back, hashed_words, materialize, mix, rolled, word_hash
 
 SKETCH = 48
 #: Share of a union that must be common, in percent.
@@ -70,7 +70,7 @@ def profiles(docs: DataFrame, k: int, sketch: int) -> DataFrame:
             columns = [docs_, ths, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(low, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "a", "b", "low"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string")).mapInArrow(giving_back(run), schema)
 
 
 def needed(values: Column) -> Column:
@@ -148,7 +148,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     two = texts.select(F.col("cls").alias("v"), F.col("text").alias("y"))
     kind = pairs.schema["u"].dataType.simpleString()
     both = pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "x", "y")
-    return both.mapInArrow(run, f"u {kind}, v {kind}, ok boolean, n long, diff array<long>")
+    return both.mapInArrow(giving_back(run), f"u {kind}, v {kind}, ok boolean, n long, diff array<long>")
 
 
 def by_differences(close: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def shingles(texts: DataFrame, k: int) -> DataFrame:
             own = [np.fromiter({word_hash(b" ".join(x)) for x in shingle_set(t, k)}, np.int64) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["cls", "e"])
 
-    return texts.select("cls", "text").mapInArrow(run, f"cls {kind}, e array<long>").select("cls", F.explode("e").alias("e"))
+    return texts.select("cls", "text").mapInArrow(giving_back(run), f"cls {kind}, e array<long>").select("cls", F.explode("e").alias("e"))
 
 
 def by_prefixes(el: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import CHUNK_BYTES, Words, kept, materialize
+from causeway.llm.common import CHUNK_BYTES, Words, giving_back, kept, materialize
 
 CAPACITY = 1024
 END = 2
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, fi
                     rows, held = [], 0
             yield made(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(giving_back(run), schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

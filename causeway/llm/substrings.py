@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import as_bytes, chunks, hashed_words, materialize, mix, rolled
+from causeway.llm.common import as_bytes, chunks, giving_back, hashed_words, materialize, mix, rolled
 
 LENGTH = 13
 SEED = 4
@@ -193,7 +193,7 @@ def sent(slim: DataFrame, length: int, seed: int, hot: np.ndarray | None = None)
             for lo, hi in chunks(texts):
                 yield from rows_of(ids[order[lo:hi]], ths[order[lo:hi]], texts[lo:hi], length, seed, hot)
 
-    return slim.select("doc_id", "th", "text").mapInArrow(emit, "anchor long, doc_id long, place long, mask long, tell binary")
+    return slim.select("doc_id", "th", "text").mapInArrow(giving_back(emit), "anchor long, doc_id long, place long, mask long, tell binary")
 
 
 def hot_anchors(slim: DataFrame, length: int, seed: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def repeats(docs: DataFrame, length: int, seed: int) -> DataFrame:
     rows = sent(slim, length, seed, hot_anchors(slim, length, seed))
     # Hash-partitioned by anchor, of a hot one with the window; rows of one anchor arrive in order of document.
     met = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id")
-    marked = met.mapInArrow(marks_of, "doc_id long, place long, mask long")
+    marked = met.mapInArrow(giving_back(marks_of), "doc_id long, place long, mask long")
     th, start = F.expr("cast(place >> 32 as int)").alias("th"), F.expr("cast(place & 4294967295L as int)").alias("start")
     return marked.groupBy("doc_id", th).agg(F.collect_list(F.struct(start, "mask")).alias("marks"))
 
@@ -248,7 +248,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, di
     extra = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]
     slim = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra))
     kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    slim = slim.select("doc_id", "th", "text", *[f"_{i}" for i in range(len(carry))]).mapInArrow(packed, "doc_id long, th int, text binary" + kinds)
+    slim = slim.select("doc_id", "th", "text", *[f"_{i}" for i in range(len(carry))]).mapInArrow(giving_back(packed), "doc_id long, th int, text binary" + kinds)
     joined = slim.join(repeats(docs, length, seed), ["doc_id", "th"], "left").drop("th").select("doc_id", "text", "marks", *[f"_{i}" for i in range(len(carry))])
 
     def cut(batches):
@@ -275,7 +275,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, di
             text = pa.array(kept, pa.string()) if digest else pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), text, *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "spans", "kept", *batch.schema.names[3:]])
 
-    out = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept string" + kinds)
+    out = joined.mapInArrow(giving_back(cut), "doc_id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept string" + kinds)
     return out.withColumnsRenamed({"kept": "kept_sha256" if digest else "kept_text"} | {f"_{i}": c for i, c in enumerate(carry)})
 
 
