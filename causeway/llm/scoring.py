@@ -10,19 +10,22 @@ buckets of its other words. A decision's odds are those of the counts below it (
 features alone) times the weights of its own hashed features of the history: the last word and the word before it, each
 with the decision. Words of a bucket share it by smoothed frequency, (c + 1) /
 (N_bucket + V_bucket + 1), whose last share is for unknown words; so all probabilities of a history sum to one. Leaves,
-buckets and rows of weights rise with the vocabulary, up to bounds on a worker's memory.
+buckets and rows of weights rise with the vocabulary up to ``HEAD``, ``MOST_ROWS``, ``MOST_BUCKETS`` and ``MOST_BITS``, which bound
+a worker's memory.
 
 Counting and training read all training documents. Training goes in ``ROUNDS`` Spark jobs, each over its own share of the
-rows (by a hash of the text). A round is one full-batch gradient update from the last round's weights: tasks sum what
-each feature has seen and what the model expected of it (the two terms of the gradient), the sums are added up by blocks
-in a shuffle, and each weight moves by the logarithm of the one over the other (iterative scaling). The sums do not
-depend on how rows are dealt to tasks, so neither does the model. Counts of the ``HEAD`` most frequent words are broadcast (a bound on their size);
+rows (by a hash of the text): one pass over the rows in that many batches. With ``whole`` each round goes over all rows
+instead. In a round, tasks sum what each feature has seen and what the model of the round before expected of it (the two
+terms of the gradient), the sums are added up by blocks in two levels of shuffles, and each weight moves by the logarithm
+of the one over the other (iterative scaling). The sums do not depend on how rows are dealt to tasks, so neither does the
+model. Counts of the ``HEAD`` most frequent words are broadcast (a bound on their size);
 tokens of all other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 
 import numpy as np
@@ -245,10 +248,11 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """One round: the weights ``tables`` after a full-batch gradient update over ``docs``.
+    """One round: the weights ``tables`` after a gradient update over all of ``docs``.
 
     ``parts`` broadcasts what makes a coder, and the tree. The last table holds the decisions' weights. The sums that
-    travel are as large as the model, for each task; at most ``MOST_TASKS`` tasks send any.
+    travel are as large as the model, for each task; at most ``MOST_TASKS`` tasks send any. A block of the model is summed
+    by about the square root of the tasks' number of reducers first, and those sums by one.
     """
     spark = docs.sparkSession
     before = spark.sparkContext.broadcast(tables)
@@ -299,7 +303,9 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
     tasks = min(MOST_TASKS, 2 * spark.sparkContext.defaultParallelism)
     local = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(summed, schema)
     # Each task of ``total`` holds the running sums of its blocks, not their rows; the model is of a bounded size.
-    blocks = local.repartition(F.col("t"), F.col("b")).mapInArrow(total, schema).toArrow()
+    dealt = local.withColumn("some", F.spark_partition_id() % math.isqrt(tasks)).repartition(F.col("t"), F.col("b"), F.col("some"))
+    some = dealt.drop("some").mapInArrow(total, schema)
+    blocks = some.repartition(F.col("t"), F.col("b")).mapInArrow(total, schema).toArrow()
     before.destroy()
     tables = [t.copy() for t in tables]
     for t, b, data in zip(*(blocks.column(c).to_pylist() for c in names), strict=True):
@@ -316,9 +322,11 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
     return tables
 
 
-def score_documents(docs: DataFrame, training) -> DataFrame:
+def score_documents(docs: DataFrame, training, whole: bool = False) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text), scored by a model of those for which ``training`` (a column) holds.
 
+    With ``whole`` each round of training goes over all rows, else over its share of them.
+
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty and have the end token;
     rows with a null condition are not trained on; equal rows get equal scores; with no training rows all words are
     unknown and the classes equally likely; an empty table gives no rows.
@@ -370,7 +378,8 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     decisions = np.zeros((power(8 * v_all, 1 << 14, 1 << MOST_BITS) // CLASSES, CLASSES), np.float32)
     tables = [*Model.start(bias, n_rows).tables, decisions]
     for i in range(ROUNDS):
-        tables = updated(learn.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i), parts, bias, tables)
+        share = learn if whole else learn.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == i)
+        tables = updated(share, parts, bias, tables)
     weights = spark.sparkContext.broadcast(tables)
 
     base_norm = np.log10(float(n_all + v_all + 1))

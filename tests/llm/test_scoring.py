@@ -1,8 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from causeway.llm import scoring as M
@@ -94,3 +97,130 @@ def test_history_chooses_the_word_inside_its_class(spark):
     out = {r.doc_id: r for r in M.score_documents(docs, F.col("doc_id") < 1000).collect()}
     assert abs(out[1000].base_score - out[1001].base_score) < 1e-6
     assert out[1000].score > out[1001].score + 10
+
+
+def plain_scores(rows, trained, cut, whole=False):
+    """The model in plain loops: {index of row: score} of rows (doc_id, text); words more frequent than ``cut`` are the head."""
+    full = 2**64 - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * factor & full
+        return x ^ (x >> 33)
+
+    texts = [(t or "").encode() for _, t in rows]
+    learn = [(xxhash.xxh64_intdigest(x, 42) if t is not None else 42, x) for (_, t), x, on in zip(rows, texts, trained, strict=True) if on]
+    c = Counter(w for _, x in learn for w in [*x.lower().split(), b""])
+    by_end = Counter()
+    for w, n in c.items():
+        if w:
+            by_end[M.ending(w)] += n
+    top = {e: i + 2 for i, (e, _) in enumerate(sorted(by_end.items(), key=lambda x: (-x[1], x[0]))[: M.CLASSES - 2])}
+    class_of = lambda w: top.get(M.ending(w), 1) if w else 0
+    size = [1.0] * M.CLASSES
+    for w, n in c.items():
+        size[class_of(w)] += n
+    bias = [math.log(x / sum(size)) for x in size]
+    head = sorted((w for w, n in c.items() if w and n > cut), key=lambda w: (-c[w], w))
+    place = {w: i for i, w in enumerate(head)}
+    rare = [1.0] * (M.CLASSES - 1)
+    for w, n in c.items():
+        if w and w not in place:
+            rare[class_of(w) - 1] += n + 1
+    leaf_of = lambda w: place.get(w, len(head) + class_of(w) - 1)
+    # Trees: ways[leaf] lists (node, side) from the leaf up.
+    leaves = [(class_of(w), c[w] + 1.0) for w in head] + [(k, rare[k - 1]) for k in range(1, M.CLASSES)]
+    ways, odds, nodes = [[] for _ in leaves], {}, len(leaves)
+    for k in range(1, M.CLASSES):
+        open_ = sorted((m, i, [i]) for i, (cls, m) in enumerate(leaves) if cls == k)
+        while len(open_) > 1:
+            (a, _, left), (b, _, right) = open_[:2]
+            odds[nodes - len(leaves)] = math.log(b) - math.log(a)
+            for i in left + right:
+                ways[i].append((nodes - len(leaves), i in right))
+            open_ = sorted([*open_[2:], (a + b, nodes, left + right)])
+            nodes += 1
+    shift = 32 - max(14, math.ceil(math.log2(8 * len(c))))
+    low = 2**32 - 1
+    tables = [{} for _ in range(4)]
+    weights = {}
+
+    def tokens(x):
+        """Class features, (class, word), and the word's decisions: side, the weights' places, odds of side 1."""
+        words = [*x.lower().split(), b""]
+        k, r, f = [class_of(w) for w in words], [xxhash.xxh32_intdigest(w) % M.WORD_ROWS if w else 0 for w in words], [leaf_of(w) + 1 if w else 0 for w in words]
+        for i, w in enumerate(words):
+            back = lambda of, d, i=i: of[i - d] if i >= d else 0
+            pair = lambda d, k=k, back=back: (back(k, d) * M.CLASSES + back(k, d + 1)) % M.CLASS_ROWS
+            history = [mixed(back(f, d) * 4 + d) & low for d in (1, 2)]
+            met = []
+            for node, side in ways[leaf_of(w)] if w else ():
+                places = [((h ^ (mixed(node + 1) & low)) * 0x9E3779B1 & low) >> shift for h in history]
+                met.append((side, places, 1 / (1 + math.exp(-odds[node] - sum(weights.get(p, 0.0) for p in places)))))
+            y = [bias[q] + sum(t.get((row, q), 0.0) for t, row in zip(tables, (back(r, 1), back(r, 2), pair(1), pair(3)), strict=True)) for q in range(M.CLASSES)]
+            total = sum(map(math.exp, y))
+            yield w, k[i], (back(r, 1), back(r, 2), pair(1), pair(3)), [math.exp(v) / total for v in y], met
+
+    clip = lambda x, bound: max(-bound, min(bound, x))
+    for part in range(M.ROUNDS):
+        seen, expected, decided = [Counter() for _ in tables], [Counter() for _ in tables], {}
+        for h, x in learn:
+            if not whole and (h - (full + 1 if h > full // 2 else 0)) % M.ROUNDS != part:
+                continue
+            for _, k, own, p, met in tokens(x):
+                for s, e, row in zip(seen, expected, own, strict=True):
+                    s[row, k] += 1
+                    for q in range(M.CLASSES):
+                        e[row, q] += p[q]
+                for side, places, one in met:
+                    for at in places:
+                        d = decided.setdefault(at, [0, 0.0, 0])
+                        d[0], d[1], d[2] = d[0] + side, d[1] + one, d[2] + 1
+        for t, s, e in zip(tables, seen, expected, strict=True):
+            for key in e:
+                t[key] = clip(t.get(key, 0.0) + M.RATE * math.log((s[key] + M.RARE) / (e[key] + M.RARE)), M.BOUND)
+        for at, (one, e, n) in decided.items():
+            step = math.log((one + M.WORD_RARE) / (e + M.WORD_RARE)) - math.log((n - one + M.WORD_RARE) / (n - e + M.WORD_RARE))
+            weights[at] = clip(weights.get(at, 0.0) + M.WORD_RATE * step, M.WORD_BOUND)
+    out = []
+    for x in texts:
+        score = 0.0
+        for w, k, _, p, met in tokens(x):
+            score += math.log10(p[k]) + sum(math.log10(one if side else 1 - one) for side, _, one in met)
+            if w and w not in place:  # its share of the bucket
+                score += math.log10((c[w] + 1) / rare[k - 1])
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize(("head", "whole"), [(M.HEAD, False), (25, False), (M.HEAD, True)])
+def test_scores_against_plain_loops(spark, tmp_path, monkeypatch, head, whole):
+    """The registered query (and training over all rows in each round) on a small table."""
+    rng = random.Random(6)
+    known = ["%s%s" % (a, b) for a in "klmnprst" for b in ("ab", "ing", "ed", "er", "ion", "o", "é")]
+    rows, last = [], 0
+    for i in range(70):
+        words = []
+        for _ in range(rng.randrange(14)):
+            last = (last * 3 + rng.randrange(4)) % len(known)
+            words.append(known[last])
+        rows.append((i, " ".join(words)))
+    rows += [(70, None), (71, ""), (72, "never SEEN kab Kab"), (73, rows[4][1]), (None, "king ked")]
+    cond = [d is not None and zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows]
+    monkeypatch.setattr(M, "HEAD", head)
+    c = Counter(w for (_, t), on in zip(rows, cond, strict=True) if on for w in [*(t or "").encode().lower().split(), b""])
+    cut = 0
+    if len(c) > head:
+        numbers = spark.createDataFrame([(n,) for n in c.values()], "n long")
+        cut = numbers.agg(F.percentile_approx("n", F.lit(1.0 - head / len(c)), F.lit(10_000))).first()[0]
+        assert cut > 0 and sum(n > cut for n in c.values()) <= 2 * head
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if whole:
+        got = M.score_documents(docs, M.id_crc() % 7 != 2, whole=True).collect()
+    else:
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        got = M.op2_lm_scoring(spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.held_out for r in got} == {d: d is not None and not on for (d, _), on in zip(rows, cond, strict=True)}
+    want = dict(zip([d for d, _ in rows], plain_scores(rows, cond, cut, whole), strict=True))
+    assert {r.doc_id for r in got} == set(want) and len(got) == len(rows)
+    assert all(abs(r.score - want[r.doc_id]) <= 1e-4 * max(1, abs(want[r.doc_id])) for r in got)
