@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import Words, as_bytes, chunks, id_crc, kept, materialize, mix
+from causeway.llm.common import as_bytes, chunks, id_crc, kept, materialize, mix
 
 CLASSES = 32
 #: Bytes of a word's ending.
@@ -68,28 +68,28 @@ def power(x: float, least: int, most: int) -> int:
 class Coder:
     """A word's class, its row in the table of word features, and its leaf, as one number.
 
-    Leaves are the places of head words, then ``buckets`` of other words for each class but the first.
+    Leaves are the places of head words, then ``buckets`` of other words for each class but the first. Numbers of head
+    words are kept, so their memory is bounded and few words need more than a look-up.
     """
 
     def __init__(self, endings: list[bytes], head: list[bytes], rows: int = WORD_ROWS, buckets: int = 1):
         self.endings = {e: i + 2 for i, e in enumerate(endings)}
-        self.head = {w: i for i, w in enumerate(head)}
-        self.rows, self.buckets = rows, buckets
-        self.words = Words(self.code)
+        self.rows, self.buckets, self.first = rows, buckets, len(head)
+        self.head = {w: self.code(w, i) for i, w in enumerate(head)}
 
-    def code(self, word: bytes) -> int:
+    def code(self, word: bytes, leaf: int = -1) -> int:
         cls, h = self.endings.get(ending(word), 1), xxhash.xxh32_intdigest(word)
-        leaf = self.head.get(word, -1)
         if leaf < 0:
-            leaf = len(self.head) + (cls - 1) * self.buckets + (h >> 20) % self.buckets
+            leaf = self.first + (cls - 1) * self.buckets + (h >> 20) % self.buckets
         return (cls << 48) | ((h % self.rows) << 32) | (leaf + 1)
 
     def __call__(self, texts: list[bytes | None]):
         """For all tokens, ends included: class, word row, leaf (-1: end); and where each text begins. Words also as a list."""
         flat, starts, said = [], np.zeros(len(texts) + 1, np.int64), []
+        known, code = self.head.get, self.code  # no number is zero
         for i, t in enumerate(texts):
             words = t.lower().split() if t else []
-            flat.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+            flat.append(np.array([known(w) or code(w) for w in words], np.int64))
             flat.append(np.zeros(1, np.int64))  # the end: class 0
             said.append(words)
             starts[i + 1] = starts[i] + len(words) + 1
