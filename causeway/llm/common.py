@@ -69,15 +69,20 @@ def give_back() -> None:
         trim(0)
 
 
+def drop_others(owner: str) -> None:
+    """Drops what other operators have left in this worker; a task that keeps nothing itself calls it where it needs much memory."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        give_back()
+
+
 def kept(owner: str, key, make):
     """What a Python worker keeps for one operator from task to task, made once.
 
     Workers are used by one stage after another: what another operator has left in this one is dropped first.
     """
-    if owner not in _KEPT:
-        _KEPT.clear()
-        _KEPT[owner] = {}
-        give_back()
+    drop_others(owner)
     own = _KEPT[owner]
     if key not in own:
         own.clear()

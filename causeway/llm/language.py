@@ -14,7 +14,9 @@ many of all), chosen by hash among all those outside the held-out fold. Predicti
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +24,94 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import CACHE_BYTES, CACHE_WORDS, as_bytes, chunks, giving_back, id_crc, kept
+from causeway.llm.common import CACHE_BYTES, CACHE_WORDS, as_bytes, drop_others, giving_back, id_crc, kept
 
 ORDER = 4
 #: Labelled documents of each language that the trees are fitted on, about; with more than ``EQUAL`` languages, in proportion fewer.
 SAMPLE, EQUAL = 2500, 8
 #: Costs (a number for each language) that a worker keeps, and that it works on at a time.
-HELD, AT_ONCE = 4_000_000, 2_000_000
-#: Bytes of text that are coded at a time.
-CHUNK_BYTES = 3_000_000
+HELD, AT_ONCE = 4_000_000, 500_000
+#: Bytes of text that are coded at a time, and bytes whose contexts are counted at a time.
+CHUNK_BYTES, COUNT_BYTES = 1_000_000, 200_000
 #: A stage rejects texts without letters and those that no language codes in this many bits a byte.
 REJECT_BITS = 7.0
 #: Fixed values of the hash of a context: an odd multiplier.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of ' word ' for all words in a row; for each byte its depth in its word; for each word where it begins."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    depth = np.arange(len(data)) - np.repeat(starts, np.append(sizes, 1))
-    return data, depth, starts
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
 
+def slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """The column in runs of rows of at most ``limit`` bytes together; a row beyond that is a run of its own."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield column.slice(lo, hi - lo)
+        lo = hi
 
-def context_keys(data: np.ndarray, depth: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+
+def parts(texts: list[bytes | None], limit: int) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Words of about ``limit`` bytes of text at a time, with the numbers of the texts that they come from.
+
+    A long text comes in several parts, cut at white space, so it need not be split into words at once.
+    """
+    owners, words, size = [], [], 0
+    for i, text in enumerate(texts):
+        lo, end = 0, len(text or b"")
+        while lo < end:
+            cut = WHITE.search(text, lo + limit - size) if end - lo > limit - size else None
+            hi = cut.start() if cut else end
+            owners.append(i)
+            words.append(text[lo:hi].split())
+            size, lo = size + hi - lo, hi
+            if size >= limit:
+                yield owners, words
+                owners, words, size = [], [], 0
+    if owners:
+        yield owners, words
+
+
+def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of ' word ' for all words in a row; for each word where it begins (one more entry than words)."""
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return data, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def places(starts: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All coded bytes (those of the words and the space that closes each), ``step`` at a time: where they are, the number
+    of their word and their depth in it."""
+    for lo in range(1, int(starts[-1]) + 1, step):
+        at = np.arange(lo, min(lo + step, int(starts[-1]) + 1))
+        word = np.searchsorted(starts, at) - 1
+        yield at, word, at - starts[word]
+
+
+def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def context_counts(texts: list[bytes | None], order: int, limit: int = COUNT_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of contexts and the bytes after them in the texts' words, and how often they come. Besides the result, the
+    memory that it takes depends on ``limit``, not on the texts."""
+    key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, words in parts(texts, limit):
+        data, starts = padded([w for own in words for w in own])
+        for at, _, depth in places(starts, limit):
+            found = [(key, n)]
+            for o in range(order + 1):
+                use = at[depth >= o]
+                found.append(np.unique((context_keys(data, use, o) << np.uint64(8)) | data[use], return_counts=True))
+            key, n = added(*map(np.concatenate, zip(*found)))
+    return key, n
+
+
+def context_keys(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     """Keys of the ``order`` bytes before each position in ``at``: exact for up to 7 bytes (the bytes and the order)."""
     key = np.full(len(at), order, np.uint64)
     for j in range(order, 0, -1):
@@ -126,16 +191,13 @@ class Trees:
 
     def cost_of(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word in each language."""
-        data, depth, starts = padded(words)
-        at = np.flatnonzero(depth > 0)
-        at = np.append(at, starts[1:])  # the space after each word closes it
-        depth = np.append(depth[depth > 0], np.diff(starts))
-        owner = np.append(np.repeat(np.arange(len(words)), np.diff(starts) - 1), np.arange(len(words)))
-        out, step = np.zeros((len(words), len(self.languages))), max(1, AT_ONCE // max(1, len(self.languages)))
-        for lo in range(0, len(at), step):
-            bits = self.bits_at(data, depth[lo : lo + step], at[lo : lo + step])
+        data, starts = padded(words)
+        out = np.zeros((len(words), len(self.languages)))
+        for at, word, depth in places(starts, max(1, AT_ONCE // max(1, len(self.languages)))):
+            bits, lo = self.bits_at(data, depth, at), word[0]
             for k in range(len(self.languages)):
-                out[:, k] += np.bincount(owner[lo : lo + step], bits[:, k], len(words))
+                sums = np.bincount(word - lo, bits[:, k])
+                out[lo : lo + len(sums), k] += sums
         return out
 
     def bits_at(self, data: np.ndarray, depth: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -146,7 +208,7 @@ class Trees:
             use = np.flatnonzero((depth >= order) & open_.any(1))
             if not len(use):
                 continue
-            context = context_keys(data, depth, at[use], order)
+            context = context_keys(data, at[use], order)
             row = self.symbols.find((context << np.uint64(8)) | data[at[use]])
             c = np.where(row[:, None] >= 0, self.cost[row] if len(self.cost) else np.nan, np.nan)
             up = self.contexts.find(context)
@@ -159,21 +221,20 @@ class Trees:
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text in each language, and its bytes with one white space after each word."""
         bits, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for lo, hi in chunks(texts, CHUNK_BYTES):
-            flat, ends = [], []
-            for i in range(lo, hi):
-                words = texts[i].split() if texts[i] else []
-                size[i] = sum(map(len, words)) + len(words)
-                flat.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-                ends.append(len(words))
-            rows = np.concatenate(flat)
+        for owners, words in parts(texts, CHUNK_BYTES):
+            flat = []
+            for i, own in zip(owners, words):
+                size[i] += sum(map(len, own)) + len(own)
+                flat.append(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)))
+            rows, ends = np.concatenate(flat), list(map(len, words))
             cost = np.empty((len(rows), len(self.languages)), np.float32)
             old = rows < CACHE_WORDS
             cost[old] = self.held[rows[old]]
             cost[~old] = self.settle()[rows[~old] - CACHE_WORDS]
-            owner = np.repeat(np.arange(hi - lo), ends)
+            at, lo = np.repeat(owners, ends) - owners[0], owners[0]
             for k in range(len(self.languages)):
-                bits[lo:hi, k] = np.bincount(owner, cost[:, k], hi - lo)
+                sums = np.bincount(at, cost[:, k])
+                bits[lo : lo + len(sums), k] += sums
         return bits, size
 
     def settle(self) -> np.ndarray:
@@ -214,21 +275,14 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Trees:
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
+        drop_others("language fit")
         for batch in batches:
             for language in set(batch.column(1).to_pylist()):
-                own = batch.filter(pc.equal(batch.column(1), language))
-                words = [w for t in as_bytes(own.column(0)) for w in t.split()]
-                if not words:
-                    continue
-                data, depth, starts = padded(words)
-                at = np.append(np.flatnonzero(depth > 0), starts[1:])
-                deep = np.append(depth[depth > 0], np.diff(starts))
-                keys = []
-                for o in range(order + 1):
-                    use = at[deep >= o]
-                    keys.append((context_keys(data, depth, use, o) << np.uint64(8)) | data[use])
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), index[language]), pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+                own, key, n = batch.column(0).filter(pc.equal(batch.column(1), language)), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for piece in slices(own, CHUNK_BYTES):
+                    key, n = added(*map(np.concatenate, zip((key, n), context_counts(as_bytes(piece), order))))
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), index[language]), pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
     counted = drawn.select("text", "lang").mapInArrow(giving_back(count), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # bounded: the sample's contexts
@@ -255,16 +309,22 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
         t.fresh()
         return t
 
+    def coded(batches):
+        for batch in batches:
+            if not names:
+                yield struct(["und"] * len(batch), np.zeros(len(batch)), np.zeros(len(batch)))
+                continue
+            found = [kept("language", mark, own).texts(as_bytes(piece)) for piece in slices(batch, CHUNK_BYTES)]
+            bits, size = map(np.concatenate, zip((np.zeros((0, len(names))), np.zeros(0, np.int64)), *found))
+            top = bits.argmin(1)
+            # Likelihoods of the whole text differ by hundreds of bits; by the square root of its length they stay apart from 0 and 1.
+            scaled = -(bits - bits.min(1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None]
+            odds = np.exp2(scaled)
+            yield struct(np.array(names, object)[top], odds.max(1) / odds.sum(1), bits.min(1) / np.maximum(size, 1))
+
     @F.arrow_udf("lang string, score double, bits double")
-    def best(texts: pa.Array) -> pa.Array:
-        if not names:
-            return struct(["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
-        bits, size = kept("language", mark, own).texts(as_bytes(texts))
-        top = bits.argmin(1)
-        # Likelihoods of the whole text differ by hundreds of bits; by the square root of its length they stay apart from 0 and 1.
-        scaled = -(bits - bits.min(1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None]
-        odds = np.exp2(scaled)
-        return struct(np.array(names, object)[top], odds.max(1) / odds.sum(1), bits.min(1) / np.maximum(size, 1))
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(coded)(batches)
 
     def struct(*columns) -> pa.Array:
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["lang", "score", "bits"])

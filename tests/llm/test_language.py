@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from causeway.llm import language as L
@@ -72,3 +74,43 @@ def test_table():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     t = L.Table(keys)
     assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + np.uint64(1)) == -1).all()
+
+
+def peak(run):
+    """MB that ``run`` takes at most, besides what was there."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_tasks(spark, monkeypatch):
+    tasks, giving_back = [], L.giving_back
+    monkeypatch.setattr(L, "giving_back", lambda run: tasks.append(run) or giving_back(run))
+    trees = L.fit(spark.createDataFrame([(1, "some words to learn from", "a"), (2, "andere worte zum lernen", "b")], "doc_id long, text string, lang string"))
+    text = " ".join(f"w{i % 5000:x} the" for i in range(5_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 80), pa.array(["a"] * 80)], names=["text", "lang"])  # 3.6 MB of one language
+    assert peak(lambda: list(tasks[0]([batch]))) < 40
+    assert peak(lambda: list(tasks[0]([pa.RecordBatch.from_arrays([pa.array([text * 80]), pa.array(["a"])], names=["text", "lang"])]))) < 40
+    lone = [" ".join(f"w{i * 7919 % 1_000_003:x}" for i in range(k, k + 500)).encode() for k in range(0, 400_000, 500)]  # no word twice
+    assert peak(lambda: trees.texts(lone)) < 110
+
+
+def test_parts_of_long_texts(spark, monkeypatch):
+    trees = L.fit(spark.createDataFrame([(1, "some words to learn from", "a"), (2, "andere worte zum lernen", "b")], "doc_id long, text string, lang string"))
+    texts = [b"some\x0bwords  to " * 50, None, b"", b" \t ", b"andere " + b"x" * 300 + b" worte\n"]
+    whole = trees.texts(texts)
+    counts = L.context_counts(texts, 3)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 17)
+    monkeypatch.setattr(L, "AT_ONCE", 10)
+    trees.fresh()
+    cut = trees.texts(texts)
+    assert np.allclose(whole[0], cut[0]) and whole[1].tolist() == cut[1].tolist() == [len(b"".join(t.split())) + len(t.split()) if t else 0 for t in texts]
+    for limit in (1, 17, 1000):
+        for a, b in zip(counts, L.context_counts(texts, 3, limit)):
+            assert a.tolist() == b.tolist()
+    column = pa.array([t and t.decode() for t in texts])
+    for limit in (1, 400, 10_000):
+        assert [x for piece in L.slices(column, limit) for x in piece.to_pylist()] == column.to_pylist()
