@@ -27,14 +27,16 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import as_bytes, chunks, id_crc, kept, materialize, mix
+from causeway.llm.common import giving_back, id_crc, kept, materialize, mix
 
 CLASSES = 32
 #: Bytes of a word's ending.
@@ -48,11 +50,12 @@ FEATURES = (WORD_ROWS, WORD_ROWS, CLASS_ROWS, CLASS_ROWS)
 MOST_ROWS, MOST_BUCKETS, MOST_BITS = 8192, 256, 19
 #: Rounds of training; rate, smoothing and bound of the weights of classes and of decisions.
 ROUNDS, RATE, RARE, BOUND, WORD_RATE, WORD_RARE, WORD_BOUND = 3, 0.4, 4.0, 10.0, 0.5, 4.0, 5.0
-#: Tokens that a task works on at a time.
-BATCH = 32_768
+#: Tokens that a task works on at a time: their arrays stay in a core's cache.
+BATCH = 16_384
 #: Rows of weights whose sums travel together, and tasks that send sums at most (else two for each core).
 BLOCK, MOST_TASKS = 256, 16_384
-CHUNK = 600_000
+#: Bytes of text whose words are coded, and counted, at a time.
+CHUNK, COUNTED = 1_200_000, 6_000_000
 
 
 def ending(word: bytes) -> bytes:
@@ -60,6 +63,27 @@ def ending(word: bytes) -> bytes:
     return (word.rstrip(b".,;:!?)\"'") or word)[-ENDING:]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts one after the other, A-Z lower-cased, and how many each text has. Arrow's ASCII functions look
+    at bytes alone; they give empty words at the ends of a text, which are none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, size = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[full], minlength=len(size))
+        words = words.filter(pa.array(full))
+    return words, size
+
+
+def slices(texts: pa.Array, limit: int = CHUNK):
+    """Ranges of texts of about ``limit`` bytes together."""
+    part = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield lo, hi
+
+
 def power(x: float, least: int, most: int) -> int:
     """The least power of two from ``x`` on, between bounds that are powers of two."""
     return min(max(1 << max(int(np.ceil(np.log2(max(x, 1)))), 0), least), most)
@@ -75,26 +99,26 @@ class Coder:
     def __init__(self, endings: list[bytes], head: list[bytes], rows: int = WORD_ROWS, buckets: int = 1):
         self.endings = {e: i + 2 for i, e in enumerate(endings)}
         self.rows, self.buckets, self.first = rows, buckets, len(head)
-        self.head = {w: self.code(w, i) for i, w in enumerate(head)}
+        self.head, self.numbers = pa.array(head, pa.binary()), np.append(self.codes(head, np.arange(len(head))), 0)
 
-    def code(self, word: bytes, leaf: int = -1) -> int:
-        cls, h = self.endings.get(ending(word), 1), xxhash.xxh32_intdigest(word)
-        if leaf < 0:
+    def codes(self, words: list[bytes], leaf: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of many words, by default of words outside the head."""
+        cls = np.fromiter(map(self.endings.get, map(ending, words), repeat(1)), np.int64, len(words))
+        h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words))
+        if leaf is None:
             leaf = self.first + (cls - 1) * self.buckets + (h >> 20) % self.buckets
         return (cls << 48) | ((h % self.rows) << 32) | (leaf + 1)
 
-    def __call__(self, texts: list[bytes | None]):
-        """For all tokens, ends included: class, word row, leaf (-1: end); and where each text begins. Words also as a list."""
-        flat, starts, said = [], np.zeros(len(texts) + 1, np.int64), []
-        known, code = self.head.get, self.code  # no number is zero
-        for i, t in enumerate(texts):
-            words = t.lower().split() if t else []
-            flat.append(np.array([known(w) or code(w) for w in words], np.int64))
-            flat.append(np.zeros(1, np.int64))  # the end: class 0
-            said.append(words)
-            starts[i + 1] = starts[i] + len(words) + 1
-        code = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        return code >> 48, (code >> 32) & 0xFFFF, (code & 0xFFFFFFFF) - 1, starts, said
+    def __call__(self, texts: pa.Array):
+        """For all tokens, ends included: class, word row, leaf (-1: end); and where each text begins. Words also as an array."""
+        words, size = split(texts)
+        place = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy()
+        own, away = self.numbers[place], np.flatnonzero(place < 0)
+        own[away] = self.codes(words.take(pa.array(away)).to_pylist())
+        starts = np.append(0, np.cumsum(size + 1))
+        code = np.zeros(starts[-1], np.int64)  # zero: the end, of class 0
+        code[np.arange(len(words)) + np.repeat(np.arange(len(size)), size)] = own
+        return code >> 48, (code >> 32) & 0xFFFF, (code & 0xFFFFFFFF) - 1, starts, words
 
 
 def backs(starts: np.ndarray):
@@ -144,15 +168,13 @@ class Model:
         return [np.bincount(r * CLASSES + target, minlength=t.size).reshape(t.shape) for t, r in zip(self.tables, rows, strict=True)]
 
     def expect(self, rows: list[np.ndarray], into: list[np.ndarray]) -> None:
-        """Adds the probabilities of all classes, by feature row."""
+        """Adds the probabilities of all classes, by feature row; class after class, so columns of ``into`` should be contiguous."""
         y = self.logits(rows)
         np.exp(y, out=y)
         y /= (y @ np.ones(CLASSES, np.float32))[:, None]
-        for r, total in zip(rows, into, strict=True):
-            order = np.argsort(r.astype(np.uint16), kind="stable")
-            own = r[order]
-            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            total[own[heads]] += np.add.reduceat(y[order], heads, axis=0)
+        for k, p in enumerate(y.T.astype(np.float64, order="C")):
+            for r, total in zip(rows, into, strict=True):
+                total[:, k] += np.bincount(r, p, len(total))
 
 
 class Tree:
@@ -195,7 +217,11 @@ class Choice:
     def __init__(self, tree: Tree, weights: np.ndarray):
         self.tree, self.weights = tree, weights
         self.shift = np.uint32(32 - (len(weights).bit_length() - 1))
-        self.names = mix(np.arange(1, len(tree.odds) + 1, dtype=np.uint64)).astype(np.uint32)
+        names = mix(np.arange(1, len(tree.odds) + 1, dtype=np.uint64)).astype(np.uint32)
+        # Of each decision on each leaf's way: its name, odds and the side not taken (1, -1). The last leaf stands for ends
+        # (-1), which have none. Weights are bounded, so no exponential of odds overflows.
+        self.name, self.odds, self.other = names[tree.node], tree.odds[tree.node], 1 - 2 * tree.side.astype(np.float32)
+        self.first, self.size = np.append(tree.start[:-1], 0), np.append(np.diff(tree.start), 0)
 
     @staticmethod
     def history(leaf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -204,47 +230,57 @@ class Choice:
         return [mix(back(leaf + 1, d).astype(np.uint64) * np.uint64(4) + np.uint64(d)).astype(np.uint32) for d in (1, 2)]
 
     def decisions(self, history: list[np.ndarray], leaf: np.ndarray):
-        """Of all tokens one after the other: the token, the side taken (1, -1), the weights' places, the log odds of side 1."""
-        lo = np.where(leaf >= 0, self.tree.start[leaf], 0)
-        size = np.where(leaf >= 0, self.tree.start[leaf + 1], 0) - lo
-        token = np.repeat(np.arange(len(leaf)), size)
-        at = np.arange(len(token)) + np.repeat(lo - (np.cumsum(size) - size), size)
-        node = self.tree.node[at]
-        name, z = self.names[node], self.tree.odds[node]
-        places = [(((h[token] ^ name) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp) for h in history]
-        for p in places:
-            z += self.weights[p]
-        return token, self.tree.side[at].astype(np.float32) * 2 - 1, places, z
+        """Of all tokens one after the other: how many each token has, the side not taken (1, -1), the weights' places, the log odds of side 1."""
+        size = self.size[leaf]
+        at = np.repeat(self.first[leaf] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        name, z, places = self.name.take(at), self.odds.take(at), []
+        for h in history:
+            place = np.repeat(h, size)
+            place ^= name
+            place *= np.uint32(0x9E3779B1)
+            place >>= self.shift
+            places.append(place.astype(np.intp))
+            z += self.weights.take(places[-1])
+        return size, self.other.take(at), places, z
 
     def log_p(self, history: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
-        token, side, _, z = self.decisions(history, leaf)
-        return np.bincount(token, -np.log1p(np.exp(np.minimum(-side * z, 80))), len(leaf))
+        size, other, _, z = self.decisions(history, leaf)
+        z *= other
+        np.exp(z, out=z)
+        z += 1
+        np.log(z, out=z)
+        out, some = np.zeros(len(leaf)), np.flatnonzero(size)
+        out[some] = -np.add.reduceat(z, (np.cumsum(size) - size)[some])
+        return out
 
-    def sums(self, history: list[np.ndarray], leaf: np.ndarray, into: np.ndarray) -> None:
-        """Adds, for each weight, how often its feature met side 1, how often that was expected, and how often it met any (rows of ``into``)."""
-        _, side, places, z = self.decisions(history, leaf)
-        place, many = np.concatenate(places), len(places)
-        expected = 1 / (1 + np.exp(np.minimum(-z, 80)))
-        for k, w in enumerate((side > 0, expected, None)):
-            into[k] += np.bincount(place, None if w is None else np.tile(w, many), into.shape[1])
+    def sums(self, history: list[np.ndarray], leaf: np.ndarray, met: np.ndarray, expected: np.ndarray) -> None:
+        """Adds, for each weight, how often its feature met side -1 and side 1 (a pair of ``met``), and how often side 1 was expected."""
+        _, other, places, z = self.decisions(history, leaf)
+        one = other < 0
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        p = np.divide(1, z, dtype=np.float64)
+        for place in places:
+            np.add.at(expected, place, p)
+            place *= 2
+            place += one
+            np.add.at(met, place, 1)
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts; the end token is the empty word."""
 
     def count(batches):
-        from collections import Counter
-
         for batch in batches:
-            found = Counter()
-            texts = as_bytes(batch.column(0))
-            for t in texts:
-                if t:
-                    found.update(t.lower().split())
-            found[b""] += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            texts = batch.column(0)
+            for lo, hi in slices(texts, COUNTED):
+                found = pc.value_counts(split(texts[lo:hi])[0])
+                word, n = (pa.concat_arrays([found.field(k), pa.array([x], found.field(k).type)]) for k, x in ((0, b""), (1, hi - lo)))
+                yield pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(giving_back(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
@@ -266,11 +302,11 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
         code, own = kept("scoring", mark, lambda: Coder(*coder_parts)), before.value
         model, choice = Model(bias.astype(np.float32), own[:-1]), Choice(tree, own[-1].reshape(-1))
         fresh = not any(t.any() for t in own[:-1])  # then all expect what the bias says
-        seen, expected = ([np.zeros(t.shape) for t in own[:-1]] for _ in range(2))
-        decided, tokens = np.zeros((3, own[-1].size)), 0
+        seen, expected = ([np.zeros(t.shape, order=o) for t in own[:-1]] for o in "CF")
+        met, decided, tokens = np.zeros(2 * own[-1].size, np.int64), np.zeros(own[-1].size), 0
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for lo, hi in chunks(texts, CHUNK):
+            texts = batch.column(0)
+            for lo, hi in slices(texts):
                 cls, row, leaf, starts, _ = code(texts[lo:hi])
                 own_rows, history = features(cls, row, starts), choice.history(leaf, starts)
                 for total, more in zip(seen, model.seen(own_rows, cls), strict=True):
@@ -278,13 +314,14 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
                 for a in range(0, len(cls), BATCH):
                     if not fresh:
                         model.expect([r[a : a + BATCH] for r in own_rows], expected)
-                    choice.sums([h[a : a + BATCH] for h in history], leaf[a : a + BATCH], decided)
+                    choice.sums([h[a : a + BATCH] for h in history], leaf[a : a + BATCH], met, decided)
                 tokens += len(cls)
         if not tokens:
             return
         if fresh:
             p = np.exp(bias) / np.exp(bias).sum()
             expected = [x.sum(1, keepdims=True) * p for x in seen]
+        decided = np.stack([met[1::2], decided, met[::2] + met[1::2]])
         wide = [*(np.stack(x) for x in zip(seen, expected, strict=True)), decided.reshape(3, -1, CLASSES)]
         for t, table in enumerate(wide):
             for b in range(0, table.shape[1], BLOCK):
@@ -301,7 +338,7 @@ def updated(docs: DataFrame, parts, bias: np.ndarray, tables: list[np.ndarray])
 
     schema = "t int, b int, data binary"
     tasks = min(MOST_TASKS, 2 * spark.sparkContext.defaultParallelism)
-    local = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(summed, schema)
+    local = docs.select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(giving_back(summed), schema)
     # Each task of ``total`` holds the running sums of its blocks, not their rows; the model is of a bounded size.
     dealt = local.withColumn("some", F.spark_partition_id() % math.isqrt(tasks)).repartition(F.col("t"), F.col("b"), F.col("some"))
     some = dealt.drop("some").mapInArrow(total, schema)
@@ -365,7 +402,7 @@ def score_documents(docs: DataFrame, training, whole: bool = False) -> DataFrame
     def by_bucket(batches):
         code = Coder(top, [], n_rows, n_buckets)
         for b in batches:
-            leaf = [(code.code(w) & 0xFFFFFFFF) - 1 for w in b.column(0).to_pylist()]
+            leaf = (code.codes(b.column(0).to_pylist()) & 0xFFFFFFFF) - 1
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(1)], names=["leaf", "n"])
 
     rare = np.ones((CLASSES - 1) * n_buckets)
@@ -393,9 +430,9 @@ def score_documents(docs: DataFrame, training, whole: bool = False) -> DataFrame
         choice = Choice(tree_, weights.value[-1].reshape(-1))
         log_head = np.append(np.log10(head_n + 1.0), np.log10(end_n + 1.0))
         for batch in batches:
-            ids, texts = batch.column(0), as_bytes(batch.column(1))
-            for lo, hi in chunks(texts, CHUNK):
-                cls, row, leaf, starts, said = code(texts[lo:hi])
+            ids, texts = batch.column(0), batch.column(1)
+            for lo, hi in slices(texts):
+                cls, row, leaf, starts, words = code(texts[lo:hi])
                 rows, history = features(cls, row, starts), choice.history(leaf, starts)
                 lp = np.empty(len(cls))
                 for a in range(0, len(cls), BATCH):
@@ -410,21 +447,18 @@ def score_documents(docs: DataFrame, training, whole: bool = False) -> DataFrame
                 sums = [np.add.reduceat(x, starts[:-1]) for x in (lp / np.log(10), word, shared, known.astype(np.int64))]
                 n = np.diff(starts)
                 known_n = sums[3] - (end_n == 0)
-                other = []
                 away = np.flatnonzero(~known)
-                owner = np.searchsorted(starts, away, "right") - 1
-                for i in range(hi - lo):
-                    other.append([])
-                for j, i in zip((away - starts[owner]).tolist(), owner.tolist(), strict=True):
-                    other[i].append(said[i][j])
+                owner = np.searchsorted(starts, away, "right") - 1  # each text before has an end more than words
+                upto = np.append(0, np.cumsum(np.bincount(owner, minlength=hi - lo)))
+                other = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), words.take(pa.array(away - owner)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[lo:hi], pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(sums[1] - n * base_norm), pa.array(sums[0] - sums[2]), pa.array(other, pa.list_(pa.binary()))],
+                    [ids[lo:hi], pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(sums[1] - n * base_norm), pa.array(sums[0] - sums[2]), other],
                     names=["doc_id", "n_tokens", "n_known", "base", "own", "other"],
                 )
 
     schema = "doc_id long, n_tokens long, n_known long, base double, own double, other array<binary>"
     # The row number stands for the row while its words are away; it is written once and read twice.
-    scored = slim.select("doc_id", "text").mapInArrow(base_parts, schema)
+    scored = slim.select("doc_id", "text").mapInArrow(giving_back(base_parts), schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     parts.destroy()
     weights.destroy()

@@ -1,9 +1,11 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -224,3 +226,65 @@ def test_scores_against_plain_loops(spark, tmp_path, monkeypatch, head, whole):
     want = dict(zip([d for d, _ in rows], plain_scores(rows, cond, cut, whole), strict=True))
     assert {r.doc_id for r in got} == set(want) and len(got) == len(rows)
     assert all(abs(r.score - want[r.doc_id]) <= 1e-4 * max(1, abs(want[r.doc_id])) for r in got)
+
+
+def test_sums_of_probabilities_cost_little_beside_the_probabilities():
+    """Most of the CPU seconds of a round of training went into adding up what a softmax expected, row by row."""
+    rng = np.random.default_rng(7)
+    tables = [rng.standard_normal((n, M.CLASSES)).astype(np.float32) for n in (M.MOST_ROWS, M.MOST_ROWS, *M.FEATURES[2:])]
+    m = M.Model(np.zeros(M.CLASSES, np.float32), tables)
+    rows = [rng.zipf(1.2, M.BATCH) % len(t) for t in tables]
+    target, expected = rng.integers(0, M.CLASSES, M.BATCH), [np.zeros(t.shape, order="F") for t in tables]
+
+    def least(run):
+        took = []
+        for _ in range(15):
+            before = time.process_time()
+            run()
+            took.append(time.process_time() - before)
+        return min(took)
+
+    assert least(lambda: m.expect(rows, expected)) < 5 * least(lambda: m.log_p(rows, target))
+
+
+def test_words_are_those_of_bytes():
+    texts = ["".join(map(chr, range(256))) + " ÀÉ\u2003x", None, "", "  a\tB\x0b\x0c\r\nc ", " \t ", "one"]
+    words, size = M.split(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert size.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+    sliced, size = M.split(pa.array(texts)[3:5])
+    assert sliced.to_pylist() == [b"a", b"b", b"c"] and size.tolist() == [3, 0]
+    assert list(M.slices(pa.array([], pa.string()))) == [] and list(M.slices(pa.array(["x" * M.CHUNK, None, "y"]))) == [(0, 3)]
+
+
+@pytest.mark.parametrize("head", [[], [b"kab"], [b"kab", b"the", b"ing"]])
+def test_coder_gives_the_same_numbers_with_and_without_a_head(head):
+    code = M.Coder([b"ab", b"he"], head, buckets=4)
+    cls, row, leaf, starts, words = code(pa.array(["Kab the. new", None, "ING kab"]))
+    assert words.to_pylist() == [b"kab", b"the.", b"new", b"ing", b"kab"] and starts.tolist() == [0, 4, 5, 8]
+    assert cls.tolist() == [2, 3, 1, 0, 0, 1, 2, 0] and row.tolist()[:1] == [xxhash.xxh32_intdigest(b"kab") % M.WORD_ROWS]
+    assert [i for i, x in enumerate(leaf.tolist()) if x == -1] == [3, 4, 7]
+    for i, w in zip((0, 1, 2, 5, 6), words.to_pylist(), strict=True):
+        assert (leaf[i] == head.index(w)) if w in head else (len(head) <= leaf[i] < len(head) + (M.CLASSES - 1) * 4)
+
+
+def test_sums_of_decisions_against_plain_sums():
+    rng = np.random.default_rng(8)
+    tree = M.Tree(rng.integers(1, M.CLASSES, 300), rng.integers(1, 900, 300).astype(float))
+    c = M.Choice(tree, rng.standard_normal(1 << 14).astype(np.float32))
+    leaf = rng.integers(-1, 300, 2000)
+    history = M.Choice.history(leaf, np.array([0, 500, 2000]))
+    met, expected = np.zeros(2 << 14, np.int64), np.zeros(1 << 14)
+    c.sums(history, leaf, met, expected)
+    names = [int(x) for x in M.mix(np.arange(1, len(tree.odds) + 1, dtype=np.uint64)).astype(np.uint32)]
+    seen, hoped = Counter(), Counter()
+    for i, x in enumerate(leaf.tolist()):
+        for j in range(*tree.start[x : x + 2]) if x >= 0 else ():
+            node, side = tree.node[j], int(tree.side[j])
+            places = [((int(h[i]) ^ names[node]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - 14) for h in history]
+            p = 1 / (1 + math.exp(-float(tree.odds[node]) - sum(float(c.weights[q]) for q in places)))
+            for q in places:
+                seen[2 * q + side] += 1
+                hoped[q] += p
+    assert {int(k): int(met[k]) for k in np.flatnonzero(met)} == dict(seen)
+    assert all(np.isclose(expected[q], x, rtol=1e-4) for q, x in hoped.items())
