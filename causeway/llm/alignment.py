@@ -3,8 +3,10 @@
 1. Tasks encode each whole text with both tokenizers (A: byte-level BPE of a space and the text, B: pieces that add the
    space themselves) and compare the joined bytes of either with the text. Where both have a token that begins with a
    space at the same byte, everything before is a shared end: such anchors split a document into windows of token ids.
-2. A window's alignment depends on its ids alone, so it is made once for each pair of id tuples and kept by them: groups
-   between shared ends, links, and how often each pair of ids is linked. A document is the sequence of its windows.
+   No token of either reaches over a space between two characters other than white space; there a window is a word.
+2. A window's alignment depends on its ids alone, so it is made once and kept by its word, or else by its pair of id
+   tuples: groups between shared ends, links, and how often each pair of ids is linked. A document is the sequence of its
+   windows.
 3. A task writes a row for each block of documents (``BLOCK_BYTES`` of text): what its documents have, and each distinct id
    pair of the block once with the number of its documents that hold it. These are summed up to the counts of the corpus,
    each block's pairs are joined with the counts and come back to the block, and its documents add them up.
@@ -19,7 +21,7 @@ import base64
 import hashlib
 from array import array
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from causeway.llm.pieces import SPACE, model_file
 BITS = 20
 #: Bytes of text of a block.
 BLOCK_BYTES = 2_000_000
-#: Windows, and words, that a worker keeps; beyond, it begins anew with the next block.
+#: Windows that a worker keeps; beyond, it begins anew with the next block.
 CACHE = 200_000
 #: The mark of B's ids in a window.
 OF_B = np.uint32(1 << 31)
@@ -45,8 +47,8 @@ LISTED = 4_096
 
 @dataclass
 class Side:
-    """A tokenizer: ids of a text, the ids of many words that each follow a space, the bytes of each id, their number, and
-    whether a space is first."""
+    """A tokenizer: ids of a text, the ids of many words that each follow a space (one after the other, and how many each
+    has), the bytes of each id, their number, and whether a space is first."""
 
     encode: object
     words: object
@@ -57,8 +59,17 @@ class Side:
         self.spaced = np.array([x[:1] == b" " for x in self.data])
 
 
+def flat(made: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and how many each has."""
+    counts = np.fromiter(map(len, made), np.int64, len(made))
+    return np.fromiter(chain.from_iterable(made), np.int64, int(counts.sum())), counts
+
+
 def byte_side(ranks: str, pattern: str) -> Side:
-    """Byte-level BPE of a space and the text; strings of special tokens are ordinary text."""
+    """Byte-level BPE of a space and the text; strings of special tokens are ordinary text.
+
+    Words are encoded together, parted by spaces, but for those that are empty or begin with white space.
+    """
     import tiktoken
 
     with open(ranks, "rb") as f:
@@ -67,7 +78,30 @@ def byte_side(ranks: str, pattern: str) -> Side:
     data = [b""] * (max(table.values()) + 1)
     for k, i in table.items():
         data[i] = k
-    return Side(lambda text: plain(" " + text), lambda words: [plain(" " + w) for w in words], data)
+    length = np.array([len(x) for x in data], np.int64)
+
+    def apart(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat([plain(" " + w) for w in of])
+
+    def together(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, want = np.array(plain(" " + " ".join(of)) if of else [], np.int64), np.cumsum([len(w.encode()) + 1 for w in of])
+        upto = np.cumsum(length[ids])
+        last = np.searchsorted(upto, want)
+        same = len(ids) and upto[-1] == want[-1] and (upto[last] == want).all()
+        return (ids, np.diff(last, prepend=-1)) if same else apart(of)
+
+    def words(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = np.fromiter((not w or w[0].isspace() for w in of), bool, len(of))
+        parts = [(at, *how([of[i] for i in at.tolist()])) for how, at in ((together, np.flatnonzero(~alone)), (apart, np.flatnonzero(alone)))]
+        counts = np.zeros(len(of), np.int64)
+        for at, _, n in parts:
+            counts[at] = n
+        starts, ids = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int64)
+        for at, own, n in parts:
+            ids[spread(starts[at], n)[1]] = own
+        return ids, counts
+
+    return Side(lambda text: plain(" " + text), words, data)
 
 
 def piece_side(model: str) -> Side:
@@ -79,39 +113,7 @@ def piece_side(model: str) -> Side:
     data = [bytes([int(x[3:5], 16)]) if s.is_byte(i) else b"" if s.is_control(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
     # The library adds no space to nothing, so an empty word (two spaces, the end of a text) is a space alone.
     alone = [s.piece_to_id(SPACE)]
-    return Side(s.encode, lambda words: [x if w else alone for w, x in zip(words, s.encode(words, num_threads=1), strict=True)], data)
-
-
-class Words:
-    """Words (what follows a space) with their ids on both sides as little-endian 32-bit bytes; ``odd`` are those of which a
-    side's bytes differ."""
-
-    def __init__(self, a: Side, b: Side):
-        self.sides = a, b
-        self.forget()
-
-    def forget(self) -> None:
-        self.ids: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.odd: set[str] = set()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.ids[0]) > CACHE:
-            self.forget()
-        new = list(words - self.ids[0].keys())
-        if not new:
-            return
-        own = [(" " + w).encode() for w in new]
-        whole, sizes = b"".join(own), np.fromiter(map(len, own), np.int64, len(own))
-        for side, kept_ids in zip(self.sides, self.ids, strict=True):
-            made = side.words(new)
-            counts = np.fromiter(map(len, made), np.int64, len(made))
-            ids = np.fromiter(chain.from_iterable(made), "<u4", int(counts.sum()))
-            ends = np.cumsum(counts)
-            bytes_to = np.append(0, np.cumsum(side.size[ids]))
-            if (np.diff(np.append(0, bytes_to[ends])) != sizes).any() or b"".join(map(side.data.__getitem__, ids.tolist())) != whole:
-                self.odd.update(w for w, x, y in zip(new, made, own, strict=True) if b"".join(map(side.data.__getitem__, x)) != y)
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            kept_ids.update(zip(new, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+    return Side(s.encode, lambda words: flat([x if w else alone for w, x in zip(words, s.encode(words, num_threads=1), strict=True)]), data)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,8 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Alignments:
-    """Alignments of windows, numbered and found by their two id tuples (as bytes): text of the groups, groups, links, id pairs and their times."""
+    """Alignments of windows, numbered and found by their word or their two id tuples (as bytes): text of the groups, tokens
+    of both, groups, links, id pairs and their times. Words of which a side's bytes differ have number -1."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
@@ -137,18 +140,15 @@ class Alignments:
         self.names_at = (0, 2 * len(a.data))
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str | bytes, int] = {}
         self.text: list[str] = []
+        self.n_a, self.n_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.groups, self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, windows: list[bytes]) -> None:
-        """Aligns new windows, all together. Both tuples of a window have the same bytes, so its end is shared."""
-        both = np.frombuffer(b"".join(windows), "<u4")
-        of_b = both >= OF_B
-        who = np.repeat(np.arange(len(windows)), np.fromiter(map(len, windows), np.int64, len(windows)) // 4)
-        ids = [(both[m] & (OF_B - np.uint32(1))).astype(np.int64) for m in (~of_b, of_b)]
-        count = [np.bincount(who[m], minlength=len(windows)) for m in (~of_b, of_b)]
+    def add(self, windows: list[str | bytes], ids: list[np.ndarray], count: list[np.ndarray]) -> None:
+        """Aligns new windows, all together, of which each side has its ids one after the other. Both tuples of a window have
+        the same bytes, so its end is shared."""
         ends = [np.cumsum(side.size[x]) for side, x in zip((self.a, self.b), ids, strict=True)]
         last = shared(*ends)  # the last tokens of each group
         first = [np.append(0, x[:-1] + 1) for x in last]
@@ -180,46 +180,71 @@ class Alignments:
             self.number[w] = len(self.text)
             self.text.append("".join(made[lo:hi])[:-1])
             lo = hi
+        self.n_a, self.n_b = np.append(self.n_a, count[0]), np.append(self.n_b, count[1])
         self.groups, self.links = np.append(self.groups, groups), np.append(self.links, np.bincount(owner, links, len(windows)).astype(np.int64))
         self.start = np.append(self.start, self.start[-1] + np.cumsum(np.bincount(who[heads], minlength=len(windows))))
         self.pairs, self.times = np.append(self.pairs, pair[heads]), np.append(self.times, np.add.reduceat(times, heads))
 
     def of(self, windows: list[bytes]) -> np.ndarray:
-        """The numbers of windows."""
-        found = list(map(self.number.get, windows))
-        if None in found:
-            self.add(list({w for w, n in zip(windows, found, strict=True) if n is None}))
-            found = [self.number[w] if n is None else n for w, n in zip(windows, found, strict=True)]
-        return np.fromiter(found, np.int64, len(windows))
+        """The numbers of windows of ids."""
+
+        def learn(new: list[bytes]) -> None:
+            both = np.frombuffer(b"".join(new), "<u4")
+            of_b = both >= OF_B
+            who = np.repeat(np.arange(len(new)), np.fromiter(map(len, new), np.int64, len(new)) // 4)
+            ids = [(both[m] & (OF_B - np.uint32(1))).astype(np.int64) for m in (~of_b, of_b)]
+            self.add(new, ids, [np.bincount(who[m], minlength=len(new)) for m in (~of_b, of_b)])
+
+        return self.found(windows, learn)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The numbers of words that each follow a space."""
+
+        def learn(new: list[str]) -> None:
+            own = [(" " + w).encode() for w in new]
+            whole, sizes = b"".join(own), np.fromiter(map(len, own), np.int64, len(own))
+            same, made = np.ones(len(new), bool), []
+            for side in (self.a, self.b):
+                ids, count = side.words(new)
+                made.append((ids, count))
+                data, ends = list(map(side.data.__getitem__, ids.tolist())), np.append(0, np.cumsum(count))
+                if (np.diff(np.append(0, np.cumsum(side.size[ids]))[ends]) != sizes).any() or b"".join(data) != whole:
+                    same &= [b"".join(data[i:j]) == x for i, j, x in zip(ends[:-1].tolist(), ends[1:].tolist(), own, strict=True)]
+            if not same.all():
+                self.number.update((new[i], -1) for i in np.flatnonzero(~same).tolist())
+                new = [new[i] for i in np.flatnonzero(same).tolist()]
+                made = [(ids[np.repeat(same, count)], count[same]) for ids, count in made]
+            if new:
+                self.add(new, *map(list, zip(*made, strict=True)))
+
+        return self.found(words, learn)
+
+    def found(self, windows: list, learn) -> np.ndarray:
+        """The numbers of windows; ``learn`` is given those that are new, once each."""
+        numbers = np.fromiter(map(self.number.get, windows, repeat(-2)), np.int64, len(windows))
+        missing = np.flatnonzero(numbers == -2)
+        if len(missing):
+            new = [windows[i] for i in missing.tolist()]
+            learn(list(dict.fromkeys(new)))
+            numbers[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        return numbers
 
 
 class Aligner:
     def __init__(self, ranks: str, pattern: str, model: str):
         self.a, self.b = byte_side(ranks, pattern), piece_side(model)
-        self.known, self.words = Alignments(self.a, self.b), Words(self.a, self.b)
+        self.known = Alignments(self.a, self.b)
 
     def forget(self) -> None:
         self.known.forget()
-        self.words.forget()
 
     def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of both for each text; none where the joined bytes of either are not a space and the text.
-
-        No token of either reaches over a space between two characters other than white space, so the ids of a text are
-        those of its words, which are kept. Texts with other spaces are encoded whole.
-        """
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and "  " not in t and not RUN.search(" " + t)}
-        self.words.learn(set().union(*plain.values()))
-        odd, known, out = self.words.odd, [x.__getitem__ for x in self.words.ids], []
-        for i, t in enumerate(texts):
-            if i in plain:
-                out.append(tuple(b"".join(map(x, plain[i])) for x in known) if odd.isdisjoint(plain[i]) else (b"", b""))
-            elif t:
-                ids, whole = (self.a.encode(t), self.b.encode(t)), (" " + t).encode()
-                same = all(b"".join(map(side.data.__getitem__, x)) == whole for side, x in zip((self.a, self.b), ids, strict=True))
-                out.append(tuple(array("I", x).tobytes() for x in ids) if same else (b"", b""))
-            else:
-                out.append((b"", b""))
+        """Ids of both for each text, encoded whole; none where the joined bytes of either are not a space and the text."""
+        out = []
+        for t in texts:
+            ids, whole = (self.a.encode(t), self.b.encode(t)) if t else ((), ()), (" " + t).encode()
+            same = all(b"".join(map(side.data.__getitem__, x)) == whole for side, x in zip((self.a, self.b), ids, strict=True))
+            out.append(tuple(array("I", x).tobytes() for x in ids) if same else (b"", b""))
         return out
 
     def windows(self, a: list[bytes], b: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -245,28 +270,45 @@ class Aligner:
         data, ends = both.tobytes(), (4 * (upto[0] + upto[1])).tolist()
         return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], counts
 
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of each document with tokens, in their order: the document, and the window's number.
+
+        The windows of a text are its words, but for texts with spaces beside white space, which are encoded whole.
+        """
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and "  " not in t and not RUN.search(" " + t)}
+        doc = np.repeat(np.fromiter(plain, np.int64, len(plain)), np.fromiter(map(len, plain.values()), np.int64, len(plain)))
+        own = self.known.of_words(list(chain.from_iterable(plain.values())))
+        odd = np.unique(doc[own < 0])
+        if len(odd):
+            some = ~np.isin(doc, odd)
+            doc, own = doc[some], own[some]
+        rest = [i for i, t in enumerate(texts) if t and i not in plain]
+        made = {i: x for i, x in zip(rest, self.tokens([texts[i] for i in rest]), strict=True) if x[0]}
+        if made:
+            windows, counts = self.windows(*map(list, zip(*made.values(), strict=True)))
+            doc, own = np.append(doc, np.repeat(list(made), counts)), np.append(own, self.known.of(windows))
+            order = np.argsort(doc, kind="stable")
+            doc, own = doc[order], own[order]
+        return doc, own
+
     def block(self, texts: list[str | None], digest: bool) -> dict:
         """A block's row but for the ids: what each document has, and the block's distinct id pairs."""
-        if len(self.known.text) > CACHE:
-            self.known.forget()
-        made = self.tokens([t or "" for t in texts])
-        use, n = [i for i, x in enumerate(made) if x[0]], len(texts)
-        out = {"n_a": np.array([len(x[0]) // 4 for x in made], np.int64), "n_b": np.array([len(x[1]) // 4 for x in made], np.int64), "groups": [""] * n}
-        out |= {k: np.zeros(n, np.int64) for k in ("n_groups", "n_links", "size")}
-        if not use:
+        k, n = self.known, len(texts)
+        if len(k.number) > CACHE:
+            k.forget()
+        out = {"groups": [""] * n} | {c: np.zeros(n, np.int64) for c in PER_DOC}
+        doc, own = self.numbered(texts)
+        if not len(doc):
             return out | {"body": b"", "pairs": [], "held": []}
-        windows, counts = self.windows([made[i][0] for i in use], [made[i][1] for i in use])
-        k = self.known
-        own = k.of(windows)
-        doc = np.repeat(use, counts)
-        for name, x in (("n_groups", k.groups), ("n_links", k.links)):
+        for name, x in (("n_a", k.n_a), ("n_b", k.n_b), ("n_groups", k.groups), ("n_links", k.links)):
             out[name] = np.bincount(doc, x[own], n).astype(np.int64)
         lo = 0
         numbers = own.tolist()
-        for i, c in zip(use, counts.tolist(), strict=True):
-            text = ";".join(map(k.text.__getitem__, numbers[lo : lo + c]))
-            out["groups"][i] = hashlib.sha256(text.encode()).hexdigest() if digest else text
-            lo += c
+        for i, hi in enumerate(np.cumsum(np.bincount(doc, minlength=n)).tolist()):
+            if hi > lo:
+                text = ";".join(map(k.text.__getitem__, numbers[lo:hi]))
+                out["groups"][i] = hashlib.sha256(text.encode()).hexdigest() if digest else text
+                lo = hi
         # Each document's distinct pairs: of its distinct windows, then summed up.
         mine, own = np.unique(own, return_inverse=True)
         who, place = spread(k.start[mine], k.start[mine + 1] - k.start[mine])

@@ -159,3 +159,21 @@ def test_memo_begins_anew(monkeypatch):
 
 def test_empty(none):
     assert A.align(none).count() == 0
+
+
+def test_words_of_a_block_are_encoded_together_and_found_by_name(monkeypatch):
+    """A call of the tokenizer for each new word, and ids looked up by all windows, took most of the CPU seconds."""
+    import tiktoken
+
+    calls, real = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or real(self, text))
+    own = A.Aligner(*tokenizer_files()[1:], model_file())
+    words = [f"w{i}ord{i * 7 % 11}" for i in range(500)]
+    texts = [" ".join(words), " ".join(words[::3]), None, "", "ends in a space ", "a \nb c\n", "two  spaces here", "odd ▁ one", "▁"]
+    row = own.block(texts, digest=False)
+    assert row["groups"] == [printed(groups(t or "")) for t in texts]
+    assert row["n_a"].tolist() == [sum(len(x) for x, _ in groups(t or "")) for t in texts] and row["n_b"].tolist() == [sum(len(y) for _, y in groups(t or "")) for t in texts]
+    assert len(calls) < 10 and own.known.number.keys() >= set(words)
+    assert own.known.number["▁"] == -1
+    again = len(calls)
+    assert own.block(texts[:2], digest=False)["groups"] == row["groups"][:2] and len(calls) == again
