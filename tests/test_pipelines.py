@@ -63,6 +63,33 @@ def test_ablation_compares_settings(spark, sf):
     assert len({(r.use_sequence, r.graph_mode, r.use_unlabeled) for r in out}) == 6
 
 
+@pytest.mark.parametrize("names, values", [(("base", "labeled_only_counts"), {}), (("base_graph", "labeled_only"), {"full_week_eval": False, "max_eval_week_rows": 150, "graph_prior": "train_rate"})])
+def test_ablation_makes_features_once_and_equals_single_runs(spark, sf, monkeypatch, names, values):
+    """Second-order trees do not depend on how rows are dealt, so the summaries are those of a run for each setting."""
+    canon, cfg, built = C.events(spark, sf).filter("customer_id < 20"), CFG.override(booster="second_order", **values), []
+    build = pipelines.baseline_features
+    monkeypatch.setattr(pipelines, "baseline_features", lambda *a: built.append(a) or build(*a))
+    got = {(r.config, r.slice): r for r in pipelines.ablation(spark, canon, cfg, trees=2, depth=2, names=names).collect()}
+    assert len(built) == 1
+    want = {}
+    for n in names:
+        own = cfg.override(pretrain_profile=False).override(**pipelines.ABLATIONS[n])
+        want |= {(n, r.slice): (own, r) for r in pipelines.run(spark, canon, own, "baseline", trees=2, depth=2).summary.collect()}
+    assert got.keys() == want.keys() and len({r["mean"] for r in got.values()}) > 2
+    for k, (own, r) in want.items():
+        assert abs(got[k]["mean"] - r["mean"]) < 1e-12 and (got[k].std, got[k].folds) == (r.std, r.folds)
+        assert (got[k].use_sequence, got[k].graph_mode, got[k].use_unlabeled) == (int(own.use_sequence), own.graph_mode, int(own.use_unlabeled))
+
+
+def test_settings_of_the_ablation_choose_the_columns_of_their_own_runs(spark, sf):
+    canon = C.events(spark, sf).filter("customer_id < 5")
+    settings, whole = pipelines.settings_of(CFG, tuple(pipelines.ABLATIONS))
+    columns = lambda cfg: pipelines.features_of(made := pipelines.baseline_features(canon, cfg)) + [f"{c}_code" for c in encode.CATEGORICAL if c in made.columns]
+    every = columns(whole)
+    for own in settings.values():
+        assert pipelines.features_under(every, S.with_time(canon).columns, own) == columns(own)
+
+
 def test_labels_of_the_valid_week_change_no_feature_of_it(spark, sf):
     canon = C.events(spark, sf).filter("customer_id < 40")
     week = "2024-01-22"
